@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from .near_dedup import OP9_SQL, op9_near_dedup
+from .preference import OP10_SQL, op10_preference_format
 from .substring_dedup import OP1_SQL, op1_substring_dedup
+from .topk import OP6_SQL, op6_topk
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_topk": op6_topk,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_preference_format": op10_preference_format,
 }
 
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
+    "op6_topk": OP6_SQL,
+    "op9_near_dedup": OP9_SQL,
+    "op10_preference_format": OP10_SQL,
 }
