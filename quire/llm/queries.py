@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe
+from .decontamination import OP8_SQL, op8_decontamination
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .preference import OP10_SQL, op10_preference_format
 from .substring_dedup import OP1_SQL, op1_substring_dedup
@@ -9,7 +11,9 @@ from .topk import OP6_SQL, op6_topk
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_bpe": op5_bpe,
     "op6_topk": op6_topk,
+    "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_preference_format": op10_preference_format,
 }
@@ -17,6 +21,7 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
     "op6_topk": OP6_SQL,
+    "op8_decontamination": OP8_SQL,
     "op9_near_dedup": OP9_SQL,
     "op10_preference_format": OP10_SQL,
 }
