@@ -1,19 +1,19 @@
 """Near duplicates by SuperMinHash, banding, exact verification and components.
 
 1. A document's set holds the hashes of its distinct word shingles. SuperMinHash
-   gives each element a permutation of the 128 signature slots and, in round j, a
+   gives each element a permutation of the 256 signature slots and, in round j, a
    value in [j, j + 1) for the slot at rank j; a slot keeps its smallest value, so a
    document stops at the first round in which all slots are filled.
 2. Documents with equal sets become one node, the smallest id, before any pair is
    made; only such nodes go on. Sets of up to 5 shingles reach 0.85 only when equal.
-3. 25 bands of 5 slots (a pair at 0.85 shares no band once in two million), keyed
-   with an octave of the set size; nodes within 0.85 of the next octave join it too.
-4. Each bucket links its nodes to its smallest one (a star, never all pairs), and
-   the links are confirmed on full sets. A bucket whose nodes then lie in several
-   components is compared further: nodes outside the smallest one's component
-   against the others, but those that the triangle inequality of Jaccard distance
-   rules out. Where over 64 nodes lie outside, buckets are first split by a second
-   (third, ...) shared band. Nothing is capped; the last depth compares what is left.
+3. 36 bands of 7 slots (a pair at 0.85 shares no band once in a million), keyed with
+   an octave of the set size; nodes within 0.85 of the next octave join it too. Each
+   bucket ties its nodes to its smallest one: a star, never all pairs.
+4. Nodes that such ties connect form a candidate family. Families are verified on full
+   sets: one task multiplies the incidence matrix of a family's shared shingles in
+   numpy, and returns a spanning forest of the links, not the pairs. A family larger
+   than FAMILY nodes or SHINGLES shingles is dealt to parts, and each pair of parts is
+   a task of its own, so a task's memory is bounded and no link is lost.
 5. Components by union-find and pointer jumping over the confirmed links.
 
 Nulls: a null or wordless text has an empty set and no links; a null id has a null
@@ -33,9 +33,11 @@ from .words import Words, chunks, mix, window_hashes
 
 SHINGLE = 5
 PERCENT = 80
-SLOTS = 128
-FEW = 64
-DEPTH = 4
+SLOTS = 256
+ROWS = 7
+FAMILY = 1024
+SHINGLES = 1 << 20
+COLUMNS = 4096
 _U = np.uint64
 _EMPTY = np.uint32(0xFFFFFFFF)
 
@@ -58,18 +60,18 @@ def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndar
 
 
 def _slot(h: np.ndarray, j: int) -> np.ndarray:
-    """The slot at rank j of each element's own permutation of 0..127: keyed affine maps and shifts, each a bijection."""
+    """The slot at rank j of each element's own permutation of 0..255: keyed affine maps and shifts, each a bijection."""
     x = np.full(len(h), j, np.uint32)
     for i, shift in enumerate((4, 3, 0)):
-        bits = (h >> _U(13 * i)).astype(np.uint32)
-        x = (x * ((bits & np.uint32(63)) * np.uint32(2) + np.uint32(1)) + ((bits >> np.uint32(6)) & np.uint32(127))) & np.uint32(127)
+        bits = (h >> _U(15 * i)).astype(np.uint32)
+        x = (x * ((bits & np.uint32(127)) * np.uint32(2) + np.uint32(1)) + ((bits >> np.uint32(7)) & np.uint32(255))) & np.uint32(255)
         if shift:
             x ^= x >> np.uint32(shift)
     return x.astype(np.int64)
 
 
 def superminhash(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One row of 128 slots a document; a slot holds rank * 2**25 + 25 random bits."""
+    """One row of SLOTS slots a document; a slot holds rank * 2**24 + 24 random bits."""
     n = len(ends) - 1
     sig = np.full(n * SLOTS, _EMPTY, np.uint32)
     doc = np.repeat(np.arange(n), np.diff(ends))
@@ -77,7 +79,7 @@ def superminhash(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     for j in range(SLOTS):
         if not len(key):
             break
-        value = np.uint32(j << 25) | (mix(key + _U((j + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> _U(39)).astype(np.uint32)
+        value = np.uint32(j << 24) | (mix(key + _U((j + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> _U(40)).astype(np.uint32)
         np.minimum.at(sig, doc * SLOTS + _slot(key, j), value)
         full = (sig.reshape(n, SLOTS) != _EMPTY).all(axis=1)
         go = ~full[doc]
@@ -123,16 +125,74 @@ def _setter(text: str, k: int):
     def run(batches):
         for batch, texts in chunks(batches, text):
             h, ends = shingle_sets(texts, k)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "shingles"])
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in ("id", "family", "part", "parts")}
+            yield pa.record_batch([*cols.values(), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h.view(np.int64)))], names=[*cols, "shingles"])
 
     return run
 
 
-def _distinct_pairs(df: DataFrame) -> DataFrame:
-    return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) for the nodes of a symmetric link matrix that have links."""
+    free = np.ones(len(linked), bool)
+    members, roots = [], []
+    for seed in range(len(linked)):
+        if not free[seed]:
+            continue
+        free[seed] = False
+        edge = np.flatnonzero(linked[seed] & free)
+        while len(edge):
+            free[edge] = False
+            members.append(edge)
+            roots.append(np.full(len(edge), seed))
+            edge = np.flatnonzero(linked[edge].any(axis=0) & free)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *members]), np.concatenate([none, *roots])
+
+
+def _verify(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The links of one family, or between two parts of one, on full sets."""
+        ids, part = table.column("id").to_numpy(), table.column("part").to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        n = sets.value_lengths().to_numpy().astype(np.int64)
+        flat = sets.flatten().to_numpy()
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        # a shingle of one set only is in no intersection
+        shared = count > 1
+        on = shared[column]
+        column, row = (np.cumsum(shared) - 1)[column[on]], np.repeat(np.arange(len(n)), n)[on]
+        left = np.flatnonzero(part == part.min())
+        right = np.flatnonzero(part == part.max())
+        place = np.zeros(len(n), np.int64)
+        place[left] = np.arange(len(left))
+        other = np.zeros(len(n), np.int64)
+        other[right] = np.arange(len(right))
+        same = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        for lo in range(0, int(shared.sum()), COLUMNS):
+            i, j = np.searchsorted(column, [lo, lo + COLUMNS])
+            c, r = column[i:j] - lo, row[i:j]
+            a = np.zeros((len(left), COLUMNS), np.float32)
+            on = part[r] == part.min()
+            a[place[r[on]], c[on]] = 1
+            if len(left) == len(n):
+                same += a @ a.T
+                continue
+            b = np.zeros((len(right), COLUMNS), np.float32)
+            b[other[r[~on]], c[~on]] = 1
+            same += a @ b.T
+        close = 100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)
+        linked = np.zeros((len(n), len(n)), bool)
+        linked[np.ix_(left, right)] = close
+        linked |= linked.T
+        member, root = _forest(linked)
+        return pa.table({"a": pa.array(ids[root]), "b": pa.array(ids[member])})
+
+    return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = 5) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id and kept, where documents of similarity percent / 100 or more are linked."""
     spark = prepared(docs.sparkSession)
     here = shared_dir(spark)
@@ -146,80 +206,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
     octave = F.floor(F.log2("n")).cast("int")
     near_next = F.col("n") * 100 >= F.pow(F.lit(2.0), octave + 1) * percent
-    level = (
+    keys = (
         groups.where(F.col("n") >= least)
         .select("id", "bands", F.explode(F.when(near_next, F.array(octave, octave + 1)).otherwise(F.array(octave))).alias("octave"))
         .select("id", "octave", F.posexplode("bands").alias("pos", "band"))
-        .select(F.xxhash64("pos", "band", "octave").alias("key"), "id", F.array("pos").alias("used"))
+        .select(F.xxhash64("pos", "band", "octave").alias("key"), "id")
     )
-    links = comps = sets = None
-
-    def jaccard(pairs: DataFrame, name: str) -> DataFrame:
-        a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-        b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = pairs.join(b, "b").join(a, "a").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-        return written(both.select("a", "b", (F.col("i") * 100 >= (F.col("t") - F.col("i")) * percent).alias("linked"), (1 - F.col("i") / (F.col("t") - F.col("i"))).alias("d")), f"{here}/{name}")
-
-    def add(tested: DataFrame) -> None:
-        nonlocal links, comps
-        new = tested.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        comps = components(links)
+    heads = written(keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "head"), f"{here}/heads")
+    ties = keys.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    family = components(ties)
+    family = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
+    member = written(family.join(groups.select(F.col("id").alias("node"), "n"), "node"), f"{here}/member")
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY, F.sum("n") / SHINGLES)).cast("int")
+    sizes = written(member.groupBy("component").agg(parts.alias("parts")), f"{here}/sizes")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = member.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), part.alias("part"), "parts")
+    sets = d.join(dealt, "id").mapInArrow(_setter("text", shingle), "id long, family long, part int, parts int, shingles array<long>")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    links = sets.withColumn("task", F.explode(pairs)).groupBy("family", "task").applyInArrow(_verify(percent), "a long, b long")
+    comps = components(links)
 
     def with_component(df: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(comps.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    margin = F.lit((100 - percent) / 100 + 1e-9)
-    for depth in range(DEPTH):
-        heads = written(level.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "head"), f"{here}/heads{depth}")
-        members = written(level.join(heads, "key"), f"{here}/members{depth}")
-        if sets is None:
-            wanted = members.select("id").distinct()
-            sets = written(d.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_setter("text", shingle), "id long, shingles array<long>"), f"{here}/sets")
-        stars = members.where("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("c"))
-        stars = written(stars, f"{here}/stars{depth}")
-        # each node's most frequent head first: what that links needs no other test
-        best = stars.groupBy("id").agg(F.max(F.struct("c", (-F.col("head")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("a"), F.col("id").alias("b"))
-        tested = jaccard(best, f"first{depth}")
-        add(tested)
-        apart = with_component(with_component(stars, "id", "c1"), "head", "c2").where("c1 <> c2").select(F.col("head").alias("a"), F.col("id").alias("b")).join(tested, ["a", "b"], "left_anti")
-        second = jaccard(apart, f"second{depth}")
-        if not second.where("linked").isEmpty():
-            add(second)
-        tested = tested.unionByName(second)
-
-        placed = written(with_component(members, "id", "c"), f"{here}/placed{depth}")
-        split = written(
-            placed.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.max(F.when(F.col("id") == F.col("head"), F.col("c"))).alias("main")).where("c1 <> c2").select("key", "main"),
-            f"{here}/split{depth}",
-        )
-        if split.isEmpty():
-            break
-        far = tested.select(F.col("a").alias("head"), F.col("b").alias("id"), "d")
-        spread = written(
-            placed.join(split, "key").join(far, ["head", "id"], "left").withColumn("d", F.when(F.col("id") == F.col("head"), 0.0).otherwise(F.col("d"))).withColumn("out", F.col("c") != F.col("main")),
-            f"{here}/spread{depth}",
-        )
-        range_ = spread.where("out").groupBy("key").agg(F.count(F.lit(1)).alias("n_out"), F.min(F.coalesce("d", F.lit(0.0))).alias("d1"), F.max(F.coalesce("d", F.lit(1.0))).alias("d2"))
-        range_ = written(range_, f"{here}/range{depth}")
-        left = spread.join(range_, "key").where(F.col("out") | F.col("d").isNull() | F.col("d").between(F.col("d1") - margin, F.col("d2") + margin))
-        left = written(left.drop("d1", "d2"), f"{here}/left{depth}")
-        small = F.lit(True) if depth == DEPTH - 1 else F.col("n_out") <= FEW
-        x = left.where(small & F.col("out")).select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"))
-        y = left.where(small).select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"), F.col("out").alias("b_out"))
-        cross = x.join(y, "key").where((F.col("ca") != F.col("cb")) & (~F.col("b_out") | (F.col("a") < F.col("b"))) & (F.col("da").isNull() | F.col("db").isNull() | (F.abs(F.col("da") - F.col("db")) <= margin)))
-        third = jaccard(_distinct_pairs(cross).join(_distinct_pairs(tested), ["a", "b"], "left_anti"), f"third{depth}")
-        if not third.where("linked").isEmpty():
-            add(third)
-        large = left.where(~small)
-        if depth == DEPTH - 1 or large.isEmpty():
-            break
-        bands = groups.select("id", F.posexplode("bands").alias("pos", "band"))
-        level = written(
-            large.select("key", "id", "used").join(bands, "id").where(~F.array_contains("used", F.col("pos"))).select(F.xxhash64("key", "pos", "band").alias("key"), "id", F.concat("used", F.array("pos")).alias("used")),
-            f"{here}/level{depth}",
-        )
-
     found = written(with_component(groups.select("s1", "s2", "n", "id"), "id", "component_id").select("s1", "s2", "n", "component_id"), f"{here}/found")
     out = sigs.select("id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
