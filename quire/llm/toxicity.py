@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 
 from .char_ngrams import Chars
 from .common import crc_rest, docs_of, others, prepared, quoted
-from .words import chunks, span_hashes
+from .words import chunks, mix, span_hashes
 
-BITS = 18
-LONGEST = 5
+BITS = 20
+LONGEST = 6
 WIDTH = 8
 SAMPLE = (4500, 2500)
 EPOCHS = 12
@@ -36,13 +36,21 @@ RATE = 0.3
 
 
 def _features(chars: Chars):
-    """(start, bucket) of each n-gram of 3 to 5 characters, then of each word."""
-    for n, at, bucket in chars.ngrams(LONGEST, BITS):
-        if n >= 3:
-            yield at, bucket
+    """(start, bucket) of each n-gram of 3 to 5 characters, then of each word, over the distinct words of each text."""
     edge = np.diff(chars.inside.view(np.int8), prepend=np.int8(0))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     h = span_hashes(chars.cp.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), starts, ends, 0)
+    doc = np.searchsorted(chars.base, starts, side="right")
+    _, first = np.unique(mix(h + doc.astype(np.uint64)), return_index=True)
+    first.sort()
+    starts, ends, h = starts[first], ends[first], h[first]
+    step = np.zeros(len(chars.cp), np.int8)
+    step[starts], step[ends] = 1, -1
+    chars.inside = np.cumsum(step, dtype=np.int8).astype(bool)
+    chars.cp = np.where(chars.inside, chars.cp, np.uint32(32))
+    for n, at, bucket in chars.ngrams(LONGEST, BITS):
+        if n >= 3:
+            yield at, bucket
     yield starts, (h >> np.uint64(64 - BITS)).astype(np.int32)
 
 
