@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Arrow batches to Python workers: small enough that two workers of an executor and its buffers stay within a few hundred MB.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2048}
+
+
 def prepared(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package when they start in another folder (a cluster gets it by --py-files)."""
+    """Bounds the session's Arrow batches, and lets Python workers import this package when they start in another folder (a cluster gets it by --py-files)."""
+    for name, value in BATCH.items():
+        spark.conf.set(name, str(value))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in paths:

@@ -1,13 +1,13 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A text is the bag of its words and their character 3- to 5-grams (a space marks a
-word's edge), hashed to 2**18 buckets. Bucket embeddings and the softmax over their
-average are trained jointly, in numpy on the driver, by Adagrad over minibatches of a
+A text is the bag of its distinct words and their character 3- to 6-grams (a space
+marks a word's edge), hashed to 2**20 buckets. Bucket embeddings and the softmax over
+their average are trained jointly, in numpy on the driver, by Adagrad over minibatches of a
 bounded sample of labelled rows: SAMPLE of label 0 and of label 1 in expectation,
 chosen by a hash of the id; the bias is corrected for their different shares. Misspellings and new endings share n-grams with words seen in training.
 
 A bucket enters the two logits only through its embedding times the softmax weights,
-so one number a bucket is broadcast (2 MB), and whole texts are scored by its mean.
+so one number a bucket is broadcast (8 MB), and whole texts are scored by its mean.
 
 A null or empty text has an empty bag and scores the bias alone. Without labels of
 both classes every text scores the share of label 1 (0 if there are none). Input
@@ -28,11 +28,14 @@ from .words import chunks, mix, span_hashes
 
 BITS = 20
 LONGEST = 6
-WIDTH = 8
+WIDTH = 4
+LEAST_TEXTS = 8
+MOST_TEXTS = 0.2
 SAMPLE = (4500, 2500)
 EPOCHS = 12
 BATCH = 64
 RATE = 0.3
+EMBEDDING_RATE = 30.0
 
 
 def _features(chars: Chars):
@@ -72,18 +75,25 @@ def _bags(batches):
 
 
 def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
-    """(the part of each bucket in logit 1 minus logit 0, the bias) of the trained network. Row i holds bucket[cut[i]:cut[i + 1]]."""
+    """(the part of each bucket in logit 1 minus logit 0, the bias) of the trained network. Row i holds bucket[cut[i]:cut[i + 1]], each n times."""
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if share in (0.0, 1.0):
         return np.zeros(1 << BITS), bias
     rng = np.random.default_rng(seed)
-    e = rng.normal(0, 0.1, (1 << BITS, WIDTH))
-    seen = np.zeros(1 << BITS, bool)
-    seen[bucket] = True
-    w, b = rng.normal(0, 0.5, (WIDTH, 2)), np.array([0.0, bias])
-    ge, gw, gb = np.full(1 << BITS, 1e-8), np.full((WIDTH, 2), 1e-6), np.full(2, 1e-2)
     size = np.maximum(1.0, np.add.reduceat(np.append(n, 0), cut[:-1]) * (np.diff(cut) > 0))
+    # buckets in too few texts to learn from, or in too many to tell anything, are left out; the others weigh by rarity
+    df = np.bincount(bucket, minlength=1 << BITS)
+    used = (df >= LEAST_TEXTS) & (df <= MOST_TEXTS * len(labels))
+    rarity = np.where(used, np.log(len(labels) / np.maximum(df, 1)), 0.0)
+    doc = np.repeat(np.arange(len(labels)), np.diff(cut))[used[bucket]]
+    weight = (n * rarity[bucket])[used[bucket]] / size[doc]
+    bucket = bucket[used[bucket]]
+    cut = np.searchsorted(doc, np.arange(len(labels) + 1))
+    e = np.zeros((1 << BITS, WIDTH))
+    w, b = rng.normal(0, 0.5, (WIDTH, 2)), np.array([0.0, bias])
+    ge, gw, gb = 1e-8, np.full((WIDTH, 2), 1e-6), np.full(2, 1e-2)
+    steps, step = EPOCHS * -(-len(labels) // BATCH), 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(labels))
         for lo in range(0, len(order), BATCH):
@@ -91,7 +101,7 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
             long = cut[rows + 1] - cut[rows]
             place = np.repeat(cut[rows] - (np.cumsum(long) - long), long) + np.arange(long.sum())
             row = np.repeat(np.arange(len(rows)), long)
-            f, share_ = bucket[place], n[place] / size[rows][row]
+            f, share_ = bucket[place], weight[place]
             mean = np.stack([np.bincount(row, share_ * e[f, d], len(rows)) for d in range(WIDTH)], axis=1)
             logit = mean @ w + b
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
@@ -102,14 +112,16 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
             dw, db = mean.T @ p, p.sum(axis=0)
             hot, slot = np.unique(f, return_inverse=True)
             de = np.stack([np.bincount(slot, share_ * back[row, d], len(hot)) for d in range(WIDTH)], axis=1)
-            ge[hot] += (de * de).mean(axis=1)
-            e[hot] -= RATE * de / np.sqrt(ge[hot])[:, None]
+            # one Adagrad scale for all embeddings: rates of their own would let rare buckets learn single texts by heart
+            left = 1 - step / steps
+            step += 1
+            ge += (de * de).sum()
+            e[hot] -= EMBEDDING_RATE * left * de / np.sqrt(ge)
             gw += dw * dw
-            w -= RATE * dw / np.sqrt(gw)
+            w -= RATE * left * dw / np.sqrt(gw)
             gb += db * db
-            b -= 0.1 * RATE * db / np.sqrt(gb)
-    part = np.where(seen, e @ (w[:, 1] - w[:, 0]), 0.0)
-    return part, float(b[1] - b[0])
+            b -= 0.1 * RATE * left * db / np.sqrt(gb)
+    return rarity * (e @ (w[:, 1] - w[:, 0])), float(b[1] - b[0])
 
 
 def score(texts: list[bytes | None], part: np.ndarray, bias: float) -> np.ndarray:
