@@ -6,8 +6,8 @@
    document stops at the first round in which all slots are filled.
 2. Documents with equal sets become one node, the smallest id, before any pair is
    made; only such nodes go on. Sets of up to 5 shingles reach 0.85 only when equal.
-3. 36 bands of 7 slots (a pair at 0.85 shares no band once in a million), keyed with
-   an octave of the set size; nodes within 0.85 of the next octave join it too. Each
+3. Bands of as many slots as keep a pair at the threshold sharing none below once in
+   100,000 (36 bands of 7 at 0.85, 42 of 6 at 0.8), keyed with an octave of the set size; nodes within 0.85 of the next octave join it too. Each
    bucket ties its nodes to its smallest one: a star, never all pairs.
 4. Nodes that such ties connect form a candidate family. Families are verified on full
    sets: one task multiplies the incidence matrix of a family's shared shingles in
@@ -34,7 +34,7 @@ from .words import Words, chunks, mix, window_hashes
 SHINGLE = 5
 PERCENT = 80
 SLOTS = 256
-ROWS = 7
+MISS = 1e-5
 FAMILY = 1024
 SHINGLES = 1 << 20
 COLUMNS = 4096
@@ -87,6 +87,11 @@ def superminhash(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return sig.reshape(n, SLOTS)
 
 
+def rows_of_band(percent: int) -> int:
+    """The most slots a band with which a pair at the threshold shares no band with a probability of at most MISS."""
+    return max([1, *(r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (SLOTS // r) <= MISS)])
+
+
 def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
     bands = SLOTS // rows
     parts = sig[:, : bands * rows].reshape(len(sig), bands, rows).astype(np.uint64)
@@ -192,12 +197,12 @@ def _verify(percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id and kept, where documents of similarity percent / 100 or more are linked."""
     spark = prepared(docs.sparkSession)
     here = shared_dir(spark)
     d = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    sigs = written(d.mapInArrow(_signer("text", shingle, rows), "id long, n long, s1 long, s2 long, bands array<long>"), f"{here}/sigs")
+    sigs = written(d.mapInArrow(_signer("text", shingle, rows_of_band(percent)), "id long, n long, s1 long, s2 long, bands array<long>"), f"{here}/sigs")
     groups = written(
         sigs.where("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "bands")).alias("r")).select("s1", "s2", "n", F.col("r.id").alias("id"), "r.bands"),
         f"{here}/groups",
