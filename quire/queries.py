@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from quire.derive import RECTS_SQL, WORDS_SQL, line_rects, table, word_blocks
 from quire.functions import color, expand, tokens
 from quire.functions import rect as R
 from quire.operators import layout, reading, scope, search, segment, split
+from quire.plans.layout_index import LayoutIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -306,4 +308,39 @@ _parts = ("doc_id", "block_id", "page_index", "text", "bbox.left")
 _add("split_label", lambda s, d: split.split(_with_chars(s, d), "(th|en)").select(*_parts), _SPLIT_SQL.format("true"))
 _add("split_boundary", lambda s, d: split.split(_with_chars(s, d), "(th|en)", _SCOPE).select(*_parts), _SPLIT_SQL.format('top >= 200 AND bottom <= 420 AND "left" >= 0 AND "right" <= 612'))
 
+
+# -- PDF files ---------------------------------------------------------------------
+
+
+def _written_pdfs(s, d) -> DataFrame:
+    """Each document's words set in a PDF file: (doc_id, content)."""
+    from quire.sources.pdf.writer import text_page, write_pdf
+
+    w = word_blocks(s, d).select("doc_id", "page_index", "block_id", "text")
+    words = w.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(F.struct("block_id", "text"))).alias("ws"))
+    pages = words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_index", "ws"))).alias("ps"))
+
+    def run(batches):
+        for batch in batches:
+            files = []
+            for ps in batch.column(1).to_pylist():
+                bodies = [text_page([(36 + x["block_id"] % 6 * 96, 756 - x["block_id"] // 6 % 50 * 14, x["text"]) for x in p["ws"]]) for p in ps]
+                files.append(write_pdf(bodies))
+            yield pa.record_batch([batch.column(0), pa.array(files, pa.binary())], names=["doc_id", "content"])
+
+    return pages.mapInArrow(run, "doc_id long, content binary")
+
+
+def _round_trip(s, d) -> LayoutIndex:
+    return LayoutIndex.from_pdfs(_written_pdfs(s, d), keep_chars=False)
+
+
+_add(
+    "pdf_roundtrip_blocks",
+    lambda s, d: _round_trip(s, d).blocks.select("doc_id", "block_id", "page_index", "text", *(F.round(F.col("bbox")[n], 3).alias(n) for n in R.SIDES)),
+    f'WITH {WORDS_SQL} SELECT doc_id, block_id, page_index, text, round(top, 3) AS top, "left", round(bottom, 3) AS bottom, "right" FROM blocks',
+)
+_add("pdf_roundtrip_text", lambda s, d: _round_trip(s, d).text, ORACLES["reading_text"])
+_add("pdf_pages", lambda s, d: _round_trip(s, d).page_rects.select("doc_id", "page_index", *sides(F.col("rect"))), f'WITH {WORDS_SQL} SELECT DISTINCT doc_id, page_index, page_index * 792.0::DOUBLE AS top, 0.0::DOUBLE AS "left", (page_index + 1) * 792.0::DOUBLE AS bottom, 612.0::DOUBLE AS "right" FROM blocks')
+
 __all__ = ["ORACLES", "QUERIES", "derive"]
