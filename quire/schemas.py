@@ -6,9 +6,9 @@ from pyspark.sql import types as T
 
 _D = T.DoubleType()
 
-RECT = T.StructType([T.StructField(n, _D, False) for n in ("top", "left", "bottom", "right")])
-RGB = T.StructType([T.StructField(n, _D, False) for n in ("r", "g", "b")])
-CHAR = T.StructType([T.StructField("ch", T.StringType(), False), T.StructField("bbox", RECT, False)])
+RECT = T.StructType([T.StructField(n, _D) for n in ("top", "left", "bottom", "right")])
+RGB = T.StructType([T.StructField(n, _D) for n in ("r", "g", "b")])
+CHAR = T.StructType([T.StructField("ch", T.StringType()), T.StructField("bbox", RECT)])
 
 DOC = T.StructField("doc_id", T.StringType())
 PAGE = T.StructField("page_index", T.IntegerType())
