@@ -38,7 +38,7 @@ from .words import chunks
 MAX_BITS = 20
 LANE = 256
 BLOCK_TOKENS = 1 << 20
-CACHED = 400_000
+CACHED = 1_200_000
 #: Words whose tokens are those of their letters, then those of their punctuation: letters below U+0130, in which normal form and lower case are letters again; then ASCII punctuation.
 PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-į]+)([!-/:-@\\[-`{-~]*)")
 _U = np.uint64
