@@ -311,7 +311,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 got = np.where(keys[at] == h, c[at], 0)
             known = got > 0
             uniq, back = np.unique(rows[known], return_inverse=True)
-            return pa.table({"row": pa.array(uniq), "known": pa.array(np.bincount(back, minlength=len(uniq)).astype(np.int64)), "logs": pa.array(np.bincount(back, np.log10(got[known] + 1.0), len(uniq)))})
+            return pa.table({"row": pa.array(uniq), "known": pa.array(np.bincount(back, minlength=len(uniq)).astype(np.int64)), "logs": pa.array(np.bincount(back, np.log10(got[known] + 1.0), len(uniq)).astype(np.float64))})
 
         words = model["merged"].where("kind = 0").select("bucket", "payload")
         more = ask.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "row long, known long, logs double")

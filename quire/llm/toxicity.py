@@ -82,9 +82,10 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
         return np.zeros(1 << BITS), bias
     rng = np.random.default_rng(seed)
     size = np.maximum(1.0, np.add.reduceat(np.append(n, 0), cut[:-1]) * (np.diff(cut) > 0))
-    # buckets in too few texts to learn from, or in too many to tell anything, are left out; the others weigh by rarity
+    # buckets in too few texts to learn from, or in too many of label 0 to tell anything, are left out; the others weigh by rarity
     df = np.bincount(bucket, minlength=1 << BITS)
-    used = (df >= LEAST_TEXTS) & (df <= MOST_TEXTS * len(labels))
+    plain = np.bincount(bucket[np.repeat(labels == 0, np.diff(cut))], minlength=1 << BITS)
+    used = (df >= LEAST_TEXTS) & (plain <= MOST_TEXTS * (labels == 0).sum())
     rarity = np.where(used, np.log(len(labels) / np.maximum(df, 1)), 0.0)
     doc = np.repeat(np.arange(len(labels)), np.diff(cut))[used[bucket]]
     weight = (n * rarity[bucket])[used[bucket]] / size[doc]
