@@ -16,6 +16,8 @@ columns named like an output column are replaced by it. Documents are not shuffl
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .char_ngrams import Chars
-from .common import crc_rest, docs_of, others, prepared, quoted
+from .common import crc_rest, docs_of, others, prepared, quoted, written
 from .words import chunks, mix, span_hashes
 
 BITS = 20
@@ -32,6 +34,7 @@ WIDTH = 4
 LEAST_TEXTS = 8
 MOST_TEXTS = 0.2
 SAMPLE = (4500, 2500)
+SLICES = 4
 EPOCHS = 12
 BATCH = 64
 RATE = 0.3
@@ -58,7 +61,7 @@ def _features(chars: Chars):
 
 
 def _bags(batches):
-    """Label, distinct buckets and their counts of each text."""
+    """Slice, label and bag of each text: its distinct buckets as 32-bit integers, then their counts, up to 255, as bytes."""
     for batch, texts in chunks(batches, "text"):
         chars = Chars(texts, digits=True)
         doc, bucket = [], []
@@ -67,11 +70,11 @@ def _bags(batches):
             bucket.append(b)
         key = (np.concatenate(doc).astype(np.int64) << BITS) | np.concatenate(bucket)
         key, n = np.unique(key, return_counts=True)
-        cut = np.searchsorted(key >> BITS, np.arange(len(texts) + 1)).astype(np.int32)
-        yield pa.record_batch(
-            [batch.column(1), pa.ListArray.from_arrays(pa.array(cut), pa.array((key & ((1 << BITS) - 1)).astype(np.int32))), pa.ListArray.from_arrays(pa.array(cut), pa.array(n.astype(np.int32)))],
-            names=["label", "bucket", "n"],
-        )
+        cut = np.searchsorted(key >> BITS, np.arange(len(texts) + 1)).tolist()
+        bucket, n = (key & ((1 << BITS) - 1)).astype("<i4"), np.minimum(n, 255).astype(np.uint8)
+        bags = [bucket[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+        part = [zlib.crc32(x) % SLICES for x in bags]
+        yield pa.record_batch([pa.array(part, pa.int32()), batch.column(1), pa.array(bags, pa.binary())], names=["part", "label", "bag"])
 
 
 def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
@@ -81,16 +84,17 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
     if share in (0.0, 1.0):
         return np.zeros(1 << BITS), bias
     rng = np.random.default_rng(seed)
-    size = np.maximum(1.0, np.add.reduceat(np.append(n, 0), cut[:-1]) * (np.diff(cut) > 0))
+    size = np.maximum(1, np.add.reduceat(np.append(n, 0).astype(np.int64), cut[:-1]) * (np.diff(cut) > 0))
     # buckets in too few texts to learn from, or in too many of label 0 to tell anything, are left out; the others weigh by rarity
     df = np.bincount(bucket, minlength=1 << BITS)
-    plain = np.bincount(bucket[np.repeat(labels == 0, np.diff(cut))], minlength=1 << BITS)
-    used = (df >= LEAST_TEXTS) & (plain <= MOST_TEXTS * (labels == 0).sum())
+    clear = np.concatenate([bucket[cut[i] : cut[i + 1]] for i in np.flatnonzero(labels == 0)])
+    used = (df >= LEAST_TEXTS) & (np.bincount(clear, minlength=1 << BITS) <= MOST_TEXTS * (labels == 0).sum())
     rarity = np.where(used, np.log(len(labels) / np.maximum(df, 1)), 0.0)
-    doc = np.repeat(np.arange(len(labels)), np.diff(cut))[used[bucket]]
-    weight = (n * rarity[bucket])[used[bucket]] / size[doc]
-    bucket = bucket[used[bucket]]
-    cut = np.searchsorted(doc, np.arange(len(labels) + 1))
+    keep = used[bucket]
+    cut = np.concatenate([[0], np.cumsum(keep)])[cut]
+    bucket, n = bucket[keep], n[keep]
+    weight = n * rarity[bucket].astype(np.float32)
+    weight /= np.repeat(size, np.diff(cut)).astype(np.float32)
     e = np.zeros((1 << BITS, WIDTH))
     w, b = rng.normal(0, 0.5, (WIDTH, 2)), np.array([0.0, bias])
     ge, gw, gb = 1e-8, np.full((WIDTH, 2), 1e-6), np.full(2, 1e-2)
@@ -144,17 +148,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where(place < F.when(F.col("label") == 1, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30))))
     # the sample's (id, label) rows: the side to broadcast
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label", "id")
-    table = texts.mapInArrow(lambda it: _bags(it), "label int, bucket array<int>, n array<int>").toArrow()
-    if not table.num_rows:
+    bags = written(texts.mapInArrow(_bags, "part int, label int, bag binary"))
+    rows = []
+    for i in range(SLICES):  # the driver holds the bags once, in numpy, and a slice of them on the way
+        table = bags.where(F.col("part") == i).select("label", "bag").toArrow()
+        rows += [(int(y), zlib.crc32(x), x) for y, x in zip(table.column(0).to_pylist(), table.column(1).to_pylist())]
+        del table
+    if not rows:
         return np.zeros(1 << BITS), -700.0
-    label = table.column("label").to_numpy().astype(np.int64)
-    lists, n = table.column("bucket").combine_chunks(), table.column("n").combine_chunks().flatten().to_numpy()
-    cut = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-    bucket = lists.flatten().to_numpy()
     # tasks may end in any order; training must not depend on it
-    order = sorted(range(len(label)), key=lambda i: (label[i], bucket[cut[i] : cut[i + 1]].tobytes(), n[cut[i] : cut[i + 1]].tobytes()))
-    take = np.concatenate([np.arange(cut[i], cut[i + 1]) for i in order])
-    part, bias = fit(label[order], np.concatenate([[0], np.cumsum(np.diff(cut)[order])]), bucket[take], n[take])
+    rows.sort(key=lambda x: x[:2])
+    label = np.array([x[0] for x in rows])
+    long = np.array([len(x[2]) // 5 for x in rows])
+    bucket = np.frombuffer(b"".join(x[2][: 4 * k] for x, k in zip(rows, long.tolist())), "<i4")
+    n = np.frombuffer(b"".join(x[2][4 * k :] for x, k in zip(rows, long.tolist())), np.uint8)
+    del rows
+    part, bias = fit(label, np.concatenate([[0], np.cumsum(long)]), bucket, n)
     return part, bias - float(np.log(shares[1] / shares[0]))
 
 
