@@ -116,8 +116,9 @@ def merge_groups(blocks: list[dict], gap: float, rules: tuple[bool, bool]) -> li
         return i
 
     near: list[int] = []
-    for i in sorted(range(len(blocks)), key=lambda i: (box[i][0], box[i][2], blocks[i]["top"], i)):
-        near = [j for j in near if box[j][2] + gap >= box[i][0]]
+    # from the top down: only blocks that reach below this one's top can share its line
+    for i in sorted(range(len(blocks)), key=lambda i: box[i][1]):
+        near = [j for j in near if box[j][3] > box[i][1]]
         for j in near:
             shared = max(min(box[i][3], box[j][3]) - max(box[i][1], box[j][1]), 0.0)
             if not any(t > 0 and shared / t > SAME_LINE for t in (box[i][3] - box[i][1], box[j][3] - box[j][1])):
@@ -132,5 +133,13 @@ def merge_groups(blocks: list[dict], gap: float, rules: tuple[bool, bool]) -> li
     return [find(i) for i in range(len(blocks))]
 
 
+def group_lists(blocks: list[dict], gap: float, rules: tuple[bool, bool]) -> list[list[int]]:
+    """The places of each merged group, by left, top and place."""
+    out: dict[int, list[int]] = {}
+    for i, g in enumerate(merge_groups(blocks, gap, rules)):
+        out.setdefault(g, []).append(i)
+    return [sorted(g, key=lambda i: (blocks[i]["left"], blocks[i]["top"], i)) for g in out.values()]
+
+
 def inline_rect(x) -> object:
     return R.rect(x["top"], x["left"], x["bottom"], x["right"])

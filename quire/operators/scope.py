@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from quire.functions import rect as R
 from quire.functions.tokens import is_date_token, is_numeric_token
 
-from .pages import fold, inline_rect, line_heights, merge_groups, page_rows
+from .pages import fold, inline_rect, group_lists, line_heights, page_rows
 from .search import search
 
 
@@ -43,24 +43,19 @@ def merge_blocks(blocks: DataFrame, threshold: float, rules: MergeRules = MergeR
     """Neighbours on a line at most threshold apart become one block: texts by left, top and place, joined by spaces; characters in the same order; the union of the rectangles. The edges' pairs are judged by the rules, but groups may meet through a third block."""
     if threshold <= 0:
         return blocks
+    has_chars = "chars" in blocks.columns
     marked = blocks.withColumn("numeric", is_numeric_token(F.col("text"))).withColumn("date", is_date_token(F.col("text")))
-    pages = page_rows(marked, "numeric", "date")
+    pages = page_rows(marked, "numeric", "date", *(["chars"] if has_chars else []))
     pair = (rules.no_numeric_pair_merge, rules.no_date_pair_merge)
-    groups = fold(pages, T.ArrayType(T.IntegerType()), lambda b: merge_groups(b, threshold, pair), "__group")
-    tied = groups.select("doc_id", "page_index", F.explode(F.arrays_zip("blocks", "__group")).alias("x"), "blocks")
-    tied = tied.select("doc_id", F.col("x.blocks.block_id").alias("block_id"), F.get("blocks", F.col("x.__group"))["block_id"].alias("__to"))
-    b = F.col("bbox")
-    has_chars = "chars" in blocks.columns
-    item = F.struct(b["left"].alias("left"), b["top"].alias("top"), "block_id", "text", *(["chars"] if has_chars else []))
-    out = (
-        blocks.join(tied, ["doc_id", "block_id"])
-        .groupBy("doc_id", F.col("__to").alias("block_id"))
-        .agg(F.min("page_index").alias("page_index"), F.sort_array(F.collect_list(item)).alias("__x"), R.union_agg().alias("bbox"))
-        .withColumn("text", F.array_join(F.transform("__x", lambda x: x["text"]), " "))
-    )
-    if has_chars:
-        out = out.withColumn("chars", F.flatten(F.transform("__x", lambda x: x["chars"])))
-    return out.select("doc_id", "block_id", "page_index", "text", "bbox", *(["chars"] if has_chars else []))
+    # Python sees what decides on groups; texts and characters are put together here
+    slim = pages.withColumn("whole", F.col("blocks")).withColumn("blocks", F.transform("blocks", lambda b: F.struct(*(b[n].alias(n) for n in ("left", "top", "right", "bottom", "numeric", "date")))))
+    groups = fold(slim, T.ArrayType(T.ArrayType(T.IntegerType())), lambda b: group_lists(b, threshold, pair), "__groups")
+    one = groups.select("doc_id", "page_index", "whole", F.explode("__groups").alias("g")).withColumn("x", F.transform("g", lambda i: F.get("whole", i)))
+    side = lambda f, n: f(F.transform("x", lambda b: b[n]))
+    box = R.rect(side(F.array_min, "top"), side(F.array_min, "left"), side(F.array_max, "bottom"), side(F.array_max, "right"))
+    texts = F.array_join(F.transform("x", lambda b: b["text"]), " ")
+    chars = [F.flatten(F.transform("x", lambda b: b["chars"])).alias("chars")] if has_chars else []
+    return one.select("doc_id", F.array_min(F.transform("x", lambda b: b["block_id"])).alias("block_id"), "page_index", texts.alias("text"), box.alias("bbox"), *chars)
 
 
 def scoped(blocks: DataFrame, region: R.Rectangle, overlap: float = 0.0, merge_threshold: float = 0.0, normalize: bool = False, rules: MergeRules = MergeRules()) -> DataFrame:
