@@ -36,13 +36,13 @@ def fold(pages: DataFrame, result: T.DataType, work: Callable[[list[dict]], obje
         for batch in batches:
             at = batch.schema.get_field_index("blocks")
             out = [work(b) for b in batch.column(at).to_pylist()]
-            kind = T_to_arrow(result)
+            kind = arrow_type(result)
             yield pa.record_batch([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, name])
 
     return pages.mapInArrow(run, schema)
 
 
-def T_to_arrow(kind: T.DataType) -> pa.DataType:
+def arrow_type(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(kind)

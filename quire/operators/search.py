@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quire.functions import rect as R
 from quire.functions.regex import CLOSE, OPEN, java
 
-from .pages import inline_rect
 from .reading import bodies
 
 #: The least share of a block that counts, so touching never does (a fixed value).
@@ -89,6 +88,3 @@ def right_of_label(blocks: DataFrame, pattern: str, reach: float, overlap: float
     query = label.select("doc_id", F.struct("page_index", "match_no").alias("query_id"), R.rect(box["top"], box["right"], box["bottom"], box["right"] + reach).alias("query"), F.col("text").alias("label"))
     found = search_join(blocks, query, overlap)
     return found.select("doc_id", F.col("query_id")["page_index"].alias("page_index"), F.col("query_id")["match_no"].alias("match_no"), "label", "block_id", "text")
-
-
-__all__ = ["clamped_share", "has_regex", "hits", "inline_rect", "right_of_label", "search", "search_join", "search_regex"]

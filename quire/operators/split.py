@@ -13,6 +13,8 @@ from quire.functions import rect as R
 from quire.functions.regex import java
 from quire.schemas import CHAR, RECT
 
+from .pages import arrow_type
+
 _PART = T.StructType([T.StructField("text", T.StringType()), T.StructField("bbox", RECT), T.StructField("chars", T.ArrayType(CHAR))])
 
 
@@ -59,10 +61,8 @@ def split(blocks: DataFrame, pattern: str, boundaries: R.Rectangle | None = None
 
     @F.arrow_udf(T.ArrayType(_PART))
     def parts(texts: pa.Array, chars: pa.Array) -> pa.Array:
-        from .pages import T_to_arrow
-
         out = [split_parts(t or "", c or [], compiled) for t, c in zip(texts.to_pylist(), chars.to_pylist())]
-        return pa.array(out, T_to_arrow(T.ArrayType(_PART)))
+        return pa.array(out, arrow_type(T.ArrayType(_PART)))
 
     inside = F.lit(True) if boundaries is None else R.overlaps(F.col("bbox"), boundaries.literal(), 1.0)
     # blocks without a match never reach Python

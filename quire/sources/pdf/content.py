@@ -11,6 +11,7 @@ from .lexer import END, Lexer, Name, Stream, Word
 
 # Limits of visibility (fixed values): least contrast with the ground, least part of a clipped glyph, fills kept track of, forms inside forms.
 LEAST_CONTRAST, LEAST_PART, MOST_FILLS, MOST_FORMS = 1.05, 0.25, 4096, 24
+TINY_AREA = 1e-9
 IDENTITY = [1.0, 0.0, 0.0, 1.0, 0.0, 0.0]
 _FILLS = (b"f", b"F", b"f*", b"B", b"B*", b"b", b"b*")
 # Operators, among which an inline image may end.
@@ -253,25 +254,37 @@ class Interpreter:
         doubtful = filled and st.rgb is not None and self.fills and contrast(lum, 1.0) < LEAST_CONTRAST
         shape = [st.size * st.scale / 100, 0.0, 0.0, st.size, 0.0, st.rise]
         low, high = font.descent * font.unit, font.ascent * font.unit
+        # glyphs differ in their place along one line only: the matrix is composed once a string
+        m = compose(ctm, compose(tm, shape))
+        dx, dy = ctm[0] * tm[0] + ctm[2] * tm[1], ctm[1] * tm[0] + ctm[3] * tm[1]
+        upright = m[1] == 0 and m[2] == 0
+        bottom, top = sorted((m[3] * low, m[3] * high))
+        gone = 0.0
         for width, text in font.glyphs(data):
             step = (width * st.size + (st.word if " " in text else 0.0) + st.spacing) * st.scale / 100
-            n = max(len(text), 1)
+            n = len(text)
+            if not n:
+                gone += step
+                continue
             for ch in text:
-                m = compose(ctm, compose(tm, shape))
-                raw = _around([_apply(m, x, y) for x in (0.0, width / n) for y in (low, high)])
+                x, y = m[4] + dx * gone, m[5] + dy * gone
+                if upright:
+                    x2 = x + m[0] * width / n
+                    raw = (x, y + bottom, x2, y + top) if x <= x2 else (x2, y + bottom, x, y + top)
+                else:
+                    at = [*m[:4], x, y]
+                    raw = _around([_apply(at, u, v) for u in (0.0, width / n) for v in (low, high)])
+                gone += step / n
                 seen = raw
                 if clip is not None:
                     if not _touch(clip, raw):
-                        tm = _advanced(tm, step / n)
                         continue
                     seen = _meet(clip, raw)
-                whole = clip is None or hidden_but_tagged or seen == raw or _area(raw) <= 1e-9 or _area(seen) / _area(raw) >= LEAST_PART
-                if whole and not (doubtful and not self._shows(seen, st, lum)):
+                    if not (hidden_but_tagged or seen == raw or _area(raw) <= TINY_AREA or _area(seen) / _area(raw) >= LEAST_PART):
+                        continue
+                if not doubtful or self._shows(seen, st, lum):
                     self.emit(ch, seen, st)
-                tm = _advanced(tm, step / n)
-            if not text:
-                tm = _advanced(tm, step)
-        return tm
+        return _advanced(tm, gone)
 
 
 def _advanced(tm, by: float):

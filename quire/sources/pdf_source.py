@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from quire.functions import rect as R
 from quire.operators import layout, segment
-from quire.operators.pages import T_to_arrow
+from quire.operators.pages import arrow_type
 from quire.schemas import RGB
 
 from .pdf.extract import MalformedEncryption, PasswordError, UnsupportedEncryption, extract
@@ -50,7 +50,7 @@ def parse_pdfs(documents: DataFrame, password: str | bytes | None = None) -> Dat
     doc = documents.schema["doc_id"]
     schema = T.StructType([doc, *_PAGE, *_REST])
     source = documents.select("doc_id", F.col("content").cast("binary").alias("content"), *([F.col("password").cast("binary").alias("password")] if own else []))
-    arrow = {f.name: T_to_arrow(f.dataType) for f in schema.fields}
+    arrow = {f.name: arrow_type(f.dataType) for f in schema.fields}
 
     def rows(doc_id, content, secret):
         base = dict.fromkeys(arrow) | {"doc_id": doc_id}
