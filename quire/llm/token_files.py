@@ -17,6 +17,8 @@ Texts are tokenised once. Ids go to a temporary table, with each task's counts,
 from there, dealt by ranges of document id, to their blocks. ASCII white space always
 ends a token of the tokenizer here, so distinct words are encoded once and cached by
 worker, and words of plain letters are encoded many to a call.
+Lower-case letters without punctuation are cached longer than words, so the library
+seldom sees the same ones again.
 
 A null text counts as empty; a null document id sorts first; equal ids keep their rows,
 ordered by their tokens. An empty table gives an empty data set.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +41,9 @@ from .words import chunks
 MAX_BITS = 20
 LANE = 256
 BLOCK_TOKENS = 1 << 20
-CACHED = 1_200_000
-#: Words whose tokens are those of their letters, then those of their punctuation: letters below U+0130, in which normal form and lower case are letters again; then ASCII punctuation.
-PLAIN = re.compile("([A-Za-zªµºÀ-ÖØ-öø-į]+)([!-/:-@\\[-`{-~]*)")
+CACHED, CORES = 400_000, 1_000_000
+#: A word a line. Its tokens are those of its letters, then those of its punctuation, where it has only these: letters below U+0130, in which normal form and lower case are letters again, then ASCII punctuation. Any other word is one part.
+PARTS = re.compile("^(?:([A-Za-zªµºÀ-ÖØ-öø-į]+)([!-/:-@\\[-`{-~]*)|(.+))$", re.MULTILINE)
 _U = np.uint64
 
 
@@ -135,7 +138,7 @@ class Tokenizer:
         self.last = np.array([bool(suffix) and str(self.model.id_to_token(i)).endswith(suffix) for i in range(size)])
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.cores: dict[str, bytes] = {"": b""}
 
     def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
@@ -155,31 +158,30 @@ class Tokenizer:
         return out
 
     def _fill(self, missing: set[bytes]) -> None:
-        plain, rest = [], []
-        for w in missing:
-            s = w.decode("utf-8", "replace")
-            if m := PLAIN.fullmatch(s):
-                plain.append((w, m[1].lower(), m[2]))
-            else:
-                rest.append((w, s))
+        words = list(missing)
+        parts = PARTS.findall(b"\n".join(words).decode("utf-8", "replace")) if words else []
+        heads, marks = [p[0].lower() for p in parts], [p[1] for p in parts]
+        if len(self.cores) + len(words) > CORES:
+            self.cores = {"": b""}
         cores = self.cores
-        new = list({x for _, a, b in plain for x in (a, b) if x and x not in cores})
-        letters = [x for x in new if x[0].isalpha()]
-        cores.update(zip(letters, self._letters(letters)))
-        marks = [x for x in new if not x[0].isalpha()]
-        cores.update(zip(marks, self._whole(marks)))
-        self.words.update((w, cores[a] + cores[b] if b else cores[a]) for w, a, b in plain)
-        self.words.update(zip((w for w, _ in rest), self._whole([s for _, s in rest])))
+        for new, encode in ((set(heads), self._letters), (set(marks), self._whole)):
+            new = list(new - cores.keys())
+            cores.update(zip(new, encode(new)))
+        out = [cores[a] + cores[b] if b else cores[a] for a, b in zip(heads, marks)]
+        rest = [i for i, p in enumerate(parts) if p[2]]
+        for i, ids in zip(rest, self._whole([parts[i][2] for i in rest])):
+            out[i] = ids
+        self.words.update(zip(words, out))
 
     def encode(self, texts: list[bytes | None], end: bytes = b"") -> list[bytes]:
         words = [(t or b"").split() for t in texts]
-        missing = set().union(*words) - self.words.keys()
-        if len(self.words) + len(missing) > CACHED:
-            self.words.clear()
-            self.cores.clear()
+        known = self.words
+        missing = set(filterfalse(known.__contains__, chain.from_iterable(words)))
+        if len(known) + len(missing) > CACHED:
+            known.clear()
             missing = set().union(*words)
         self._fill(missing)
-        return [b"".join(map(self.words.__getitem__, w)) + end for w in words]
+        return [b"".join(map(known.__getitem__, w)) + end for w in words]
 
 
 _LOADED: dict[str, Tokenizer] = {}
