@@ -95,7 +95,8 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
     bucket, n = bucket[keep], n[keep]
     weight = n * rarity[bucket].astype(np.float32)
     weight /= np.repeat(size, np.diff(cut)).astype(np.float32)
-    e = np.zeros((1 << BITS, WIDTH))
+    bucket = (np.cumsum(used, dtype=np.int32) - 1)[bucket]  # numbered without gaps from here on
+    e = np.zeros((WIDTH, int(used.sum())))
     w, b = rng.normal(0, 0.5, (WIDTH, 2)), np.array([0.0, bias])
     ge, gw, gb = 1e-8, np.full((WIDTH, 2), 1e-6), np.full(2, 1e-2)
     steps, step = EPOCHS * -(-len(labels) // BATCH), 0
@@ -107,7 +108,7 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
             place = np.repeat(cut[rows] - (np.cumsum(long) - long), long) + np.arange(long.sum())
             row = np.repeat(np.arange(len(rows)), long)
             f, share_ = bucket[place], weight[place]
-            mean = np.stack([np.bincount(row, share_ * e[f, d], len(rows)) for d in range(WIDTH)], axis=1)
+            mean = np.stack([np.bincount(row, share_ * e[d][f], len(rows)) for d in range(WIDTH)], axis=1)
             logit = mean @ w + b
             p = np.exp(logit - logit.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
@@ -115,18 +116,20 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
             p /= len(rows)
             back = p @ w.T
             dw, db = mean.T @ p, p.sum(axis=0)
-            hot, slot = np.unique(f, return_inverse=True)
-            de = np.stack([np.bincount(slot, share_ * back[row, d], len(hot)) for d in range(WIDTH)], axis=1)
+            de = [np.bincount(f, share_ * back[row, d], e.shape[1]) for d in range(WIDTH)]
             # one Adagrad scale for all embeddings: rates of their own would let rare buckets learn single texts by heart
             left = 1 - step / steps
             step += 1
-            ge += (de * de).sum()
-            e[hot] -= EMBEDDING_RATE * left * de / np.sqrt(ge)
+            ge += sum(float(x @ x) for x in de)
+            for d in range(WIDTH):
+                e[d] -= EMBEDDING_RATE * left / np.sqrt(ge) * de[d]
             gw += dw * dw
             w -= RATE * left * dw / np.sqrt(gw)
             gb += db * db
             b -= 0.1 * RATE * left * db / np.sqrt(gb)
-    return rarity * (e @ (w[:, 1] - w[:, 0])), float(b[1] - b[0])
+    part = np.zeros(1 << BITS)
+    part[used] = rarity[used] * ((w[:, 1] - w[:, 0]) @ e)
+    return part, float(b[1] - b[0])
 
 
 def score(texts: list[bytes | None], part: np.ndarray, bias: float) -> np.ndarray:
