@@ -17,6 +17,7 @@ columns named like an output column are replaced by it. Documents are not shuffl
 from __future__ import annotations
 
 import zlib
+from collections import deque
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ LONGEST = 6
 WIDTH = 4
 LEAST_TEXTS = 8
 MOST_TEXTS = 0.2
-SAMPLE = (4500, 2500)
+SAMPLE = (4000, 2000)
 SLICES = 4
 EPOCHS = 12
 BATCH = 64
@@ -84,17 +85,24 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
     if share in (0.0, 1.0):
         return np.zeros(1 << BITS), bias
     rng = np.random.default_rng(seed)
-    size = np.maximum(1, np.add.reduceat(np.append(n, 0).astype(np.int64), cut[:-1]) * (np.diff(cut) > 0))
+    size = [max(1, int(n[i:j].sum(dtype=np.int64))) for i, j in zip(cut, cut[1:])]
     # buckets in too few texts to learn from, or in too many of label 0 to tell anything, are left out; the others weigh by rarity
-    df = np.bincount(bucket, minlength=1 << BITS)
-    clear = np.concatenate([bucket[cut[i] : cut[i + 1]] for i in np.flatnonzero(labels == 0)])
-    used = (df >= LEAST_TEXTS) & (np.bincount(clear, minlength=1 << BITS) <= MOST_TEXTS * (labels == 0).sum())
+    df, plain = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for i, y in enumerate(labels.tolist()):  # a text holds a bucket once
+        df[bucket[cut[i] : cut[i + 1]]] += 1
+        if not y:
+            plain[bucket[cut[i] : cut[i + 1]]] += 1
+    used = (df >= LEAST_TEXTS) & (plain <= MOST_TEXTS * (labels == 0).sum())
     rarity = np.where(used, np.log(len(labels) / np.maximum(df, 1)), 0.0)
-    keep = used[bucket]
-    cut = np.concatenate([[0], np.cumsum(keep)])[cut]
-    bucket, n = bucket[keep], n[keep]
-    weight = n * rarity[bucket].astype(np.float32)
-    weight /= np.repeat(size, np.diff(cut)).astype(np.float32)
+    kept, weight, ends = [], [], [0]
+    for i in range(len(labels)):
+        f, k = bucket[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
+        on = used[f]
+        kept.append(f[on])
+        weight.append((k[on] * rarity[f[on]] / size[i]).astype(np.float32))
+        ends.append(ends[-1] + len(kept[-1]))
+    bucket, weight, cut = np.concatenate(kept), np.concatenate(weight), np.array(ends)
+    del kept, n
     bucket = (np.cumsum(used, dtype=np.int32) - 1)[bucket]  # numbered without gaps from here on
     e = np.zeros((WIDTH, int(used.sum())))
     w, b = rng.normal(0, 0.5, (WIDTH, 2)), np.array([0.0, bias])
@@ -160,13 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not rows:
         return np.zeros(1 << BITS), -700.0
     # tasks may end in any order; training must not depend on it
-    rows.sort(key=lambda x: x[:2])
+    rows = deque(sorted(rows, key=lambda x: x[:2]))
     label = np.array([x[0] for x in rows])
     long = np.array([len(x[2]) // 5 for x in rows])
-    bucket = np.frombuffer(b"".join(x[2][: 4 * k] for x, k in zip(rows, long.tolist())), "<i4")
-    n = np.frombuffer(b"".join(x[2][4 * k :] for x, k in zip(rows, long.tolist())), np.uint8)
-    del rows
-    part, bias = fit(label, np.concatenate([[0], np.cumsum(long)]), bucket, n)
+    cut = np.concatenate([[0], np.cumsum(long)])
+    bucket, n = np.empty(cut[-1], np.int32), np.empty(cut[-1], np.uint8)
+    for i, j in zip(cut.tolist(), cut[1:].tolist()):
+        bag = rows.popleft()[2]
+        bucket[i:j], n[i:j] = np.frombuffer(bag, "<i4", j - i), np.frombuffer(bag, np.uint8, j - i, 4 * (j - i))
+    part, bias = fit(label, cut, bucket, n)
     return part, bias - float(np.log(shares[1] / shares[0]))
 
 
