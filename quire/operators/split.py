@@ -65,10 +65,10 @@ def split(blocks: DataFrame, pattern: str, boundaries: R.Rectangle | None = None
         return pa.array(out, arrow_type(T.ArrayType(_PART)))
 
     inside = F.lit(True) if boundaries is None else R.overlaps(F.col("bbox"), boundaries.literal(), 1.0)
-    # blocks without a match never reach Python
-    maybe = inside & F.col("text").rlike(java(pattern))
+    # a UDF in a condition would run for every row: blocks without a match go another way, past Python
+    maybe = F.coalesce(inside & F.col("text").rlike(java(pattern)), F.lit(False))
     whole = F.array(F.struct("text", "bbox", "chars"))
-    cut = blocks.withColumn("__p", F.when(maybe, F.coalesce(parts("text", "chars"), whole)).otherwise(whole))
-    out = cut.select("doc_id", "block_id", "page_index", F.posexplode("__p").alias("__n", "x"))
+    cut = blocks.where(maybe).withColumn("__p", F.coalesce(parts("text", "chars"), whole))
+    out = cut.unionByName(blocks.where(~maybe).withColumn("__p", whole)).select("doc_id", "block_id", "page_index", F.posexplode("__p").alias("__n", "x"))
     w = Window.partitionBy("doc_id").orderBy("block_id", "__n")
     return out.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("block_id"), "page_index", "x.text", "x.bbox", "x.chars")
