@@ -4,10 +4,12 @@
    by hash bucket; buckets merge the counts exactly. The merged table is written.
 2. A count c has level 1 + floor(log2 c). A pair (n-gram, j) is inserted for each
    j up to its level, with HASHES bits, into the segment of the n-gram's bucket, so
-   segments are built independently. Filters have a fixed size (2**26 bits for words,
-   2**28 for pairs); the lowest level kept is the smallest with which the filter stays
-   at most half full, so the error of a probe is bounded and frequent n-grams are never
-   lost. The two filters are broadcast: 40 MB for any corpus.
+   segments are built independently. Every counted n-gram is inserted: a filter has
+   2**26 bits for words, 2**28 for pairs, or the next power of two that all insertions
+   leave at most half full, so the error of a probe is bounded at any size. A filter of
+   the least size is broadcast (40 MB for both). A larger one is never held whole: the
+   distinct n-grams of blocks of texts go, by hash bucket, to the merged table, are
+   probed in the bucket's segment, and their levels come back by block.
 3. A level is read back by probing j = 1, 2, ... until one is missing; a level stands
    for the middle of its counts. With f for these counts,
    P(w | u) = WEIGHT * min(1, f(u, w) / f(u)) + (1 - WEIGHT) * (f(w) + 1) / (N + V + 1),
@@ -40,6 +42,9 @@ HASHES = 5
 HEAD = 1 << 21
 WEIGHT = 0.3
 FLUSH = 4 << 20
+BLOCK = 1 << 20
+#: What a payload asks for: the levels of words, of pairs, exact counts of words.
+WORD, PAIR, EXACT = 0, 1, 2
 _U = np.uint64
 END = _U(0x1F83D9ABFB41BD6B)
 _LOW40 = _U((1 << 40) - 1)
@@ -134,44 +139,49 @@ def _merge(table: pa.Table) -> pa.Table:
 def _places(h: np.ndarray, j: int, bits: int) -> list[np.ndarray]:
     """The HASHES bits of (n-gram, j): all in the segment of the n-gram's bucket."""
     own = bits - BUCKET_BITS
+    each = min(3, 64 // own)  # places read from one mix
     base = (h >> _U(64 - BUCKET_BITS)) << _U(own)
     out, g = [], h
     for i in range(HASHES):
-        if i % 3 == 0:
+        if i % each == 0:
             g = mix(g + _U((j * 64 + i + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        out.append(base | ((g >> _U(own * (i % 3))) & _U((1 << own) - 1)))
+        out.append(base | ((g >> _U(own * (i % each))) & _U((1 << own) - 1)))
     return out
 
 
-def _segments(lowest: dict[int, int]):
+def _segment(bits: int, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The packed bits of the n-grams of one bucket with these counts."""
+    size = 1 << (bits - BUCKET_BITS)
+    on = np.zeros(size, bool)
+    q = level(n)
+    j = 1
+    while len(h):
+        for place in _places(h, j, bits):
+            on[(place & _U(size - 1)).astype(np.int64)] = True
+        j += 1
+        h, q = h[q >= j], q[q >= j]
+    return np.packbits(on)
+
+
+def _segments(bits: tuple[int, int]):
     def run(batches):
         for batch in batches:
             for kind, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                bits = (WORD_BITS, PAIR_BITS)[kind]
-                size = 1 << (bits - BUCKET_BITS)
-                on = np.zeros(size, bool)
-                h, n = _unpacked(kind, bucket, payload)
-                q = level(n)
-                h, q = h[q >= lowest[kind]], q[q >= lowest[kind]]
-                j = 1
-                while len(h):
-                    for place in _places(h, j, bits):
-                        on[(place & _U(size - 1)).astype(np.int64)] = True
-                    j += 1
-                    h, q = h[q >= j], q[q >= j]
-                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([np.packbits(on).tobytes()], pa.binary())], names=["kind", "bucket", "bits"])
+                on = _segment(bits[kind], *_unpacked(kind, bucket, payload))
+                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([on.tobytes()], pa.binary())], names=["kind", "bucket", "bits"])
 
     return run
 
 
 def probe(filter_: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    """The level of each n-gram: how many successive (n-gram, j) are members."""
+    """The level of each n-gram: how many successive (n-gram, j) are members. The filter is whole, or the segment of the bucket that all n-grams are of."""
     out = np.zeros(len(h), np.int64)
+    inside = _U(8 * len(filter_) - 1)
     at = np.arange(len(h))
     j = 1
     while len(at):
         for place in _places(h[at], j, bits):
-            p = place.astype(np.int64) if len(place) == len(at) else place[alive].astype(np.int64)
+            p = ((place if len(place) == len(at) else place[alive]) & inside).astype(np.int64)
             hit = ((filter_[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
             if len(place) == len(at):
                 alive, at = np.flatnonzero(hit), at[hit]
@@ -184,17 +194,17 @@ def probe(filter_: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _level_limit(levels: np.ndarray, bits: int) -> int:
-    """The lowest level kept: as low as fits insertions that set half of the bits."""
-    room = int((1 << bits) * np.log(2) / HASHES)
-    for low in range(1, len(levels)):
-        if (levels[low:] * np.arange(low, len(levels))).sum() <= room:
-            return low
-    return len(levels)
+def _bits(levels: np.ndarray, least: int) -> int:
+    """The size of a filter, at least 2**least bits: a power of two of which all insertions set half at most."""
+    insertions = int((levels * np.arange(len(levels))).sum())
+    bits = least
+    while (1 << bits) * np.log(2) / HASHES < insertions:
+        bits += 1
+    return bits
 
 
 def train(texts: DataFrame, text_col: str = "text") -> dict:
-    """The model of the texts: filters, exact head counts, N, V and the merged table."""
+    """The model of the texts: filters (None for one too large to broadcast) and their sizes, exact head counts, N, V and the merged table."""
     spark = prepared(texts.sparkSession)
     here = shared_dir(spark)
     merged = written(
@@ -203,16 +213,19 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
         .groupBy("kind", "bucket")
         .applyInArrow(_merge, "kind int, bucket int, total long, levels array<long>, payload binary"),
         here,
+        free=True,
     )
     stats = merged.groupBy("kind").agg(F.sum("total").alias("total"), *(F.sum(F.get("levels", F.lit(i))).alias(f"l{i}") for i in range(64))).collect()
     levels = {r.kind: np.array([r[f"l{i}"] or 0 for i in range(64)], np.int64) for r in stats}
     n = next((r.total for r in stats if r.kind == 0), 0)
     levels = {k: levels.get(k, np.zeros(64, np.int64)) for k in (0, 1)}
-    lowest = {k: _level_limit(levels[k], b) for k, b in ((0, WORD_BITS), (1, PAIR_BITS))}
-    filters = [np.zeros(1 << (b - 3), np.uint8) for b in (WORD_BITS, PAIR_BITS)]
-    built = merged.select("kind", "bucket", "payload").mapInArrow(_segments(lowest), "kind int, bucket int, bits binary").toArrow()
-    for kind, bucket, bits in zip(*(built.column(i).to_pylist() for i in range(3))):
-        filters[kind][bucket * len(bits) : (bucket + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
+    least = (WORD_BITS, PAIR_BITS)
+    bits = tuple(_bits(levels[k], least[k]) for k in (WORD, PAIR))
+    filters = [np.zeros(1 << (b - 3), np.uint8) if b == l else None for b, l in zip(bits, least)]
+    small = [k for k in (WORD, PAIR) if filters[k] is not None]
+    built = merged.where(F.col("kind").isin(small)).select("kind", "bucket", "payload").mapInArrow(_segments(bits), "kind int, bucket int, bits binary").toArrow()
+    for kind, bucket, part in zip(*(built.column(i).to_pylist() for i in range(3))):
+        filters[kind][bucket * len(part) : (bucket + 1) * len(part)] = np.frombuffer(part, np.uint8)
     above = np.cumsum(levels[0][::-1])[::-1]
     head_level = next((q for q in range(1, 64) if above[q] <= HEAD), 64)
 
@@ -226,30 +239,38 @@ def train(texts: DataFrame, text_col: str = "text") -> dict:
     head = merged.where("kind = 0").select("bucket", "payload").mapInArrow(heads, "h long, c long").toArrow()
     h, c = head.column(0).to_numpy().view(np.uint64), head.column(1).to_numpy()
     order = np.argsort(h)
-    return {"n": int(n), "v": int(levels[0].sum()), "filters": filters, "head": (h[order], c[order]), "whole": head_level == 1, "merged": merged}
+    return {"n": int(n), "v": int(levels[0].sum()), "filters": filters, "bits": bits, "head": (h[order], c[order]), "whole": head_level == 1, "merged": merged}
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score."""
     spark = prepared(docs.sparkSession)
     sc = spark.sparkContext
-    n, v, whole = model["n"], model["v"], model["whole"]
+    n, v, whole, bits = model["n"], model["v"], model["whole"], model["bits"]
+    large = [k for k in (WORD, PAIR) if model["filters"][k] is None]
     shared = sc.broadcast((*model["filters"], *model["head"]))
     names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    keep = others(docs, *names)
+    result = keep = others(docs, *names)
+    if large and text_col not in keep:  # read again by block
+        docs = docs.withColumn("__quire_text", quoted(text_col))
+        text_col, keep = "__quire_text", [*keep, "__quire_text"]
     fields = [f for f in docs.schema.fields if f.name in keep]
-    own = "__quire_row long, __quire_n long, __quire_known long, __quire_logs double, __quire_score double, __quire_bucket int, __quire_payload binary"
+    own = "__quire_row long, __quire_n long, __quire_known long, __quire_logs double, __quire_score double, __quire_block long, __quire_kind int, __quire_bucket int, __quire_payload binary"
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + list(T._parse_datatype_string(own).fields))
 
+    def log_p(f_word: np.ndarray, f_before: np.ndarray, f_pair: np.ndarray) -> np.ndarray:
+        share = np.divide(f_pair, f_before, out=np.zeros(len(f_word)), where=f_before > 0)
+        return np.log10(WEIGHT * np.minimum(1.0, share) + (1 - WEIGHT) * (f_word + 1) / (n + v + 1))
+
     def run(batches):
         from pyspark import TaskContext
 
         words, pairs, head_h, head_c = shared.value
-        row = TaskContext.get().partitionId() << 40
+        block = row = TaskContext.get().partitionId() << 40
         left: list[tuple[np.ndarray, np.ndarray]] = []
-        types = None
+        own: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch, texts in chunks(batches, text_col):
-            types = [c.type for c in batch.columns]
             h, before, ends = tokens(texts)
             cut = np.concatenate([[0], ends])
             sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[cut])
@@ -258,47 +279,97 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             in_head = head_h[at] == uniq if len(head_h) else np.zeros(len(uniq), bool)
             exact = np.where(in_head, head_c[at] if len(head_h) else 0, 0)
             logs = np.log10(exact + 1.0)[back]
-            f = middle(probe(words, WORD_BITS, uniq))
-            f_word = f[back]
-            f_before = np.concatenate([[0.0], f_word[:-1]])
-            f_before[cut[:-1]] = middle(probe(words, WORD_BITS, np.array([END], np.uint64)))[0]
-            first = before.copy()
-            first[cut[:-1]] = END
-            u2, back2 = np.unique(pair_hashes(first, h), return_inverse=True)
-            f_pair = middle(probe(pairs, PAIR_BITS, u2))[back2]
-            share = np.divide(f_pair, f_before, out=np.zeros(len(h)), where=f_before > 0)
-            p = WEIGHT * np.minimum(1.0, share) + (1 - WEIGHT) * (f_word + 1) / (n + v + 1)
+            pair = pair_hashes(before, h)
+            if large:
+                own.append((uniq, np.unique(pair)))
+                size += len(h)
+                logs_p = np.zeros(len(h))
+            else:
+                f = middle(probe(words, bits[WORD], uniq))
+                f_word = f[back]
+                f_before = np.concatenate([f[np.searchsorted(uniq, before[:1])], f_word[:-1]])
+                u2, back2 = np.unique(pair, return_inverse=True)
+                logs_p = log_p(f_word, f_before, middle(probe(pairs, bits[PAIR], u2))[back2])
             m = len(texts)
             if not whole:
                 out = np.flatnonzero(~in_head[back])
                 left.append((h[out], row + np.searchsorted(cut, out, side="right") - 1))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.record_batch(
-                [*cols, pa.array(row + np.arange(m)), pa.array(np.diff(cut)), pa.array(sums(in_head[back].astype(np.int64))), pa.array(sums(logs)), pa.array(sums(np.log10(p))), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
+                [*cols, pa.array(row + np.arange(m)), pa.array(np.diff(cut)), pa.array(sums(in_head[back].astype(np.int64))), pa.array(sums(logs)), pa.array(sums(logs_p)), pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
                 names=[f.name for f in schema.fields],
             )
             row += m
             if sum(len(x[0]) for x in left) >= FLUSH:
-                yield from tails(left, types, batch)
+                yield tails(left, batch)
                 left = []
+            if size >= BLOCK:
+                yield from unknown(block, own, batch)
+                own, size, block = [], 0, row
         if left and sum(len(x[0]) for x in left):
-            yield from tails(left, types, batch)
+            yield tails(left, batch)
+        if own:
+            yield from unknown(block, own, batch)
 
-    def tails(left, types, batch):
+    def asking(batch, kind, block, some):
+        """Rows that ask a bucket, without documents."""
+        k = len(some)
+        empty = [pa.nulls(k, batch.schema.field(c).type) for c in keep]
+        rest = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+        return pa.record_batch([*empty, *rest, pa.array([block] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array([b for b, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], names=[f.name for f in schema.fields])
+
+    def tails(left, batch):
         """Words outside the head, with their rows, by bucket."""
         h, rows = (np.concatenate(x) for x in zip(*left))
         order = np.argsort(h)
         h, rows = h[order], rows[order]
         cut = _cuts(h)
-        some = [(b, h[i:j].tobytes() + rows[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-        k = len(some)
-        empty = [pa.nulls(k, batch.schema.field(c).type) for c in keep]
-        yield pa.record_batch([*empty, *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())), pa.array([b for b, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], names=[f.name for f in schema.fields])
+        return asking(batch, EXACT, None, [(b, h[i:j].tobytes() + rows[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
+
+    def unknown(block, own, batch):
+        """The distinct n-grams of a block whose filter is too large to broadcast, by bucket."""
+        for kind in large:
+            h = np.unique(np.concatenate([x[kind] for x in own]))
+            cut = _cuts(h)
+            yield asking(batch, kind, block, [(b, _packed(kind, h[i:j], np.ones(j - i, np.int64))) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
+
+    def levels_of(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        """The levels, as bytes, of what was asked of one bucket."""
+        out = []
+        if asked.num_rows:
+            kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
+            seen = [_unpacked(kind, bucket, p) for p in counts.column("payload").to_pylist()]
+            on = _segment(bits[kind], *(seen[0] if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
+            out = [probe(on, bits[kind], _unpacked(kind, bucket, p)[0]).astype(np.uint8).tobytes() for p in asked.column("payload").to_pylist()]
+        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "levels": pa.array(out, pa.binary())})
+
+    def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The documents of one block with their scores."""
+        words, pairs, _, _ = shared.value
+        texts = [t for _, some in chunks(table.to_batches(), text_col) for t in some]
+        h, before, ends = tokens(texts)
+        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "levels"))))
+        f = []
+        for kind, x, filter_ in ((WORD, h, words), (PAIR, pair_hashes(before, h), pairs)):
+            uniq, back = np.unique(x, return_inverse=True)
+            q = np.frombuffer(b"".join(p for k, _, p in got if k == kind), np.uint8) if kind in large else probe(filter_, bits[kind], uniq)
+            f.append(middle(q)[back])
+            if kind == WORD:  # every text has the end mark
+                f.append(middle(q)[np.searchsorted(uniq, before)])
+        total = np.diff(np.concatenate([[0], np.cumsum(log_p(*f))])[np.concatenate([[0], ends])])
+        return table.set_column(table.column_names.index("__quire_score"), "__quire_score", pa.array(total))
 
     first = docs.mapInArrow(run, schema)
+    if large or not whole:
+        asked = written(first, shared_dir(spark))  # row numbers hold from here on
+        first = asked.where("__quire_payload IS NULL")
+    if large:
+        ask = asked.where(F.col("__quire_kind").isin(large)).select(*(F.col(f"__quire_{c}").alias(c) for c in ("block", "kind", "bucket", "payload")))
+        counted = model["merged"].where(F.col("kind").isin(large)).select("kind", "bucket", "payload")
+        answers = written(ask.groupBy("kind", "bucket").cogroup(counted.groupBy("kind", "bucket")).applyInArrow(levels_of, "block long, kind int, bucket int, levels binary"), free=True)
+        first = first.groupBy("__quire_block").cogroup(answers.groupBy("block")).applyInArrow(scored, first.schema)
     if not whole:
-        first = written(first, shared_dir(spark))  # row numbers hold from here on
-        ask = first.where("__quire_payload IS NOT NULL").select(F.col("__quire_bucket").alias("bucket"), F.col("__quire_payload").alias("payload"))
+        ask = asked.where(F.col("__quire_kind") == EXACT).select(F.col("__quire_bucket").alias("bucket"), F.col("__quire_payload").alias("payload"))
 
         def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
             data = asked.column("payload").to_pylist()
@@ -316,12 +387,12 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
         words = model["merged"].where("kind = 0").select("bucket", "payload")
         more = ask.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "row long, known long, logs double")
         more = more.groupBy(F.col("row").alias("__quire_row")).agg(F.sum("known").alias("__quire_known2"), F.sum("logs").alias("__quire_logs2"))
-        first = first.where("__quire_payload IS NULL").join(more, "__quire_row", "left")
+        first = first.join(more, "__quire_row", "left")
     else:
         first = first.withColumn("__quire_known2", F.lit(0)).withColumn("__quire_logs2", F.lit(0.0))
     zero: Column = F.lit(0)
     return first.select(
-        *(quoted(c) for c in keep),
+        *(quoted(c) for c in result),
         F.col("__quire_n").alias("n_tokens"),
         (F.col("__quire_known") + F.coalesce("__quire_known2", zero)).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),

@@ -36,11 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/quire-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, where: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors."""
+#: With it, Spark deletes the shuffle files of a plan when it has run, not when its objects are collected.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, where: str | None = None, free: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and survives lost executors. free: its shuffle files go at once."""
     spark = df.sparkSession
     where = where or shared_dir(spark)
-    df.write.mode("overwrite").parquet(where)
+    before = spark.conf.get(FREE, "false")
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.mode("overwrite").parquet(where)
+    finally:
+        spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(where)
 
 

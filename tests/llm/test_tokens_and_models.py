@@ -201,6 +201,38 @@ def test_bloom_lm(spark, monkeypatch, head):
     assert bloom_lm.score(df.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("word_bits, head", [(26, 1 << 21), (12, 8)])
+def test_bloom_lm_inserts_every_n_gram(spark, monkeypatch, word_bits, head):
+    """Filters grow with the counts, also past the size that is broadcast: no n-gram seen once is lost."""
+    monkeypatch.setattr(bloom_lm, "PAIR_BITS", 18)
+    monkeypatch.setattr(bloom_lm, "WORD_BITS", word_bits)
+    monkeypatch.setattr(bloom_lm, "HEAD", head)
+    monkeypatch.setattr(bloom_lm, "BLOCK", 20_000)
+    r = random.Random(4)
+    values = [" ".join(f"w{r.randrange(5000)}" for _ in range(200)) for _ in range(600)] + [None, "", "never seen"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(values)], "doc_id long, score string").repartition(3)
+    model = bloom_lm.train(df.where("doc_id < 600"), "score")
+    assert [f is None for f in model["filters"]] == [word_bits == 12, True]
+    words = [[*(t or "").split(), None] for t in values]
+    counts, pairs = {}, {}
+    for w in words[:600]:
+        for a, b in zip([None, *w], w):
+            counts[b] = counts.get(b, 0) + 1
+            pairs[a, b] = pairs.get((a, b), 0) + 1
+    size = sum(counts.values()) + len(counts) + 1
+    mid = lambda c: float(bloom_lm.middle(bloom_lm.level(np.array([c])))[0]) if c else 0.0
+    done = {x.doc_id: x for x in bloom_lm.score(df, model, "score").collect()}
+    assert len(done) == len(values) and len(bloom_lm.score(df, model, "score").columns) == 6
+    off = []
+    for i, w in enumerate(words):
+        want = sum(np.log10(0.3 * min(1.0, mid(pairs.get(p)) / (mid(counts.get(p[0])) or 1.0)) + 0.7 * (mid(counts.get(p[1])) + 1) / size) for p in zip([None, *w], w))
+        off.append((done[i].score - want) / len(w))
+        assert done[i].n_known == sum(t in counts for t in w)
+        if word_bits == 26 and i < 600:  # a filter of pairs never reads back less than was put in
+            assert done[i].score >= want - 1e-6
+    assert np.abs(off[:600]).mean() < 0.02
+
+
 def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(3)
