@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import rect as R
@@ -15,13 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every document in 10-point Courier: six to a line, fifty lines to a page."""
+    """Every word of every document in 10-point Courier: six to a line, fifty lines to a page. A word of over 14 characters is set narrower, in the width of 14."""
     words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("pos", "w"))
     page = F.floor(F.col("pos") / 300).cast("int")
     base = page * PAGE_HEIGHT + 36 + F.floor(F.col("pos") / 6) % 50 * 14
     left = (36 + F.col("pos") % 6 * 96).cast("double")
-    text = F.substring("w", 1, 14)
-    return words.select("doc_id", F.col("pos").cast("long").alias("block_id"), page.alias("page_index"), text.alias("text"), R.rect(base - F.lit(6.29), left, base + F.lit(1.57), left + F.length(text) * 6.0).alias("bbox"))
+    width = F.least(F.length("w"), F.lit(14)) * 6.0
+    return words.select("doc_id", F.col("pos").cast("long").alias("block_id"), page.alias("page_index"), F.col("w").alias("text"), R.rect(base - F.lit(6.29), left, base + F.lit(1.57), left + width).alias("bbox"))
+
+
+def advance(text: Column, bbox: Column) -> Column:
+    """The width of each character of a word."""
+    return (bbox["right"] - bbox["left"]) / F.length(text)
 
 
 WORDS_SQL = """w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS ws FROM documents)),

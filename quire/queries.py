@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import derive
-from quire.derive import RECTS_SQL, WORDS_SQL, line_rects, table, word_blocks
+from quire.derive import RECTS_SQL, WORDS_SQL, advance, line_rects, table, word_blocks
 from quire.functions import color, expand, tokens
 from quire.functions import rect as R
 from quire.operators import layout, reading, scope, search, segment, split
@@ -192,14 +192,15 @@ def word_glyphs(s, d) -> DataFrame:
     chars = w.select("doc_id", "page_index", "block_id", F.col("text").alias("w"), "bbox", F.posexplode(F.split("text", "")).alias("i", "ch")).where("ch <> ''")
     high = 792.0 - (b["top"] - F.col("page_index") * 792.0)
     low = 792.0 - (b["bottom"] - F.col("page_index") * 792.0)
-    left = b["left"] + F.col("i") * 6.0
-    return chars.select("doc_id", "page_index", (F.col("block_id") * 16 + F.col("i")).alias("seq"), "ch", R.rect(low, left, high, left + 6.0).alias("bbox"), F.lit(10.0).alias("font_size"))
+    wide = advance(F.col("w"), b)
+    left = b["left"] + F.col("i") * wide
+    return chars.select("doc_id", "page_index", (F.col("block_id") * (1 << 31) + F.col("i")).alias("seq"), "ch", R.rect(low, left, high, left + wide).alias("bbox"), F.lit(10.0).alias("font_size"))
 
 
 _add(
     "segment_words",
     lambda s, d: segment.segment(word_glyphs(s, d)).select("doc_id", "block_id", "page_index", "text", F.size("chars").alias("n_chars"), F.col("bbox")["left"].alias("left"), F.col("bbox")["right"].alias("right")),
-    # a word of 16 letters would meet the next one; words have 14 at most, so blocks are the words
+    # a word is at most as wide as 14 letters, so none meets the next one and blocks are the words
     f'WITH {WORDS_SQL} SELECT doc_id, block_id, page_index, text, CAST(length(text) AS INTEGER) AS n_chars, "left", "right" FROM blocks',
 )
 
@@ -296,7 +297,8 @@ _add(
 def _with_chars(s, d) -> DataFrame:
     w = word_blocks(s, d)
     b = F.col("bbox")
-    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("ch"), R.rect(b["top"], b["left"] + i * 6.0, b["bottom"], b["left"] + i * 6.0 + 6.0).alias("bbox")))
+    wide = advance(F.col("text"), b)
+    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("ch"), R.rect(b["top"], b["left"] + i * wide, b["bottom"], b["left"] + i * wide + wide).alias("bbox")))
     return w.withColumn("chars", chars)
 
 
@@ -324,7 +326,7 @@ def _written_pdfs(s, d) -> DataFrame:
         for batch in batches:
             files = []
             for ps in batch.column(1).to_pylist():
-                bodies = [text_page([(36 + x["block_id"] % 6 * 96, 756 - x["block_id"] // 6 % 50 * 14, x["text"]) for x in p["ws"]]) for p in ps]
+                bodies = [text_page([(36 + x["block_id"] % 6 * 96, 756 - x["block_id"] // 6 % 50 * 14, x["text"], min(100.0, 1400 / len(x["text"]))) for x in p["ws"]]) for p in ps]
                 files.append(write_pdf(bodies))
             yield pa.record_batch([batch.column(0), pa.array(files, pa.binary())], names=["doc_id", "content"])
 

@@ -10,10 +10,14 @@ def _string(text: str) -> bytes:
     return b"(" + raw.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
 
 
-def text_page(items: list[tuple[float, float, str]], font: str = "F1", size: float = 10) -> bytes:
-    """A content stream that shows each (x, y, text)."""
+def text_page(items: list[tuple], font: str = "F1", size: float = 10) -> bytes:
+    """A content stream that shows each (x, y, text) or (x, y, text, horizontal scale in percent)."""
     body = [f"BT /{font} {size:g} Tf".encode()]
-    for x, y, text in items:
+    now = 100.0
+    for x, y, text, *scale in items:
+        if scale and scale[0] != now:
+            now = scale[0]
+            body.append(f"{now:g} Tz".encode())
         body.append(f"1 0 0 1 {x:g} {y:g} Tm ".encode() + _string(text) + b" Tj")
     return b"\n".join([*body, b"ET"])
 
