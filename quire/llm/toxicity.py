@@ -4,7 +4,8 @@ A text is the bag of its distinct words and their character 3- to 6-grams (a spa
 marks a word's edge), hashed to 2**20 buckets. Bucket embeddings and the softmax over
 their average are trained jointly, in numpy on the driver, by Adagrad over minibatches of a
 bounded sample of labelled rows: SAMPLE of label 0 and of label 1 in expectation,
-chosen by a hash of the id; the bias is corrected for their different shares. Misspellings and new endings share n-grams with words seen in training.
+chosen by a hash of the id. Buckets that training leaves out are counted and dropped by
+Spark, so that the driver holds only the others; the bias is corrected for their different shares. Misspellings and new endings share n-grams with words seen in training.
 
 A bucket enters the two logits only through its embedding times the softmax weights,
 so one number a bucket is broadcast (8 MB), and whole texts are scored by its mean.
@@ -34,7 +35,7 @@ LONGEST = 6
 WIDTH = 4
 LEAST_TEXTS = 8
 MOST_TEXTS = 0.2
-SAMPLE = (4000, 2000)
+SAMPLE = (4500, 2500)
 SLICES = 4
 EPOCHS = 12
 BATCH = 64
@@ -78,14 +79,50 @@ def _bags(batches):
         yield pa.record_batch([pa.array(part, pa.int32()), batch.column(1), pa.array(bags, pa.binary())], names=["part", "label", "bag"])
 
 
-def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
-    """(the part of each bucket in logit 1 minus logit 0, the bias) of the trained network. Row i holds bucket[cut[i]:cut[i + 1]], each n times."""
+def _parts(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = len(bag) // 5
+    return np.frombuffer(bag, "<i4", m), np.frombuffer(bag, np.uint8, m, 4 * m)
+
+
+def _texts(batches):
+    """Texts, and texts of label 0, that hold each bucket."""
+    both = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        for y, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            both[y, _parts(bag)[0]] += 1  # a text holds a bucket once
+    held = np.flatnonzero(both.any(axis=0))
+    for lo in range(0, len(held), 1 << 16):
+        some = held[lo : lo + (1 << 16)]
+        yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(both[:, some].sum(axis=0).astype(np.int64)), pa.array(both[0, some].astype(np.int64))], names=["bucket", "n", "plain"])
+
+
+def _thinned(shared):
+    """Label, crc32 and length of each bag, and the part of it in used buckets."""
+
+    def run(batches):
+        used = np.zeros(1 << BITS, bool)
+        used[shared.value] = True
+        for batch in batches:
+            bags = batch.column(1).to_pylist()
+            out, size = [], []
+            for bag in bags:
+                bucket, n = _parts(bag)
+                on = used[bucket]
+                out.append(bucket[on].tobytes() + n[on].tobytes())
+                size.append(int(n.sum(dtype=np.int64)))
+            yield pa.record_batch([batch.column(0), pa.array([zlib.crc32(x) for x in bags], pa.int64()), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["label", "crc", "size", "bag"])
+
+    return run
+
+
+def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray, seed: int = 0, size: list[int] | None = None) -> tuple[np.ndarray, float]:
+    """(the part of each bucket in logit 1 minus logit 0, the bias) of the trained network. Row i holds bucket[cut[i]:cut[i + 1]], each n times; size: the lengths of the rows where some buckets are left out."""
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if share in (0.0, 1.0):
         return np.zeros(1 << BITS), bias
     rng = np.random.default_rng(seed)
-    size = [max(1, int(n[i:j].sum(dtype=np.int64))) for i, j in zip(cut, cut[1:])]
+    size = [max(1, x) for x in size or [int(n[i:j].sum(dtype=np.int64)) for i, j in zip(cut, cut[1:])]]
     # buckets in too few texts to learn from, or in too many of label 0 to tell anything, are left out; the others weigh by rarity
     df, plain = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     for i, y in enumerate(labels.tolist()):  # a text holds a bucket once
@@ -160,15 +197,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # the sample's (id, label) rows: the side to broadcast
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label", "id")
     bags = written(texts.mapInArrow(_bags, "part int, label int, bag binary"))
+    plain = bags.where("label = 0").count()
+    used = bags.select("label", "bag").mapInArrow(_texts, "bucket int, n long, plain long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
+    used = used.where((F.col("n") >= LEAST_TEXTS) & (F.col("plain") <= MOST_TEXTS * plain)).select("bucket").toArrow().column(0).to_numpy()
+    thinned = _thinned(docs.sparkSession.sparkContext.broadcast(used))
     rows = []
     for i in range(SLICES):  # the driver holds the bags once, in numpy, and a slice of them on the way
-        table = bags.where(F.col("part") == i).select("label", "bag").toArrow()
-        rows += [(int(y), zlib.crc32(x), x) for y, x in zip(table.column(0).to_pylist(), table.column(1).to_pylist())]
+        table = bags.where(F.col("part") == i).select("label", "bag").mapInArrow(thinned, "label int, crc long, size long, bag binary").toArrow()
+        rows += zip(*(table.column(c).to_pylist() for c in ("label", "crc", "bag", "size")))
         del table
     if not rows:
         return np.zeros(1 << BITS), -700.0
     # tasks may end in any order; training must not depend on it
     rows = deque(sorted(rows, key=lambda x: x[:2]))
+    size = [x[3] for x in rows]
     label = np.array([x[0] for x in rows])
     long = np.array([len(x[2]) // 5 for x in rows])
     cut = np.concatenate([[0], np.cumsum(long)])
@@ -176,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for i, j in zip(cut.tolist(), cut[1:].tolist()):
         bag = rows.popleft()[2]
         bucket[i:j], n[i:j] = np.frombuffer(bag, "<i4", j - i), np.frombuffer(bag, np.uint8, j - i, 4 * (j - i))
-    part, bias = fit(label, cut, bucket, n)
+    part, bias = fit(label, cut, bucket, n, size=size)
     return part, bias - float(np.log(shares[1] / shares[0]))
 
 

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
@@ -168,6 +169,25 @@ def test_toxicity(spark):
         assert {r.predicted for r in toxicity.toxicity(docs, toxicity.train(docs, some)).collect()} == {int(some.count() > 0)}
 
 
+def test_toxicity_holds_used_buckets_only(spark, monkeypatch):
+    """The former sample, and a driver that holds no bucket of too few texts; the model is that of the whole bags."""
+    assert toxicity.SAMPLE == (4500, 2500)
+    r = random.Random(6)
+    rows = [(i, " ".join([f"rare{i}x{r.randrange(10**6)}"] + [r.choice(["bad", "worse", "awful"] if i % 3 == 0 else ["good", "fine", "nice"]) if r.random() < 0.3 else f"w{r.randrange(40)}" for _ in range(20)]), int(i % 3 == 0)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = {}
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda label, cut, bucket, n, **more: seen.update(bucket=bucket) or fit(label, cut, bucket, n, **more))
+    part, bias = toxicity.train(df, df.select("doc_id", "toxic"))
+    assert np.bincount(seen["bucket"])[np.unique(seen["bucket"])].min() >= toxicity.LEAST_TEXTS
+    bags = next(toxicity._bags([pa.record_batch({"text": [t for _, t, _ in rows], "label": pa.array([y for _, _, y in rows], pa.int32())})]))
+    whole = sorted((y, zlib.crc32(b), b) for y, b in zip(bags.column(1).to_pylist(), bags.column(2).to_pylist()))
+    cut = np.concatenate([[0], np.cumsum([len(x[2]) // 5 for x in whole])])
+    bucket, n = (np.concatenate(x) for x in zip(*(toxicity._parts(x[2]) for x in whole)))
+    want = fit(np.array([x[0] for x in whole]), cut, bucket, n)
+    assert np.allclose(part, want[0]) and bias == pytest.approx(want[1])
+
+
 @pytest.mark.parametrize("head", [1 << 21, 8])
 def test_bloom_lm(spark, monkeypatch, head):
     monkeypatch.setattr(bloom_lm, "HEAD", head)
