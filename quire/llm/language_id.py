@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of 1- to 3-grams of letters (a space marks a word's edge), hashed to 2**16
-buckets, are gathered from a bounded sample of labelled documents: SAMPLE of them in
-expectation, chosen by a hash of the id, alike at every size. The matrix of
+buckets, are gathered from a bounded sample of labelled documents: SAMPLE of each language in
+expectation, or all it has, chosen by a hash of the id. Priors are counted over all
+labelled documents. The matrix of
 log probabilities (2**16 rows, one column a language) is broadcast; whole texts are
 scored in numpy by summing its rows. The score is the posterior of the best language.
 
@@ -49,8 +50,12 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """(languages, log priors, log probabilities by language and bucket) from rows with a language."""
     prepared(labelled.sparkSession)
     rows = labelled.where(quoted(lang_col).isNotNull()).select(quoted(id_col).cast("string").alias("id"), quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"))
-    share = min(1.0, sample / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else rows
+    there = dict(rows.groupBy("lang").count().collect())
+    limit = F.lit(1 << 30)
+    for lang, n in there.items():
+        if n > sample:
+            limit = F.when(F.col("lang") == lang, int(sample / n * (1 << 30))).otherwise(limit)
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < limit)
     found = (
         some.select("text", "lang")
         .mapInArrow(_counter, "lang string, bucket array<int>, n array<long>")
@@ -64,7 +69,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     which = {x: i for i, x in enumerate(names)}
     counts[[which[x] for x in found.column(0).to_pylist()], found.column(1).to_numpy()] = found.column(2).to_numpy()
     smooth = counts[:, :-1] + SMOOTHING
-    prior = counts[:, -1] / max(1.0, counts[:, -1].sum())
+    prior = np.array([there[x] for x in names], float) / max(1, sum(there.values()))
     return names, np.log(np.maximum(prior, 1e-300)), np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
 

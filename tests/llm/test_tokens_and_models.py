@@ -169,6 +169,14 @@ def test_toxicity(spark):
         assert {r.predicted for r in toxicity.toxicity(docs, toxicity.train(docs, some)).collect()} == {int(some.count() > 0)}
 
 
+def test_language_id_samples_each_language(spark):
+    """A rare language is learned in full beside a common one; priors are those of all rows."""
+    rows = [(i, "the house and the tree", "en") for i in range(3000)] + [(3000 + i, "qvixu zwolk pfrump", "xx") for i in range(3)]
+    names, prior, logs = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=30)
+    assert names == ["en", "xx"] and np.allclose(np.exp(prior), [3000 / 3003, 3 / 3003])
+    assert language_id.predict([b"qvixu pfrump", b"the tree"], names, prior, logs)[0] == ["xx", "en"]
+
+
 def test_toxicity_holds_used_buckets_only(spark, monkeypatch):
     """The former sample, and a driver that holds no bucket of too few texts; the model is that of the whole bags."""
     assert toxicity.SAMPLE == (4500, 2500)
