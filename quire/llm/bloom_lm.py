@@ -1,67 +1,75 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-1. Tasks count the words and word pairs of the training texts in numpy and ship them
-   by hash bucket; buckets merge the counts exactly. The merged table is written.
-2. A count c has level 1 + floor(log2 c). A pair (n-gram, j) is inserted for each
-   j up to its level, with HASHES bits, into the segment of the n-gram's bucket, so
-   segments are built independently. Every counted n-gram is inserted: a filter has
-   2**26 bits for words, 2**28 for pairs, or the next power of two that all insertions
-   leave at most half full, so the error of a probe is bounded at any size. A filter of
-   the least size is broadcast (40 MB for both). A larger one is never held whole: the
-   distinct n-grams of blocks of texts go, by hash bucket, to the merged table, are
-   probed in the bucket's segment, and their levels come back by block.
-3. A level is read back by probing j = 1, 2, ... until one is missing; a level stands
-   for the middle of its counts. With f for these counts,
-   P(w | u) = WEIGHT * min(1, f(u, w) / f(u)) + (1 - WEIGHT) * (f(w) + 1) / (N + V + 1),
-   where u is the word before, or the end mark at the start of a text.
-
-The base score needs exact counts of all words. The HEAD most frequent (by level of
-count) are broadcast, at most 24 MB; words outside them go, by hash bucket, to the
-merged table, and their sums come back by row. With at most HEAD distinct words no
-such step is needed. Words are told apart by 64-bit hashes, pairs by 50 bits.
-
-A null text is an empty one: just its end mark. Nulls and repeats in other columns
-play no part; an empty table gives an empty result; without training texts every
-count is 0. Input columns named like an output column are replaced by it.
+A count c has level 1 + floor(log2 c). A filter holds (n-gram, j) for each j up to the
+level of the n-gram's count, with `hashes` bits each, for words and for word pairs. It is
+made of segments, one a bucket of the hash range; a segment has the least power of two
+of bits that its insertions leave at most half full, so every counted n-gram is in it
+and the error of a probe is bounded at any size. A level is read back by probing
+j = 1, 2, ... until one is missing; it stands for the middle of its counts. With f for
+these counts,
+P(w | u) = WEIGHT * min(1, f(u, w) / f(u)) + (1 - WEIGHT) * (f(w) + 1) / (N + V + 1),
+where u is the word before, or the end mark at the start of a text.
+
+The filter grows with the corpus. Where the training texts have at most SMALL bytes, so
+that it is proven small (an n-gram takes two bytes of text at least), it is gathered and
+broadcast with the exact counts of words, and documents are not shuffled. Else:
+
+1. Documents are dealt to blocks by hash. A block sends its distinct n-grams, with how
+   often its training texts hold them, to the buckets of their hashes.
+2. A bucket adds up the counts, builds its segment, probes the n-grams asked, and
+   answers each block with one level an n-gram and, for words, the exact count.
+3. The block derives its n-grams again and adds up the scores of its documents.
+
+Buckets follow the size of the input, so that one is a few MB. Both ways build the same
+segments for the same buckets. Words are told apart by 63-bit hashes, pairs by 40 bits
+inside their bucket. An n-gram that all documents hold reaches a bucket once a block.
+
+A null text is an empty one: just its end mark. Rows whose flag is false
+or null are scored only. Nulls and repeats in other columns play no part; an empty table gives
+an empty result; without training texts every count is 0. Input columns named like an
+output column are replaced by it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_rest, docs_of, others, prepared, quoted, shared_dir, written
-from .words import Words, chunks, mix
+from .common import crc_rest, docs_of, others, prepared, quoted
+from .words import Words, bytes_of, chunks, mix
 
-BUCKET_BITS = 10
-WORD_BITS, PAIR_BITS = 26, 28
 HASHES = 5
-HEAD = 1 << 21
 WEIGHT = 0.3
-FLUSH = 4 << 20
-BLOCK = 1 << 20
-#: What a payload asks for: the levels of words, of pairs, exact counts of words.
-WORD, PAIR, EXACT = 0, 1, 2
+SMALL = 16 << 20
+BLOCK_BYTES = 8 << 20
+LEAST_BLOCKS = 64
+#: Text for each bucket; about half as many bytes of n-grams go to it.
+BUCKET_BYTES = 16 << 20
+LEAST_BUCKET_BITS = 8
+WORD, PAIR = 0, 1
 _U = np.uint64
-END = _U(0x1F83D9ABFB41BD6B)
-_LOW40 = _U((1 << 40) - 1)
+END = _U(0x1F83D9ABFB41BD6A)
+NAMES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes with END after each text, hash of the word before each, where each text ends)."""
+    """(word hashes with END after each text, hash of the word before each, where each text ends). The lowest bit of a hash is 0."""
     w = Words(texts, lower=True)
-    h = np.insert(w.hashes(), w.first[1:], END)
+    h = np.insert(w.hashes() & ~_U(1), w.first[1:], END)
     ends = w.first[1:] + np.arange(1, w.n + 1)
     before = np.concatenate([[END], h[:-1]]).astype(np.uint64)
     return h, before, ends
 
 
-def pair_hashes(before: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """50 bits of a hash of two words, at the high end."""
-    return (mix(before * _U(0x9E3779B97F4A7C15) + h) >> _U(14)) << _U(14)
+def pair_hashes(before: np.ndarray, h: np.ndarray, bucket_bits: int) -> np.ndarray:
+    """The bucket and 40 bits of a hash of two words, at the high end."""
+    low = _U(24 - bucket_bits)
+    return (mix(before * _U(0x9E3779B97F4A7C15) + h) >> low) << low
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -74,334 +82,258 @@ def middle(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (top / 2 + top - 1) / 2, 0.0)
 
 
-def _packed(kind: int, h: np.ndarray, n: np.ndarray) -> bytes:
-    """Words: 8-byte hashes. Pairs: the 40 bits below the bucket. Then the counts over 1 as (place, count)."""
-    more = np.flatnonzero(n > 1)
-    if kind == 0:
+# -- what goes between blocks and buckets --------------------------------------------
+
+
+def _small(n: np.ndarray) -> bytes:
+    """Counts as bytes; those of 255 and more follow in full."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def _counts(data: bytes, n: int, at: int) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, n, at).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<i8", (len(data) - at - n) // 8, at + n)
+    return out
+
+
+def _packed(kind: int, bucket_bits: int, h: np.ndarray, n: np.ndarray) -> bytes:
+    """Words: 8-byte hashes. Pairs: the 40 bits below the bucket. Then the counts."""
+    if kind == WORD:
         keys = h.tobytes()
     else:
-        low = (h >> _U(14)) & _LOW40
+        low = (h << _U(bucket_bits)) >> _U(24)
         keys = low.astype("<u4").tobytes() + (low >> _U(32)).astype(np.uint8).tobytes()
-    return len(h).to_bytes(8, "little") + keys + more.astype("<u4").tobytes() + n[more].astype("<u8").tobytes()
+    return len(h).to_bytes(8, "little") + keys + _small(n)
 
 
-def _unpacked(kind: int, bucket: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(kind: int, bucket_bits: int, bucket: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int.from_bytes(data[:8], "little")
-    if kind == 0:
-        h, at = np.frombuffer(data, "<u8", n, 8).astype(np.uint64), 8 + 8 * n
-    else:
-        low = np.frombuffer(data, "<u4", n, 8).astype(np.uint64) | (np.frombuffer(data, np.uint8, n, 8 + 4 * n).astype(np.uint64) << _U(32))
-        h, at = (low << _U(14)) | (_U(bucket) << _U(64 - BUCKET_BITS)), 8 + 5 * n
-    m = (len(data) - at) // 12
-    counts = np.ones(n, np.int64)
-    counts[np.frombuffer(data, "<u4", m, at)] = np.frombuffer(data, "<u8", m, at + 4 * m)
-    return h, counts
+    if kind == WORD:
+        return np.frombuffer(data, "<u8", n, 8), _counts(data, n, 8 + 8 * n)
+    low = np.frombuffer(data, "<u4", n, 8).astype(np.uint64) | (np.frombuffer(data, np.uint8, n, 8 + 4 * n).astype(np.uint64) << _U(32))
+    return (low << _U(24 - bucket_bits)) | (_U(bucket) << _U(64 - bucket_bits)), _counts(data, n, 8 + 5 * n)
 
 
-def _cuts(h: np.ndarray) -> list[int]:
-    bound = np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << _U(64 - BUCKET_BITS)
+def _cuts(h: np.ndarray, bucket_bits: int) -> list[int]:
+    """Where each bucket's part of the sorted hashes ends."""
+    bound = np.arange(1, 1 << bucket_bits, dtype=np.uint64) << _U(64 - bucket_bits)
     return [0, *np.searchsorted(h, bound).tolist(), len(h)]
 
 
-def _count(batches):
-    parts, size = [], 0
-
-    def flush():
-        for kind, which in ((0, 0), (1, 1)):
-            h, n = np.unique(np.concatenate([p[which] for p in parts]), return_counts=True)
-            cut = _cuts(h)
-            rows = [(b, _packed(kind, h[i:j], n[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-            for lo in range(0, len(rows), 256):
-                some = rows[lo : lo + 256]
-                yield pa.record_batch([pa.array([kind] * len(some), pa.int32()), pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary())], names=["kind", "bucket", "payload"])
-
-    for _, texts in chunks(batches, "text"):
-        h, before, _ = tokens(texts)
-        parts.append((h, pair_hashes(before, h)))
-        size += len(h)
-        if size >= FLUSH:
-            yield from flush()
-            parts, size = [], 0
-    if parts:
-        yield from flush()
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
-    h, n = (np.concatenate(x) for x in zip(*(_unpacked(kind, bucket, p) for p in table.column("payload").to_pylist())))
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    h, n = h[new], np.add.reduceat(n, new)
-    return pa.table({"kind": pa.array([kind], pa.int32()), "bucket": pa.array([bucket], pa.int32()), "total": pa.array([int(n.sum())]), "levels": pa.array([np.bincount(level(n), minlength=64).tolist()], pa.list_(pa.int64())), "payload": pa.array([_packed(kind, h, n)], pa.binary())})
-
-
-def _places(h: np.ndarray, j: int, bits: int) -> list[np.ndarray]:
-    """The HASHES bits of (n-gram, j): all in the segment of the n-gram's bucket."""
-    own = bits - BUCKET_BITS
-    each = min(3, 64 // own)  # places read from one mix
-    base = (h >> _U(64 - BUCKET_BITS)) << _U(own)
-    out, g = [], h
-    for i in range(HASHES):
+def _distinct(h: np.ndarray, trains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes in order, and how many of each are in training texts. The lowest bit of a hash is free, so one sort does both."""
+    key = np.sort(h | trains)
+    own = key >> _U(1)
+    new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return key[new] & ~_U(1), np.add.reduceat((key & _U(1)).astype(np.int64), new)
+
+
+def _asked(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], bucket_bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """(kind, bucket, payload) of a block with these (words, words before, whether they train): every bucket of words, so that its totals come back, and the buckets of its pairs."""
+    h, before, trains = (np.concatenate(x) for x in zip(*parts))
+    for kind, x in ((WORD, h), (PAIR, pair_hashes(before, h, bucket_bits))):
+        uniq, n = _distinct(x, trains)
+        cut = _cuts(uniq, bucket_bits)
+        for b, (i, j) in enumerate(zip(cut, cut[1:])):
+            if j > i or kind == WORD:
+                yield kind, b, _packed(kind, bucket_bits, uniq[i:j], n[i:j])
+
+
+# -- the filter ----------------------------------------------------------------------
+
+
+def _places(h: np.ndarray, j: int, bits: int, hashes: int) -> Iterator[np.ndarray]:
+    """The places of (n-gram, j) in a segment of 2**bits bits."""
+    each = 64 // bits  # places read from one mix
+    g = h
+    for i in range(hashes):
         if i % each == 0:
             g = mix(g + _U((j * 64 + i + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        out.append(base | ((g >> _U(own * (i % each))) & _U((1 << own) - 1)))
-    return out
+        yield ((g >> _U(bits * (i % each))) & _U((1 << bits) - 1)).astype(np.int64)
 
 
-def _segment(bits: int, h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The packed bits of the n-grams of one bucket with these counts."""
-    size = 1 << (bits - BUCKET_BITS)
-    on = np.zeros(size, bool)
+def segment(h: np.ndarray, n: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The packed bits of the n-grams of one bucket with these counts; n-grams of count 0 are left out."""
     q = level(n)
+    bits = 6
+    while (1 << bits) * np.log(2) / hashes < q.sum():
+        bits += 1
+    on = np.zeros(1 << bits, bool)
     j = 1
+    h, q = h[q >= 1], q[q >= 1]
     while len(h):
-        for place in _places(h, j, bits):
-            on[(place & _U(size - 1)).astype(np.int64)] = True
+        for place in _places(h, j, bits, hashes):
+            on[place] = True
         j += 1
         h, q = h[q >= j], q[q >= j]
     return np.packbits(on)
 
 
-def _segments(bits: tuple[int, int]):
-    def run(batches):
-        for batch in batches:
-            for kind, bucket, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                on = _segment(bits[kind], *_unpacked(kind, bucket, payload))
-                yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([on.tobytes()], pa.binary())], names=["kind", "bucket", "bits"])
-
-    return run
-
-
-def probe(filter_: np.ndarray, bits: int, h: np.ndarray) -> np.ndarray:
-    """The level of each n-gram: how many successive (n-gram, j) are members. The filter is whole, or the segment of the bucket that all n-grams are of."""
+def probe(filter_: np.ndarray, h: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """The level of each n-gram in its segment: how many successive (n-gram, j) are members."""
+    bits = (8 * len(filter_)).bit_length() - 1
     out = np.zeros(len(h), np.int64)
-    inside = _U(8 * len(filter_) - 1)
     at = np.arange(len(h))
     j = 1
     while len(at):
-        for place in _places(h[at], j, bits):
-            p = ((place if len(place) == len(at) else place[alive]) & inside).astype(np.int64)
-            hit = ((filter_[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
-            if len(place) == len(at):
-                alive, at = np.flatnonzero(hit), at[hit]
-            else:
-                alive, at = alive[hit], at[hit]
-            if not len(at):
+        alive = np.arange(len(at))
+        for place in _places(h[at], j, bits, hashes):
+            p = place[alive]
+            alive = alive[((filter_[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & np.uint8(1)).astype(bool)]
+            if not len(alive):
                 break
+        at = at[alive]
         out[at] = j
         j += 1
     return out
 
 
-def _bits(levels: np.ndarray, least: int) -> int:
-    """The size of a filter, at least 2**least bits: a power of two of which all insertions set half at most."""
-    insertions = int((levels * np.arange(len(levels))).sum())
-    bits = least
-    while (1 << bits) * np.log(2) / HASHES < insertions:
-        bits += 1
-    return bits
-
-
-def train(texts: DataFrame, text_col: str = "text") -> dict:
-    """The model of the texts: filters (None for one too large to broadcast) and their sizes, exact head counts, N, V and the merged table."""
-    spark = prepared(texts.sparkSession)
-    here = shared_dir(spark)
-    merged = written(
-        texts.select(quoted(text_col).cast("string").alias("text"))
-        .mapInArrow(_count, "kind int, bucket int, payload binary")
-        .groupBy("kind", "bucket")
-        .applyInArrow(_merge, "kind int, bucket int, total long, levels array<long>, payload binary"),
-        here,
-        free=True,
-    )
-    stats = merged.groupBy("kind").agg(F.sum("total").alias("total"), *(F.sum(F.get("levels", F.lit(i))).alias(f"l{i}") for i in range(64))).collect()
-    levels = {r.kind: np.array([r[f"l{i}"] or 0 for i in range(64)], np.int64) for r in stats}
-    n = next((r.total for r in stats if r.kind == 0), 0)
-    levels = {k: levels.get(k, np.zeros(64, np.int64)) for k in (0, 1)}
-    least = (WORD_BITS, PAIR_BITS)
-    bits = tuple(_bits(levels[k], least[k]) for k in (WORD, PAIR))
-    filters = [np.zeros(1 << (b - 3), np.uint8) if b == l else None for b, l in zip(bits, least)]
-    small = [k for k in (WORD, PAIR) if filters[k] is not None]
-    built = merged.where(F.col("kind").isin(small)).select("kind", "bucket", "payload").mapInArrow(_segments(bits), "kind int, bucket int, bits binary").toArrow()
-    for kind, bucket, part in zip(*(built.column(i).to_pylist() for i in range(3))):
-        filters[kind][bucket * len(part) : (bucket + 1) * len(part)] = np.frombuffer(part, np.uint8)
-    above = np.cumsum(levels[0][::-1])[::-1]
-    head_level = next((q for q in range(1, 64) if above[q] <= HEAD), 64)
-
-    def heads(batches):
-        for batch in batches:
-            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, c = _unpacked(0, bucket, payload)
-                keep = level(c) >= head_level
-                yield pa.record_batch([pa.array(h[keep].view(np.int64)), pa.array(c[keep])], names=["h", "c"])
-
-    head = merged.where("kind = 0").select("bucket", "payload").mapInArrow(heads, "h long, c long").toArrow()
-    h, c = head.column(0).to_numpy().view(np.uint64), head.column(1).to_numpy()
+def _merged(kind: int, bucket_bits: int, bucket: int, payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """(distinct hashes, their counts, for each asked n-gram its number, where each payload's n-grams end)."""
+    got = [_unpacked(kind, bucket_bits, bucket, p) for p in payloads]
+    h, n = (np.concatenate(x) for x in zip(*got))
     order = np.argsort(h)
-    return {"n": int(n), "v": int(levels[0].sum()), "filters": filters, "bits": bits, "head": (h[order], c[order]), "whole": head_level == 1, "merged": merged}
-
-
-def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, n_known, train_tokens, base_score and score."""
-    spark = prepared(docs.sparkSession)
-    sc = spark.sparkContext
-    n, v, whole, bits = model["n"], model["v"], model["whole"], model["bits"]
-    large = [k for k in (WORD, PAIR) if model["filters"][k] is None]
-    shared = sc.broadcast((*model["filters"], *model["head"]))
-    names = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    result = keep = others(docs, *names)
-    if large and text_col not in keep:  # read again by block
-        docs = docs.withColumn("__quire_text", quoted(text_col))
-        text_col, keep = "__quire_text", [*keep, "__quire_text"]
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    own = "__quire_row long, __quire_n long, __quire_known long, __quire_logs double, __quire_score double, __quire_block long, __quire_kind int, __quire_bucket int, __quire_payload binary"
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + list(T._parse_datatype_string(own).fields))
-
-    def log_p(f_word: np.ndarray, f_before: np.ndarray, f_pair: np.ndarray) -> np.ndarray:
-        share = np.divide(f_pair, f_before, out=np.zeros(len(f_word)), where=f_before > 0)
-        return np.log10(WEIGHT * np.minimum(1.0, share) + (1 - WEIGHT) * (f_word + 1) / (n + v + 1))
+    h = h[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]
+    entry = np.empty(len(h), np.int64)
+    entry[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    total = np.add.reduceat(n[order], first) if len(h) else n
+    return h[first], total, entry, np.cumsum([0] + [len(x) for x, _ in got]).tolist()
+
+
+# -- scores --------------------------------------------------------------------------
+
+
+def _sums(parts, levels: dict[int, tuple[np.ndarray, np.ndarray]], exact: np.ndarray, total: int, distinct: int, bucket_bits: int) -> list[np.ndarray]:
+    """n_tokens, n_known, train_tokens, base_score and score of the texts. levels: by kind the distinct n-grams and the middles of their levels; exact: the counts of the words."""
+    out = []
+    uniq, f = levels[WORD]
+    for h, before, ends in parts:
+        at = np.searchsorted(uniq, h)
+        f_word, c = f[at], exact[at]
+        f_before = f[np.searchsorted(uniq, before)]
+        pairs, f_pairs = levels[PAIR]
+        f_pair = f_pairs[np.searchsorted(pairs, pair_hashes(before, h, bucket_bits))]
+        share = np.divide(f_pair, f_before, out=np.zeros(len(h)), where=f_before > 0)
+        log_p = np.log10(WEIGHT * np.minimum(1.0, share) + (1 - WEIGHT) * (f_word + 1) / (total + distinct + 1))
+        cut = np.concatenate([[0], ends])
+        sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[cut]) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), log_p)]
+        n = np.diff(cut)
+        out.append([n, sums[0], np.full(len(n), total, np.int64), sums[1] - n * np.log10(total + distinct + 1), sums[2]])
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+_ASK = "block int, kind int, bucket int, payload binary"
+_RESULT = [T.StructField(n, T.DoubleType() if n.endswith("score") else T.LongType()) for n in NAMES]
+
+
+def _broadcast(docs: DataFrame, trains: str, text_col: str, keep: list[str], schema: T.StructType, hashes: int) -> DataFrame:
+    """The scores from a filter that every worker holds."""
+    spark, bits = docs.sparkSession, LEAST_BUCKET_BITS
+
+    def count(batches):
+        for _, texts in chunks(batches, "text"):
+            h, before, _ = tokens(texts)
+            rows = list(_asked([(h, before, np.ones(len(h), np.uint64))], bits))
+            kind, bucket, payload = zip(*rows)
+            yield pa.record_batch([pa.array([0] * len(rows), pa.int32()), pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(payload, pa.binary())], names=["block", "kind", "bucket", "payload"])
+
+    def build(table: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        h, n, _, _ = _merged(kind, bits, bucket, table.column("payload").to_pylist())
+        return pa.table({"kind": [kind], "bucket": [bucket], "bits": [segment(h, n, hashes).tobytes()], "words": [_packed(WORD, bits, h, n) if kind == WORD else b""]}, schema=pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary()), ("words", pa.binary())]))
+
+    texts = docs.where(quoted(trains)).select(quoted(text_col).cast("string").alias("text"))
+    built = texts.mapInArrow(count, _ASK).groupBy("kind", "bucket").applyInArrow(build, "kind int, bucket int, bits binary, words binary").toArrow().to_pylist()
+    filters = {(r["kind"], r["bucket"]): np.frombuffer(r["bits"], np.uint8) for r in built}
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    words, counts = (np.concatenate(x) for x in zip(none, *(_unpacked(WORD, bits, 0, r["words"]) for r in sorted(built, key=lambda r: r["bucket"]) if r["kind"] == WORD)))
+    shared = spark.sparkContext.broadcast((filters, words, counts))
 
     def run(batches):
-        from pyspark import TaskContext
-
-        words, pairs, head_h, head_c = shared.value
-        block = row = TaskContext.get().partitionId() << 40
-        left: list[tuple[np.ndarray, np.ndarray]] = []
-        own: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        filters, words, counts = shared.value
+        empty = segment(*none, hashes)
         for batch, texts in chunks(batches, text_col):
-            h, before, ends = tokens(texts)
-            cut = np.concatenate([[0], ends])
-            sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[cut])
-            uniq, back = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(head_h, uniq), max(len(head_h) - 1, 0))
-            in_head = head_h[at] == uniq if len(head_h) else np.zeros(len(uniq), bool)
-            exact = np.where(in_head, head_c[at] if len(head_h) else 0, 0)
-            logs = np.log10(exact + 1.0)[back]
-            pair = pair_hashes(before, h)
-            if large:
-                own.append((uniq, np.unique(pair)))
-                size += len(h)
-                logs_p = np.zeros(len(h))
-            else:
-                f = middle(probe(words, bits[WORD], uniq))
-                f_word = f[back]
-                f_before = np.concatenate([f[np.searchsorted(uniq, before[:1])], f_word[:-1]])
-                u2, back2 = np.unique(pair, return_inverse=True)
-                logs_p = log_p(f_word, f_before, middle(probe(pairs, bits[PAIR], u2))[back2])
-            m = len(texts)
-            if not whole:
-                out = np.flatnonzero(~in_head[back])
-                left.append((h[out], row + np.searchsorted(cut, out, side="right") - 1))
+            part = tokens(texts)
+            levels = {}
+            for kind, x in ((WORD, part[0]), (PAIR, pair_hashes(part[1], part[0], bits))):
+                uniq = np.unique(np.append(x, END)) if kind == WORD else np.unique(x)
+                cut = _cuts(uniq, bits)
+                f = [probe(filters.get((kind, b), empty), uniq[i:j], hashes) for b, (i, j) in enumerate(zip(cut, cut[1:]))]
+                levels[kind] = uniq, middle(np.concatenate(f))
+            at = np.minimum(np.searchsorted(words, levels[WORD][0]), max(0, len(words) - 1))
+            exact = np.where(words[at] == levels[WORD][0], counts[at], 0) if len(words) else np.zeros(len(at), np.int64)
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.record_batch(
-                [*cols, pa.array(row + np.arange(m)), pa.array(np.diff(cut)), pa.array(sums(in_head[back].astype(np.int64))), pa.array(sums(logs)), pa.array(sums(logs_p)), pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())],
-                names=[f.name for f in schema.fields],
-            )
-            row += m
-            if sum(len(x[0]) for x in left) >= FLUSH:
-                yield tails(left, batch)
-                left = []
-            if size >= BLOCK:
-                yield from unknown(block, own, batch)
-                own, size, block = [], 0, row
-        if left and sum(len(x[0]) for x in left):
-            yield tails(left, batch)
-        if own:
-            yield from unknown(block, own, batch)
-
-    def asking(batch, kind, block, some):
-        """Rows that ask a bucket, without documents."""
-        k = len(some)
-        empty = [pa.nulls(k, batch.schema.field(c).type) for c in keep]
-        rest = [pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-        return pa.record_batch([*empty, *rest, pa.array([block] * k, pa.int64()), pa.array([kind] * k, pa.int32()), pa.array([b for b, _ in some], pa.int32()), pa.array([p for _, p in some], pa.binary())], names=[f.name for f in schema.fields])
-
-    def tails(left, batch):
-        """Words outside the head, with their rows, by bucket."""
-        h, rows = (np.concatenate(x) for x in zip(*left))
-        order = np.argsort(h)
-        h, rows = h[order], rows[order]
-        cut = _cuts(h)
-        return asking(batch, EXACT, None, [(b, h[i:j].tobytes() + rows[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
-
-    def unknown(block, own, batch):
-        """The distinct n-grams of a block whose filter is too large to broadcast, by bucket."""
-        for kind in large:
-            h = np.unique(np.concatenate([x[kind] for x in own]))
-            cut = _cuts(h)
-            yield asking(batch, kind, block, [(b, _packed(kind, h[i:j], np.ones(j - i, np.int64))) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i])
-
-    def levels_of(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        """The levels, as bytes, of what was asked of one bucket."""
-        out = []
-        if asked.num_rows:
-            kind, bucket = asked.column("kind")[0].as_py(), asked.column("bucket")[0].as_py()
-            seen = [_unpacked(kind, bucket, p) for p in counts.column("payload").to_pylist()]
-            on = _segment(bits[kind], *(seen[0] if seen else (np.zeros(0, np.uint64), np.zeros(0, np.int64))))
-            out = [probe(on, bits[kind], _unpacked(kind, bucket, p)[0]).astype(np.uint8).tobytes() for p in asked.column("payload").to_pylist()]
-        return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "bucket": asked.column("bucket"), "levels": pa.array(out, pa.binary())})
+            yield pa.record_batch([*cols, *map(pa.array, _sums([part], levels, exact, int(counts.sum()), len(words), bits))], names=[*keep, *NAMES])
+
+    return docs.mapInArrow(run, schema)
+
+
+def lm_score(docs: DataFrame, trains: Column, text_col: str = "text", small: int = SMALL, hashes: int = HASHES) -> DataFrame:
+    """docs with n_tokens, n_known, train_tokens, base_score and score, from a model of the texts of the rows where trains is true."""
+    prepared(docs.sparkSession)
+    size = F.coalesce(F.sum(F.octet_length(quoted(text_col).cast("string")) + 1), F.lit(0))
+    total = docs.select(size).first()[0]
+    keep = others(docs, *NAMES)
+    marked = docs.select(*(quoted(c) for c in docs.columns), F.coalesce(trains, F.lit(False)).alias("__quire_trains"))
+    schema = T.StructType([f for f in docs.schema.fields if f.name in keep] + _RESULT)
+    if total <= small:
+        return _broadcast(marked, "__quire_trains", text_col, keep, schema, hashes)
+    blocks = max(LEAST_BLOCKS, -(-total // BLOCK_BYTES))
+    bits = min(24, max(LEAST_BUCKET_BITS, (total // BUCKET_BYTES).bit_length()))
+    own = [f.name for f in docs.schema.fields if f.name in keep or f.name == text_col]
+    blk = F.pmod(F.xxhash64(*(quoted(c).cast("string") for c in own)), F.lit(blocks)).cast("int")
+    dealt = marked.select(blk.alias("__quire_block"), "__quire_trains", *(quoted(c) for c in own))
+
+    def parts_of(table: pa.Table) -> list[tuple]:
+        texts = bytes_of(table.column(text_col).cast(pa.string()))
+        flags = np.array(table.column("__quire_trains").to_pylist(), np.uint64)
+        out, lo, size = [], 0, 0
+        for hi in range(len(texts) + 1):
+            n = len(texts[hi] or b"") if hi < len(texts) else 0
+            if hi > lo and (hi == len(texts) or size + n > (1 << 20)):
+                h, before, ends = tokens(texts[lo:hi])
+                out.append((h, before, ends, np.repeat(flags[lo:hi], np.diff(np.concatenate([[0], ends])))))
+                lo, size = hi, 0
+            size += n
+        return out
+
+    def ask(table: pa.Table) -> pa.Table:
+        kind, bucket, payload = zip(*_asked([(h, before, flag) for h, before, _, flag in parts_of(table)], bits))
+        block = [table.column("__quire_block")[0].as_py()] * len(kind)
+        return pa.table({"block": pa.array(block, pa.int32()), "kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+    def answer(table: pa.Table) -> pa.Table:
+        kind, bucket = table.column("kind")[0].as_py(), table.column("bucket")[0].as_py()
+        h, n, entry, cut = _merged(kind, bits, bucket, table.column("payload").to_pylist())
+        q = probe(segment(h, n, hashes), h, hashes).astype(np.uint8)
+        out = [q[entry[i:j]].tobytes() + (_small(n[entry[i:j]]) if kind == WORD else b"") for i, j in zip(cut, cut[1:])]
+        size = [j - i for i, j in zip(cut, cut[1:])]
+        rows = len(out)
+        return pa.table({
+            "block": table.column("block"), "kind": table.column("kind"), "bucket": table.column("bucket"), "n": pa.array(size, pa.int32()), "levels": pa.array(out, pa.binary()),
+            "total": pa.array([int(n.sum())] * rows, pa.int64()), "distinct": pa.array([int((n > 0).sum())] * rows, pa.int64()),
+        })
 
     def scored(table: pa.Table, answers: pa.Table) -> pa.Table:
-        """The documents of one block with their scores."""
-        words, pairs, _, _ = shared.value
-        texts = [t for _, some in chunks(table.to_batches(), text_col) for t in some]
-        h, before, ends = tokens(texts)
-        got = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "levels"))))
-        f = []
-        for kind, x, filter_ in ((WORD, h, words), (PAIR, pair_hashes(before, h), pairs)):
-            uniq, back = np.unique(x, return_inverse=True)
-            q = np.frombuffer(b"".join(p for k, _, p in got if k == kind), np.uint8) if kind in large else probe(filter_, bits[kind], uniq)
-            f.append(middle(q)[back])
-            if kind == WORD:  # every text has the end mark
-                f.append(middle(q)[np.searchsorted(uniq, before)])
-        total = np.diff(np.concatenate([[0], np.cumsum(log_p(*f))])[np.concatenate([[0], ends])])
-        return table.set_column(table.column_names.index("__quire_score"), "__quire_score", pa.array(total))
-
-    first = docs.mapInArrow(run, schema)
-    if large or not whole:
-        asked = written(first, shared_dir(spark))  # row numbers hold from here on
-        first = asked.where("__quire_payload IS NULL")
-    if large:
-        ask = asked.where(F.col("__quire_kind").isin(large)).select(*(F.col(f"__quire_{c}").alias(c) for c in ("block", "kind", "bucket", "payload")))
-        counted = model["merged"].where(F.col("kind").isin(large)).select("kind", "bucket", "payload")
-        answers = written(ask.groupBy("kind", "bucket").cogroup(counted.groupBy("kind", "bucket")).applyInArrow(levels_of, "block long, kind int, bucket int, levels binary"), free=True)
-        first = first.groupBy("__quire_block").cogroup(answers.groupBy("block")).applyInArrow(scored, first.schema)
-    if not whole:
-        ask = asked.where(F.col("__quire_kind") == EXACT).select(F.col("__quire_bucket").alias("bucket"), F.col("__quire_payload").alias("payload"))
-
-        def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-            data = asked.column("payload").to_pylist()
-            h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(p, np.uint64, len(p) // 16) for p in data)])
-            rows = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, np.int64, len(p) // 16, len(p) // 2) for p in data)])
-            got = np.zeros(len(h), np.int64)
-            if counts.num_rows and len(h):
-                keys, c = _unpacked(0, counts.column("bucket")[0].as_py(), counts.column("payload")[0].as_py())
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                got = np.where(keys[at] == h, c[at], 0)
-            known = got > 0
-            uniq, back = np.unique(rows[known], return_inverse=True)
-            return pa.table({"row": pa.array(uniq), "known": pa.array(np.bincount(back, minlength=len(uniq)).astype(np.int64)), "logs": pa.array(np.bincount(back, np.log10(got[known] + 1.0), len(uniq)).astype(np.float64))})
-
-        words = model["merged"].where("kind = 0").select("bucket", "payload")
-        more = ask.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(answer, "row long, known long, logs double")
-        more = more.groupBy(F.col("row").alias("__quire_row")).agg(F.sum("known").alias("__quire_known2"), F.sum("logs").alias("__quire_logs2"))
-        first = first.join(more, "__quire_row", "left")
-    else:
-        first = first.withColumn("__quire_known2", F.lit(0)).withColumn("__quire_logs2", F.lit(0.0))
-    zero: Column = F.lit(0)
-    return first.select(
-        *(quoted(c) for c in result),
-        F.col("__quire_n").alias("n_tokens"),
-        (F.col("__quire_known") + F.coalesce("__quire_known2", zero)).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("__quire_logs") + F.coalesce("__quire_logs2", zero) - F.col("__quire_n") * float(np.log10(n + v + 1))).alias("base_score"),
-        F.col("__quire_score").alias("score"),
-    )
+        parts = parts_of(table)
+        got = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        words = [r for r in got if r["kind"] == WORD]
+        exact = np.concatenate([_counts(r["levels"], r["n"], r["n"]) for r in words])
+        levels = {}
+        for kind, x in ((WORD, [p[0] for p in parts]), (PAIR, [pair_hashes(p[1], p[0], bits) for p in parts])):
+            uniq = np.unique(np.concatenate(x))
+            levels[kind] = uniq, middle(np.concatenate([np.frombuffer(r["levels"], np.uint8, r["n"]) for r in got if r["kind"] == kind]))
+        sums = _sums([p[:3] for p in parts], levels, exact, sum(r["total"] for r in words), sum(r["distinct"] for r in words), bits)
+        return pa.table({c: table.column(c) for c in keep} | dict(zip(NAMES, map(pa.array, sums))))
+
+    asked = dealt.groupBy("__quire_block").applyInArrow(ask, _ASK)
+    answers = asked.groupBy("kind", "bucket").applyInArrow(answer, "block int, kind int, bucket int, n int, levels binary, total long, distinct long")
+    return dealt.groupBy("__quire_block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
 
 
 def op4_bloom_lm(spark, sf_dir: str) -> DataFrame:
     docs = docs_of(spark, sf_dir).select("doc_id", "text")
     rest = crc_rest(F.col("doc_id"), 7)
-    return score(docs.withColumn("held_out", rest == 2), train(docs.where(rest != 2))).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return lm_score(docs.withColumn("held_out", rest == 2), rest != 2).select("doc_id", "held_out", *NAMES)

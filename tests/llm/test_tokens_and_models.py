@@ -1,8 +1,11 @@
 """Tokenizers against their libraries, models against brute force and held-out cases."""
 
 import base64
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -196,69 +199,78 @@ def test_toxicity_holds_used_buckets_only(spark, monkeypatch):
     assert np.allclose(part, want[0]) and bias == pytest.approx(want[1])
 
 
-@pytest.mark.parametrize("head", [1 << 21, 8])
-def test_bloom_lm(spark, monkeypatch, head):
-    monkeypatch.setattr(bloom_lm, "HEAD", head)
-    r = random.Random(8)
-    values = [" ".join(r.choice(["the", "The", "a", "of"]) if r.random() < 0.5 else f"w{int(r.paretovariate(0.5)) % 3000}" for _ in range(r.randrange(40))) for _ in range(200)] + [None, "", "never seen", "the\nthe\t the"]
-    df = spark.createDataFrame([(i, t, 1.0, "x") for i, t in enumerate(values)], "doc_id long, text string, Score double, base_score string")
-    model = bloom_lm.train(df.where("doc_id % 7 <> 2"))
-    words = [[*"".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split(), None] for t in values]
-    counts: dict = {}
-    pairs: dict = {}
-    for i, w in enumerate(words):
-        if i % 7 != 2:
-            for a, b in zip([None, *w], w):
-                counts[b] = counts.get(b, 0) + 1
-                pairs[a, b] = pairs.get((a, b), 0) + 1
+def lm_brute_force(values, trains):
+    """Per text: n_tokens, n_known, train_tokens, base_score and, from exact counts, score."""
+    words = [["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None] for t in values]
+    counts, pairs = Counter(), Counter()
+    for w, on in zip(words, trains):
+        if on:
+            counts.update(w)
+            pairs.update(zip([None, *w], w))
     n, v = sum(counts.values()), len(counts)
-    assert (model["n"], model["v"]) == (n, v) and model["whole"] == (head > 8)
-    done = {x.doc_id: x for x in bloom_lm.score(df, model).collect()}
-    assert len(done) == len(values)
-    for i, w in enumerate(words):
-        x = done[i]
-        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(w), sum(t in counts for t in w), n)
-        assert x.base_score == pytest.approx(sum(np.log10((counts.get(t, 0) + 1) / (n + v + 1)) for t in w))
-        assert x.score < 0
-    assert sum(x.score for x in done.values()) > sum(x.base_score for x in done.values())
-    # a filter never reads back less than was put in
-    h = bloom_lm.tokens([b"the"])[0][:1]
-    assert bloom_lm.probe(model["filters"][0], bloom_lm.WORD_BITS, h)[0] >= bloom_lm.level(np.array([counts["the"]]))[0]
-    nothing = bloom_lm.train(df.limit(0))
-    assert bloom_lm.score(df, nothing).where("n_known > 0").count() == 0
-    assert bloom_lm.score(df.limit(0), model).count() == 0
-
-
-@pytest.mark.parametrize("word_bits, head", [(26, 1 << 21), (12, 8)])
-def test_bloom_lm_inserts_every_n_gram(spark, monkeypatch, word_bits, head):
-    """Filters grow with the counts, also past the size that is broadcast: no n-gram seen once is lost."""
-    monkeypatch.setattr(bloom_lm, "PAIR_BITS", 18)
-    monkeypatch.setattr(bloom_lm, "WORD_BITS", word_bits)
-    monkeypatch.setattr(bloom_lm, "HEAD", head)
-    monkeypatch.setattr(bloom_lm, "BLOCK", 20_000)
-    r = random.Random(4)
-    values = [" ".join(f"w{r.randrange(5000)}" for _ in range(200)) for _ in range(600)] + [None, "", "never seen"]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(values)], "doc_id long, score string").repartition(3)
-    model = bloom_lm.train(df.where("doc_id < 600"), "score")
-    assert [f is None for f in model["filters"]] == [word_bits == 12, True]
-    words = [[*(t or "").split(), None] for t in values]
-    counts, pairs = {}, {}
-    for w in words[:600]:
-        for a, b in zip([None, *w], w):
-            counts[b] = counts.get(b, 0) + 1
-            pairs[a, b] = pairs.get((a, b), 0) + 1
-    size = sum(counts.values()) + len(counts) + 1
-    mid = lambda c: float(bloom_lm.middle(bloom_lm.level(np.array([c])))[0]) if c else 0.0
-    done = {x.doc_id: x for x in bloom_lm.score(df, model, "score").collect()}
-    assert len(done) == len(values) and len(bloom_lm.score(df, model, "score").columns) == 6
+    mid = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+    out = []
+    for w in words:
+        base = sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in w)
+        score = sum(math.log10(0.3 * min(1.0, mid(pairs[a, b]) / (mid(counts[a]) or math.inf)) + 0.7 * (mid(counts[b]) + 1) / (n + v + 1)) for a, b in zip([None, *w], w))
+        out.append((len(w), sum(counts[t] > 0 for t in w), n, base, score))
+    return out
+
+
+LM_TEXTS = [" ".join(random.Random(i).choice(["the", "The", "a", "of", "ÉTÉ"]) if random.Random(i * 99 + k).random() < 0.5 else f"w{int(random.Random(i * 77 + k).paretovariate(0.5)) % 3000}" for k in range(i % 40)) for i in range(200)]
+LM_TEXTS += [None, "", " \t", "never seen", "the\nthe\t the", "a\u00a0b \x1c the", "of " * 30_000, LM_TEXTS[9], LM_TEXTS[9]]
+
+
+@pytest.mark.parametrize("small", [0, 1 << 30])
+@pytest.mark.parametrize("hashes", [5, 24])
+def test_bloom_lm(spark, monkeypatch, small, hashes):
+    """Both ways against brute force. With 24 places an entry no probe is wrong, so scores are those of exact counts."""
+    monkeypatch.setattr(bloom_lm, "LEAST_BLOCKS", 5)
+    trains = [i % 7 != 2 for i in range(len(LM_TEXTS))]
+    df = spark.createDataFrame([(i, t, 1.0, "x") for i, t in enumerate(LM_TEXTS)], "doc_id long, text string, Score double, base_score string").repartition(3)
+    out = bloom_lm.lm_score(df, F.col("doc_id") % 7 != 2, small=small, hashes=hashes)
+    assert out.columns == ["doc_id", "text", *bloom_lm.NAMES]
+    done = {x.doc_id: x for x in out.collect()}
+    assert len(done) == len(LM_TEXTS)
     off = []
-    for i, w in enumerate(words):
-        want = sum(np.log10(0.3 * min(1.0, mid(pairs.get(p)) / (mid(counts.get(p[0])) or 1.0)) + 0.7 * (mid(counts.get(p[1])) + 1) / size) for p in zip([None, *w], w))
-        off.append((done[i].score - want) / len(w))
-        assert done[i].n_known == sum(t in counts for t in w)
-        if word_bits == 26 and i < 600:  # a filter of pairs never reads back less than was put in
-            assert done[i].score >= want - 1e-6
-    assert np.abs(off[:600]).mean() < 0.02
+    for i, (n, known, total, base, score) in enumerate(lm_brute_force(LM_TEXTS, trains)):
+        x = done[i]
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (n, known, total)
+        assert x.base_score == pytest.approx(base)
+        off.append((x.score - score) / n)
+        if hashes == 24:
+            assert x.score == pytest.approx(score)
+    assert np.abs(off).mean() < 0.05
+
+
+def test_bloom_lm_ways_agree(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(LM_TEXTS)], "doc_id long, score string").repartition(4)
+    one, two = ({r.doc_id: r for r in bloom_lm.lm_score(df, F.col("doc_id") % 7 != 2, "score", small).collect()} for small in (0, 1 << 30))
+    assert len(one) == len(LM_TEXTS) and one.keys() == two.keys()
+    assert all(one[i].score == pytest.approx(two[i].score, rel=1e-12) for i in one)
+
+
+@pytest.mark.parametrize("small", [-1, 1 << 30])
+def test_bloom_lm_of_nothing(spark, small):
+    df = spark.createDataFrame([(1, "a b"), (None, None), (1, "a b")], "doc_id long, text string")
+    got = bloom_lm.lm_score(df, F.lit(None).cast("boolean"), small=small).collect()
+    assert len(got) == 3 and all(r.n_known == r.train_tokens == 0 and r.base_score == 0 for r in got)
+    assert bloom_lm.lm_score(df.limit(0), F.lit(True), small=small).count() == 0
+
+
+def test_bloom_filter_holds_all_and_counts_survive():
+    rng = np.random.default_rng(5)
+    h = np.unique(rng.integers(0, 2**63, 5000, dtype=np.uint64)) << np.uint64(1)
+    n = np.where(rng.random(len(h)) < 0.7, 1, rng.integers(0, 10**7, len(h)))
+    on = bloom_lm.segment(h, n)
+    q = bloom_lm.probe(on, h)
+    assert (q >= bloom_lm.level(n)).all() and (q[n > 0] == bloom_lm.level(n)[n > 0]).mean() > 0.9
+    for kind, bits in ((0, 8), (1, 8), (1, 12)):
+        x = h if kind == 0 else np.unique((h >> np.uint64(24 - bits)) << np.uint64(24 - bits))
+        cut = bloom_lm._cuts(x, bits)
+        for b, (i, j) in enumerate(zip(cut, cut[1:])):
+            h2, n2 = bloom_lm._unpacked(kind, bits, b, bloom_lm._packed(kind, bits, x[i:j], n[i:j]))
+            assert (h2 == x[i:j]).all() and (n2 == n[i:j]).all()
 
 
 def test_top_k(spark, monkeypatch):
