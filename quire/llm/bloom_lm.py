@@ -205,23 +205,15 @@ def _merged(kind: int, bucket_bits: int, bucket: int, payloads: list[bytes]) ->
 # -- scores --------------------------------------------------------------------------
 
 
-def _sums(parts, levels: dict[int, tuple[np.ndarray, np.ndarray]], exact: np.ndarray, total: int, distinct: int, bucket_bits: int) -> list[np.ndarray]:
-    """n_tokens, n_known, train_tokens, base_score and score of the texts. levels: by kind the distinct n-grams and the middles of their levels; exact: the counts of the words."""
-    out = []
-    uniq, f = levels[WORD]
-    for h, before, ends in parts:
-        at = np.searchsorted(uniq, h)
-        f_word, c = f[at], exact[at]
-        f_before = f[np.searchsorted(uniq, before)]
-        pairs, f_pairs = levels[PAIR]
-        f_pair = f_pairs[np.searchsorted(pairs, pair_hashes(before, h, bucket_bits))]
-        share = np.divide(f_pair, f_before, out=np.zeros(len(h)), where=f_before > 0)
-        log_p = np.log10(WEIGHT * np.minimum(1.0, share) + (1 - WEIGHT) * (f_word + 1) / (total + distinct + 1))
-        cut = np.concatenate([[0], ends])
-        sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[cut]) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), log_p)]
-        n = np.diff(cut)
-        out.append([n, sums[0], np.full(len(n), total, np.int64), sums[1] - n * np.log10(total + distinct + 1), sums[2]])
-    return [np.concatenate(x) for x in zip(*out)]
+def _sums(ends: np.ndarray, f_word: np.ndarray, f_end: float, f_pair: np.ndarray, exact: np.ndarray, total: int, distinct: int) -> list[np.ndarray]:
+    """n_tokens, n_known, train_tokens, base_score and score of the texts that end at ends. By token: the middles of the levels of words and pairs, and the words' exact counts; f_end: that of the end mark."""
+    f_before = np.concatenate([[f_end], f_word[:-1]])  # after an end mark comes the next text
+    share = np.divide(f_pair, f_before, out=np.zeros(len(f_word)), where=f_before > 0)
+    log_p = np.log10(WEIGHT * np.minimum(1.0, share) + (1 - WEIGHT) * (f_word + 1) / (total + distinct + 1))
+    cut = np.concatenate([[0], ends])
+    known, logs, score = (np.diff(np.concatenate([[0], np.cumsum(x)])[cut]) for x in ((exact > 0).astype(np.int64), np.log10(exact + 1.0), log_p))
+    n = np.diff(cut)
+    return [n, known, np.full(len(n), total, np.int64), logs - n * np.log10(total + distinct + 1), score]
 
 
 _ASK = "block int, kind int, bucket int, payload binary"
@@ -255,17 +247,15 @@ def _broadcast(docs: DataFrame, trains: str, text_col: str, keep: list[str], sch
         filters, words, counts = shared.value
         empty = segment(*none, hashes)
         for batch, texts in chunks(batches, text_col):
-            part = tokens(texts)
-            levels = {}
-            for kind, x in ((WORD, part[0]), (PAIR, pair_hashes(part[1], part[0], bits))):
-                uniq = np.unique(np.append(x, END)) if kind == WORD else np.unique(x)
-                cut = _cuts(uniq, bits)
-                f = [probe(filters.get((kind, b), empty), uniq[i:j], hashes) for b, (i, j) in enumerate(zip(cut, cut[1:]))]
-                levels[kind] = uniq, middle(np.concatenate(f))
-            at = np.minimum(np.searchsorted(words, levels[WORD][0]), max(0, len(words) - 1))
-            exact = np.where(words[at] == levels[WORD][0], counts[at], 0) if len(words) else np.zeros(len(at), np.int64)
+            h, before, ends = tokens(texts)
+            uniq, back = np.unique(h, return_inverse=True)
+            pairs, back2 = np.unique(pair_hashes(before, h, bits), return_inverse=True)
+            f_word, f_pair = (middle(np.concatenate([probe(filters.get((kind, b), empty), x[i:j], hashes) for b, (i, j) in enumerate(zip(cut, cut[1:]))])) for kind, x in ((WORD, uniq), (PAIR, pairs)) for cut in [_cuts(x, bits)])
+            at = np.minimum(np.searchsorted(words, uniq), max(0, len(words) - 1))
+            exact = np.where(words[at] == uniq, counts[at], 0) if len(words) else np.zeros(len(uniq), np.int64)
+            sums = _sums(ends, f_word[back], f_word[np.searchsorted(uniq, END)], f_pair[back2], exact[back], int(counts.sum()), len(words))
             cols = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.record_batch([*cols, *map(pa.array, _sums([part], levels, exact, int(counts.sum()), len(words), bits))], names=[*keep, *NAMES])
+            yield pa.record_batch([*cols, *map(pa.array, sums)], names=[*keep, *NAMES])
 
     return docs.mapInArrow(run, schema)
 
@@ -320,12 +310,14 @@ def lm_score(docs: DataFrame, trains: Column, text_col: str = "text", small: int
         parts = parts_of(table)
         got = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
         words = [r for r in got if r["kind"] == WORD]
-        exact = np.concatenate([_counts(r["levels"], r["n"], r["n"]) for r in words])
-        levels = {}
-        for kind, x in ((WORD, [p[0] for p in parts]), (PAIR, [pair_hashes(p[1], p[0], bits) for p in parts])):
-            uniq = np.unique(np.concatenate(x))
-            levels[kind] = uniq, middle(np.concatenate([np.frombuffer(r["levels"], np.uint8, r["n"]) for r in got if r["kind"] == kind]))
-        sums = _sums([p[:3] for p in parts], levels, exact, sum(r["total"] for r in words), sum(r["distinct"] for r in words), bits)
+        h = np.concatenate([p[0] for p in parts])
+        uniq, back = np.unique(h, return_inverse=True)
+        levels = [middle(np.concatenate([np.frombuffer(r["levels"], np.uint8, r["n"]) for r in got if r["kind"] == kind])) for kind in (WORD, PAIR)]
+        exact = np.concatenate([_counts(r["levels"], r["n"], r["n"]) for r in words])[back]
+        f_word, f_end = levels[WORD][back], levels[WORD][np.searchsorted(uniq, END)]
+        _, back = np.unique(np.concatenate([pair_hashes(p[1], p[0], bits) for p in parts]), return_inverse=True)
+        ends = np.concatenate([p[2] + at for p, at in zip(parts, np.cumsum([0] + [len(p[0]) for p in parts]))])
+        sums = _sums(ends, f_word, f_end, levels[PAIR][back], exact, sum(r["total"] for r in words), sum(r["distinct"] for r in words))
         return pa.table({c: table.column(c) for c in keep} | dict(zip(NAMES, map(pa.array, sums))))
 
     asked = dealt.groupBy("__quire_block").applyInArrow(ask, _ASK)
