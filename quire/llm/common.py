@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -28,9 +29,11 @@ def prepared(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below spark.checkpoint.dir; only where that is unset (tests on one machine), below a temporary folder."""
+    """A new folder name below spark.checkpoint.dir; only where that is unset and Spark runs in this one process, below a temporary folder."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[[^,\]]*(,\s*\d+\s*)?\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/quire-{uuid.uuid4().hex}"

@@ -43,16 +43,17 @@ def _contract(batches):
         yield pa.record_batch([pa.array(hi), pa.array(lo)], names=["hi", "lo"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, where: str | None = None) -> DataFrame:
     """(node, component): for each node of the edges (a, b), other than the smallest of its component, that smallest node.
 
     Union-find contracts the edges of each batch; then rounds of "link all smaller
     neighbours to the smallest" and pointer jumping, each a few shuffles of the edge
     table, until every node points to a root. A node with any number of neighbours
     is met by partial aggregation and by joins that adaptive execution can split.
+    The result reads a table in the folder where, which the caller may delete later.
     """
     spark = edges.sparkSession
-    here = shared_dir(spark)
+    here = where or shared_dir(spark)
     old = f"{here}/0"
     e = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "hi long, lo long").distinct(), old)
     step = 0

@@ -25,12 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import docs_of, others, prepared, quoted, shared_dir, written
-from .words import ALNUM_WORDS, Words, chunks, window_hashes
+from .words import ALNUM_WORDS, Words, chunks, mix, window_hashes
 
 SPAN = 10
 GRAM = 5
 BLOCK_BYTES = 16 << 20
 FILTER_BITS = 22
+#: (text, item) pairs expanded at a time.
+PAIRS = 1 << 20
 _U = np.uint64
 
 
@@ -67,6 +69,9 @@ class _Windows:
         new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
         self.h1, self.h2 = h1[new], h2[new]
         self.cut, self.item = np.append(np.flatnonzero(new), len(item)), item
+        # the first window with the same items stands for all of them
+        _, first, back = np.unique(np.add.reduceat(mix(item.astype(np.uint64)), self.cut[:-1]) if len(item) else h1, return_index=True, return_inverse=True)
+        self.like = first[back]
         self.prints = np.unique(prints)
         bits = np.zeros(1 << FILTER_BITS, bool)
         bits[(self.prints >> _U(64 - FILTER_BITS)).astype(np.int64)] = True
@@ -107,7 +112,7 @@ def find_hits(texts: list[bytes | None], windows: dict[int, _Windows], span: int
     w = Words(texts, ALNUM_WORDS, lower=True)
     hashes = w.hashes()
     step = np.zeros(len(hashes) + 1, np.int64)
-    pairs = [np.zeros((2, 0), np.int64)]
+    pairs = [np.zeros(0, np.int64)]
     doc_of = w.doc_of_word()
     for size, index in windows.items():
         at, _ = w.windows(size)
@@ -134,13 +139,16 @@ def find_hits(texts: list[bytes | None], windows: dict[int, _Windows], span: int
         at, found = at[found >= 0], found[found >= 0]
         np.add.at(step, at, 1)
         np.add.at(step, at + size, -1)
-        # a text's distinct windows, then the items of each
-        seen = np.unique(np.stack([doc_of[at], found]), axis=1)
-        n = index.cut[seen[1] + 1] - index.cut[seen[1]]
-        which = np.repeat(index.cut[seen[1]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs.append(np.unique(np.stack([np.repeat(seen[0], n), index.item[which]]), axis=1))
-    both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    return w, np.cumsum(step)[:-1] > 0, both[0], both[1]
+        # a text's distinct sets of items, then the items of each, some sets at a time
+        doc, window = np.divmod(np.unique(doc_of[at] * len(index.like) + index.like[found]), len(index.like))
+        n = index.cut[window + 1] - index.cut[window]
+        done = np.cumsum(n)
+        for lo, hi in zip(cuts := [0, *np.unique(np.searchsorted(done, np.arange(PAIRS, done[-1], PAIRS)) + 1).tolist(), len(n)], cuts[1:]):
+            first, m = index.cut[window[lo:hi]], n[lo:hi]
+            which = np.repeat(first - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            pairs.append(np.unique((np.repeat(doc[lo:hi], m) << 32) | index.item[which]))
+    both = np.unique(np.concatenate(pairs))
+    return w, np.cumsum(step)[:-1] > 0, both >> 32, both & 0xFFFFFFFF
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import docs_of, prepared, quoted, shared_dir, written
+from .common import docs_of, prepared, quoted, remove, shared_dir, written
 from .components import components
 from .words import Words, chunks, mix, window_hashes
 
@@ -187,6 +187,7 @@ def _verify(percent: int):
             b = np.zeros((len(right), COLUMNS), np.float32)
             b[other[r[~on]], c[~on]] = 1
             same += a @ b.T
+        same = same.astype(np.int64)
         close = 100 * same >= percent * (n[left][:, None] + n[right][None, :] - same)
         linked = np.zeros((len(n), len(n)), bool)
         linked[np.ix_(left, right)] = close
@@ -219,7 +220,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     heads = written(keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "head"), f"{here}/heads")
     ties = keys.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    family = components(ties)
+    family = components(ties, f"{here}/family")
     family = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
     member = written(family.join(groups.select(F.col("id").alias("node"), "n"), "node"), f"{here}/member")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY, F.sum("n") / SHINGLES)).cast("int")
@@ -229,12 +230,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = d.join(dealt, "id").mapInArrow(_setter("text", shingle), "id long, family long, part int, parts int, shingles array<long>")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     links = sets.withColumn("task", F.explode(pairs)).groupBy("family", "task").applyInArrow(_verify(percent), "a long, b long")
-    comps = components(links)
+    comps = components(links, f"{here}/comps")
 
     def with_component(df: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(comps.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
     found = written(with_component(groups.select("s1", "s2", "n", "id"), "id", "component_id").select("s1", "s2", "n", "component_id"), f"{here}/found")
+    for done in ("groups", "heads", "family", "member", "sizes", "comps"):
+        remove(spark, f"{here}/{done}")
     out = sigs.select("id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -2,17 +2,20 @@
 
 A text is the bag of its distinct words and their character 3- to 6-grams (a space
 marks a word's edge), hashed to 2**20 buckets. Bucket embeddings and the softmax over
-their average are trained jointly, in numpy on the driver, by Adagrad over minibatches of a
+their average are trained jointly, in numpy in one task, by Adagrad over minibatches of a
 bounded sample of labelled rows: SAMPLE of label 0 and of label 1 in expectation,
-chosen by a hash of the id. Buckets that training leaves out are counted and dropped by
-Spark, so that the driver holds only the others; the bias is corrected for their different shares. Misspellings and new endings share n-grams with words seen in training.
+chosen by a hash of the id; the bias is corrected for their different shares. Buckets
+that training leaves out are counted and dropped before, so that the task holds only
+the others. Misspellings and new endings share n-grams with words seen in training.
 
 A bucket enters the two logits only through its embedding times the softmax weights,
 so one number a bucket is broadcast (8 MB), and whole texts are scored by its mean.
 
 A null or empty text has an empty bag and scores the bias alone. Without labels of
-both classes every text scores the share of label 1 (0 if there are none). Input
-columns named like an output column are replaced by it. Documents are not shuffled.
+both classes every text scores the share of label 1 (0 if there are none). An id
+labelled twice counts by its larger label; each document of a repeated id is a
+training row. Input columns named like an output column are replaced by it.
+Documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .char_ngrams import Chars
-from .common import crc_rest, docs_of, others, prepared, quoted, written
+from .common import crc_rest, docs_of, others, prepared, quoted, remove, shared_dir, written
 from .words import chunks, mix, span_hashes
 
 BITS = 20
@@ -36,7 +39,6 @@ WIDTH = 4
 LEAST_TEXTS = 8
 MOST_TEXTS = 0.2
 SAMPLE = (4500, 2500)
-SLICES = 4
 EPOCHS = 12
 BATCH = 64
 RATE = 0.3
@@ -63,7 +65,7 @@ def _features(chars: Chars):
 
 
 def _bags(batches):
-    """Slice, label and bag of each text: its distinct buckets as 32-bit integers, then their counts, up to 255, as bytes."""
+    """Label and bag of each text: its distinct buckets, then their counts, as 32-bit integers."""
     for batch, texts in chunks(batches, "text"):
         chars = Chars(texts, digits=True)
         doc, bucket = [], []
@@ -73,15 +75,14 @@ def _bags(batches):
         key = (np.concatenate(doc).astype(np.int64) << BITS) | np.concatenate(bucket)
         key, n = np.unique(key, return_counts=True)
         cut = np.searchsorted(key >> BITS, np.arange(len(texts) + 1)).tolist()
-        bucket, n = (key & ((1 << BITS) - 1)).astype("<i4"), np.minimum(n, 255).astype(np.uint8)
+        bucket, n = (key & ((1 << BITS) - 1)).astype("<i4"), n.astype("<i4")
         bags = [bucket[i:j].tobytes() + n[i:j].tobytes() for i, j in zip(cut, cut[1:])]
-        part = [zlib.crc32(x) % SLICES for x in bags]
-        yield pa.record_batch([pa.array(part, pa.int32()), batch.column(1), pa.array(bags, pa.binary())], names=["part", "label", "bag"])
+        yield pa.record_batch([batch.column(1), pa.array(bags, pa.binary())], names=["label", "bag"])
 
 
 def _parts(bag: bytes) -> tuple[np.ndarray, np.ndarray]:
-    m = len(bag) // 5
-    return np.frombuffer(bag, "<i4", m), np.frombuffer(bag, np.uint8, m, 4 * m)
+    m = len(bag) // 8
+    return np.frombuffer(bag, "<i4", m), np.frombuffer(bag, "<i4", m, 4 * m)
 
 
 def _texts(batches):
@@ -115,6 +116,19 @@ def _thinned(shared):
     return run
 
 
+def gradients(e: np.ndarray, w: np.ndarray, b: np.ndarray, f: np.ndarray, weight: np.ndarray, row: np.ndarray, y: np.ndarray) -> tuple:
+    """The mean cross-entropy of some rows with labels y, and its gradients by embeddings e, softmax weights w and biases b. Row row[i] holds bucket f[i] with weight[i]."""
+    mean = np.stack([np.bincount(row, weight * x[f], len(y)) for x in e], axis=1)
+    logit = mean @ w + b
+    p = np.exp(logit - logit.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -np.log(p[np.arange(len(y)), y]).mean()
+    p[np.arange(len(y)), y] -= 1.0
+    p /= len(y)
+    back = p @ w.T
+    return loss, [np.bincount(f, weight * back[row, d], e.shape[1]) for d in range(len(e))], mean.T @ p, p.sum(axis=0)
+
+
 def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray, seed: int = 0, size: list[int] | None = None) -> tuple[np.ndarray, float]:
     """(the part of each bucket in logit 1 minus logit 0, the bias) of the trained network. Row i holds bucket[cut[i]:cut[i + 1]], each n times; size: the lengths of the rows where some buckets are left out."""
     share = float(labels.mean()) if len(labels) else 0.0
@@ -153,15 +167,7 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
             place = np.repeat(cut[rows] - (np.cumsum(long) - long), long) + np.arange(long.sum())
             row = np.repeat(np.arange(len(rows)), long)
             f, share_ = bucket[place], weight[place]
-            mean = np.stack([np.bincount(row, share_ * e[d][f], len(rows)) for d in range(WIDTH)], axis=1)
-            logit = mean @ w + b
-            p = np.exp(logit - logit.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(rows)), labels[rows]] -= 1.0
-            p /= len(rows)
-            back = p @ w.T
-            dw, db = mean.T @ p, p.sum(axis=0)
-            de = [np.bincount(f, share_ * back[row, d], e.shape[1]) for d in range(WIDTH)]
+            _, de, dw, db = gradients(e, w, b, f, share_, row, labels[rows])
             # one Adagrad scale for all embeddings: rates of their own would let rare buckets learn single texts by heart
             left = 1 - step / steps
             step += 1
@@ -177,6 +183,21 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
     return part, float(b[1] - b[0])
 
 
+def _fit(batches):
+    """The model of all rows (label, crc, size, bag) as one row."""
+    # tasks may end in any order; training must not depend on it
+    rows = deque(sorted((row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 2)))), key=lambda x: x[:3]))
+    if not rows:
+        return
+    label, size = np.array([x[0] for x in rows]), [x[3] for x in rows]
+    cut = np.concatenate([[0], np.cumsum([len(x[2]) // 8 for x in rows])])
+    bucket, n = np.empty(cut[-1], np.int32), np.empty(cut[-1], np.int32)
+    for i, j in zip(cut.tolist(), cut[1:].tolist()):
+        bucket[i:j], n[i:j] = _parts(rows.popleft()[2])
+    part, bias = fit(label, cut, bucket, n, size=size)
+    yield pa.record_batch([pa.array([part.tobytes()], pa.binary()), pa.array([bias])], names=["part", "bias"])
+
+
 def score(texts: list[bytes | None], part: np.ndarray, bias: float) -> np.ndarray:
     chars = Chars(texts, digits=True)
     total, n = np.zeros(len(texts)), np.zeros(len(texts))
@@ -196,30 +217,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where(place < F.when(F.col("label") == 1, int(shares[1] * (1 << 30))).otherwise(int(shares[0] * (1 << 30))))
     # the sample's (id, label) rows: the side to broadcast
     texts = docs.select(quoted(id_col).alias("id"), quoted(text_col).cast("string").alias("text")).join(F.broadcast(known), "id").select("text", "label", "id")
-    bags = written(texts.mapInArrow(_bags, "part int, label int, bag binary"))
+    where = shared_dir(docs.sparkSession)
+    bags = written(texts.mapInArrow(_bags, "label int, bag binary"), where)
     plain = bags.where("label = 0").count()
-    used = bags.select("label", "bag").mapInArrow(_texts, "bucket int, n long, plain long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
+    used = bags.mapInArrow(_texts, "bucket int, n long, plain long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("plain").alias("plain"))
     used = used.where((F.col("n") >= LEAST_TEXTS) & (F.col("plain") <= MOST_TEXTS * plain)).select("bucket").toArrow().column(0).to_numpy()
     thinned = _thinned(docs.sparkSession.sparkContext.broadcast(used))
-    rows = []
-    for i in range(SLICES):  # the driver holds the bags once, in numpy, and a slice of them on the way
-        table = bags.where(F.col("part") == i).select("label", "bag").mapInArrow(thinned, "label int, crc long, size long, bag binary").toArrow()
-        rows += zip(*(table.column(c).to_pylist() for c in ("label", "crc", "bag", "size")))
-        del table
-    if not rows:
+    rows = bags.mapInArrow(thinned, "label int, crc long, size long, bag binary").repartition(1)  # the sample is bounded
+    fitted = rows.mapInArrow(_fit, "part binary, bias double").toArrow().to_pylist()
+    remove(docs.sparkSession, where)
+    if not fitted:
         return np.zeros(1 << BITS), -700.0
-    # tasks may end in any order; training must not depend on it
-    rows = deque(sorted(rows, key=lambda x: x[:2]))
-    size = [x[3] for x in rows]
-    label = np.array([x[0] for x in rows])
-    long = np.array([len(x[2]) // 5 for x in rows])
-    cut = np.concatenate([[0], np.cumsum(long)])
-    bucket, n = np.empty(cut[-1], np.int32), np.empty(cut[-1], np.uint8)
-    for i, j in zip(cut.tolist(), cut[1:].tolist()):
-        bag = rows.popleft()[2]
-        bucket[i:j], n[i:j] = np.frombuffer(bag, "<i4", j - i), np.frombuffer(bag, np.uint8, j - i, 4 * (j - i))
-    part, bias = fit(label, cut, bucket, n, size=size)
-    return part, bias - float(np.log(shares[1] / shares[0]))
+    return np.frombuffer(fitted[0]["part"]), fitted[0]["bias"] - float(np.log(shares[1] / shares[0]))
 
 
 def toxicity(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 
@@ -41,3 +42,34 @@ def test_stages(spark, tables):
 def test_run_equals_its_stages(spark, tables):
     got = cp.run(spark, tables)
     assert len(cp.STAGES) == 5 and got.count() == got.select("doc_id").distinct().count() and got.where("doc_id = 400").count() == 0
+
+
+CLASHING = ["score", "Predicted", "n_words", "n_removed", "kept_text", "items", "n_hit", "hit_spans", "contaminated", "component_id", "kept", "n_shingles", "n_tokens", "ids", "a.b"]
+
+
+def test_stages_keep_clashing_columns(spark, tables):
+    """Columns named like those of the operators keep their values; rows that repeat are both kept; n_chars may be missing."""
+    docs = spark.read.parquet(tables + "/documents.parquet").drop("n_chars")
+    plain = docs
+    for name, stage in cp.STAGES[:-1]:
+        wide = plain.select("*", *(F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASHING))
+        out, want = stage(spark, wide, tables), stage(spark, plain, tables)
+        assert out.columns == wide.columns
+        got = sorted(map(str, out.select(*plain.columns).collect()))
+        assert got == sorted(map(str, want.collect()))
+        for r in out.collect():
+            assert all(r[c] == c + ("-" if r.doc_id is None else str(r.doc_id)) for c in CLASHING)
+        twice = stage(spark, plain.unionByName(plain), tables)
+        if name != "toxicity":  # there, repeated rows train twice
+            assert sorted(map(str, twice.collect())) == sorted(got * 2)
+    assert cp.STAGES[-1][1](spark, wide, tables).count() == wide.count()
+
+
+def test_stages_of_nothing(spark, tables, tmp_path):
+    here = str(tmp_path)
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tables}/{name}.parquet").limit(0).write.parquet(f"{here}/{name}.parquet")
+    docs = spark.read.parquet(here + "/documents.parquet")
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs, here).count() == 0
+    assert cp.run(spark, here).count() == 0

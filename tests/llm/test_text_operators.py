@@ -205,3 +205,19 @@ def test_components(spark):
     assert got == {x: find(x) for x in parent if find(x) != x}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     assert shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_hits_of_a_common_passage(monkeypatch):
+    """A passage of many items in many texts: pairs are expanded a few at a time, with the same result."""
+    from quire.llm import decontamination as dc
+
+    passage = " ".join(f"p{i}" for i in range(25))
+    items = [f"i{i} {passage} {'z' * (i % 3 + 1)}" for i in range(90)] + [passage, "short one"]
+    values = [f"{i} {passage} x{i} short one" for i in range(60)] + ["nothing here", None, ""]
+    index = dc.index_items(list(range(len(items))), [t.encode() for t in items], 10, 5)[1]
+    data = [v.encode() if v is not None else None for v in values]
+    _, hit, doc, item = dc.find_hits(data, index, 10, 5)
+    assert sorted(zip(doc.tolist(), item.tolist())) == [(d, i) for d in range(60) for i in range(92)]
+    monkeypatch.setattr(dc, "PAIRS", 37)
+    again = dc.find_hits(data, index, 10, 5)
+    assert (again[1] == hit).all() and (again[2] == doc).all() and (again[3] == item).all()

@@ -180,25 +180,115 @@ def test_language_id_samples_each_language(spark):
     assert language_id.predict([b"qvixu pfrump", b"the tree"], names, prior, logs)[0] == ["xx", "en"]
 
 
-def test_toxicity_holds_used_buckets_only(spark, monkeypatch):
-    """The former sample, and a driver that holds no bucket of too few texts; the model is that of the whole bags."""
+def test_toxicity_holds_used_buckets_only(spark):
+    """The sample, and a model of the used buckets alone that is that of the whole bags."""
     assert toxicity.SAMPLE == (4500, 2500)
     r = random.Random(6)
     rows = [(i, " ".join([f"rare{i}x{r.randrange(10**6)}"] + [r.choice(["bad", "worse", "awful"] if i % 3 == 0 else ["good", "fine", "nice"]) if r.random() < 0.3 else f"w{r.randrange(40)}" for _ in range(20)]), int(i % 3 == 0)) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    seen = {}
-    fit = toxicity.fit
-    monkeypatch.setattr(toxicity, "fit", lambda label, cut, bucket, n, **more: seen.update(bucket=bucket) or fit(label, cut, bucket, n, **more))
     part, bias = toxicity.train(df, df.select("doc_id", "toxic"))
-    assert np.bincount(seen["bucket"])[np.unique(seen["bucket"])].min() >= toxicity.LEAST_TEXTS
     bags = next(toxicity._bags([pa.record_batch({"text": [t for _, t, _ in rows], "label": pa.array([y for _, _, y in rows], pa.int32())})]))
-    whole = sorted((y, zlib.crc32(b), b) for y, b in zip(bags.column(1).to_pylist(), bags.column(2).to_pylist()))
-    cut = np.concatenate([[0], np.cumsum([len(x[2]) // 5 for x in whole])])
+    whole = sorted((y, zlib.crc32(b), b) for y, b in zip(bags.column(0).to_pylist(), bags.column(1).to_pylist()))
+    cut = np.concatenate([[0], np.cumsum([len(x[2]) // 8 for x in whole])])
     bucket, n = (np.concatenate(x) for x in zip(*(toxicity._parts(x[2]) for x in whole)))
-    want = fit(np.array([x[0] for x in whole]), cut, bucket, n)
+    want = toxicity.fit(np.array([x[0] for x in whole]), cut, bucket, n)
     assert np.allclose(part, want[0]) and bias == pytest.approx(want[1])
 
 
+def test_toxicity_gradients():
+    rng = np.random.default_rng(2)
+    e, w, b = rng.normal(size=(4, 9)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    row = np.repeat(np.arange(6), 5)
+    f, weight, y = rng.integers(0, 9, 30), rng.random(30), rng.integers(0, 2, 6)
+    _, de, dw, db = toxicity.gradients(e, w, b, f, weight, row, y)
+    for x, g in ((e, np.array(de)), (w, dw), (b, db)):
+        for at in np.ndindex(x.shape):
+            old, ends = x[at], []
+            for step in (1e-6, -1e-6):
+                x[at] = old + step
+                ends.append(toxicity.gradients(e, w, b, f, weight, row, y)[0])
+            x[at] = old
+            assert (ends[0] - ends[1]) / 2e-6 == pytest.approx(g[at], abs=1e-6)
+
+
+def folded(text, keep):
+    return "".join(c if keep(c) else " " for c in (text or "").lower())
+
+
+def bucket_of(gram, bits):
+    """The hash of a character n-gram, in plain integers."""
+    h = 0
+    for c in gram:
+        h = (h * 0x01000193 + ord(c)) & 0xFFFFFFFF
+    x = (h + len(gram) * 0x9E3779B1) & 0xFFFFFFFF
+    x ^= x >> 16
+    x = x * 0x7FEB352D & 0xFFFFFFFF
+    x ^= x >> 15
+    return (x * 0x846CA68B & 0xFFFFFFFF) >> (32 - bits)
+
+
+def grams(text, longest):
+    """All n-grams with a letter, in which a space is at most the first and the last character."""
+    padded = f" {text} "
+    for n in range(1, longest + 1):
+        for i in range(len(padded) - n + 1):
+            g = padded[i : i + n]
+            if g.strip() and " " not in g[1:-1]:
+                yield g
+
+
+def test_toxicity_score_by_loops():
+    """Whole texts, also very long ones, against a loop over the distinct words of each."""
+    from quire.llm.char_ngrams import Chars
+
+    rng = np.random.default_rng(4)
+    part, bias = rng.normal(size=1 << toxicity.BITS), -0.4
+    values = ["Bad worse, bad!", "", None, "ok", "  x1 É\u00df ", "a " * 4000 + "b" * 3000, " ".join(f"w{i % 977}q{i}" for i in range(30_000)), "same same same"]
+    got = toxicity.score([v.encode() if v is not None else None for v in values], part, bias)
+    for v, s in zip(values, got):
+        words = list(dict.fromkeys(folded(v, str.isalnum).split()))
+        total, n = 0.0, 0
+        for x in words:
+            chars = Chars([x.encode()], digits=True)
+            *_, (_, whole) = toxicity._features(chars)  # the hash of the word itself
+            found = [bucket_of(g, toxicity.BITS) for g in grams(x, toxicity.LONGEST) if len(g) >= 3] + whole.tolist()
+            total, n = total + sum(part[i] for i in found), n + len(found)
+        assert s == pytest.approx(1 / (1 + math.exp(-(bias + total / max(n, 1)))), abs=1e-9)
+
+
+def test_toxicity_counts_are_not_capped():
+    """An n-gram that over 255 distinct words hold counts in training as in scoring."""
+    text = " ".join(f"abc{i}z" for i in range(700))
+    bags = next(toxicity._bags([pa.record_batch({"text": [text], "label": pa.array([1], pa.int32())})]))
+    bucket, n = toxicity._parts(bags.column(1)[0].as_py())
+    assert n.max() == 700 and dict(zip(bucket.tolist(), n.tolist()))[bucket_of("abc", toxicity.BITS)] == 700
+
+
+def test_language_id_by_loops(spark):
+    """lang_pred and score against a plain naive Bayes over the same buckets, through the query."""
+    r = random.Random(12)
+    make = {"aa": "abcde", "bb": "defgh", "cc": "ghiab"}
+    values = [(i, " ".join("".join(r.choice(make[x]) for _ in range(r.randrange(1, 7))) for _ in range(r.randrange(1, 12))), x) for i in range(150) for x in [r.choice("abc") * 2]]
+    values += [(900, None, "aa"), (901, " 12 !", "bb"), (902, "unlabelled dead", None), (903, "abc gh", None), (904, "ab gh " * 20_000, "cc")]
+    df = spark.createDataFrame(values, "doc_id long, text string, lang string").repartition(3)
+    learned = [(t, x) for i, t, x in values if x and zlib.crc32(str(i).encode()) % 5]
+    names = sorted({x for _, x in learned})
+    counts = {x: Counter(bucket_of(g, 16) for t, y in learned if y == x for g in grams(folded(t, str.isalpha), 3)) for x in names}
+    model = language_id.train(df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    done = {x.doc_id: x for x in language_id.identify(df, model).collect()}
+    assert model[0] == names and len(done) == len(values)
+    for i, t, _ in values:
+        text = folded(t, str.isalpha)
+        if not text.strip():
+            assert (done[i].lang_pred, done[i].score) == ("und", 0.0)
+            continue
+        found = Counter(bucket_of(g, 16) for g in grams(text, 3))
+        logs = [math.log(sum(y == x for _, y in learned) / len(learned)) + sum(k * math.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * 65536)) for b, k in found.items()) for x in names]
+        best = max(logs)
+        assert done[i].lang_pred == names[logs.index(best)]
+        assert done[i].score == pytest.approx(1 / sum(math.exp(x - best) for x in logs), rel=1e-6)
+
+
 def lm_brute_force(values, trains):
     """Per text: n_tokens, n_known, train_tokens, base_score and, from exact counts, score."""
     words = [["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None] for t in values]
