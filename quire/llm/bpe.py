@@ -6,9 +6,10 @@ distinct piece that is not itself a token is encoded once, in padded matrices of
 similar lengths. In every round each row merges its leftmost pair of minimum rank:
 pair ranks come from an open-addressing hash table over (left id, right id), the
 merged column is closed up, only the two pairs beside it are looked up again, and
-finished rows leave the matrix. A piece of over 512 bytes is merged in the same order
-through a heap, since a row's rounds grow with the square of its length. A worker
-keeps a bounded cache of cuts between batches.
+finished rows leave the matrix. A piece of over 512 bytes is a matrix of its own, in which
+a round merges all places of the pair of minimum rank where that gives the same. A worker
+keeps a bounded cache of cuts between batches. With another pattern than CUTTABLE, whole
+texts are split.
 
 A null text counts as empty. Invalid UTF-8 becomes U+FFFD. Input columns named like
 an output column are replaced by it. No shuffles.
@@ -17,8 +18,8 @@ an output column are replaced by it. No shuffles.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import docs_of, others, prepared, quoted
-from .words import chunks
+from .words import Numbers, binaries, chunks, gathered
 
 # The 25 white-space characters of Unicode, as a regex set (fixed values).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: The pattern of which CUT's edges are edges of pieces (a fixed value).
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
 CELLS = 1 << 20
 CACHED = 400_000
@@ -81,13 +84,21 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
-        self.vocab = {i: t for t, i in ranks.items()}
+        self.ranks, self.pattern, self.cuttable = ranks, regex.compile(pattern), pattern == CUTTABLE
         pairs = [(a, b, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None]
         left, right, rank = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 3
         self.table = PairTable(left, right, rank.astype(np.int32))
+        #: Tokens of which no pair with them makes a token of a lower rank.
+        self.last = np.ones(max(ranks.values(), default=0) + 1, bool)
+        self.last[left[rank < left]] = self.last[right[rank < right]] = False
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
-        self.cache: dict[str, bytes] = {}
+        size = max(ranks.values(), default=0) + 1
+        self.known, self.token_len = np.zeros(size, bool), np.zeros(size, np.int64)
+        rank = np.fromiter(ranks.values(), np.int64, len(ranks))
+        self.known[rank], self.token_len[rank] = True, list(map(len, ranks))
+        self.flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+        self.token_start = np.cumsum(self.token_len) - self.token_len
+        self.forget()
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Bpe:
@@ -123,68 +134,100 @@ class Bpe:
             rank[inner, at[inner]] = self.table.rank(low[inner], ids[inner, at[inner] + 1])
         return done
 
-    def _merge_long(self, piece: bytes) -> bytes:
-        """The same merges for one long piece: a heap of (rank, place) over a linked list."""
-        ids = self.bytes[np.frombuffer(piece, np.uint8)].tolist()
-        n, vocab, ranks = len(ids), self.vocab, self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        def rank(i):
-            return ranks.get(vocab[ids[i]] + vocab[ids[after[i]]]) if i >= 0 and after[i] < n else None
-        heap = [(r, i) for i in range(n) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        gone = bytearray(n)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if gone[i] or rank(i) != r:
+    def _merge_row(self, ids: np.ndarray) -> np.ndarray:
+        """The same for a matrix of one long row. Where no pair beside a merged one can rank lower, the other places of that pair come next anyway, from left to right, so one round merges them all."""
+        rank = self.table.rank(ids[:-1], ids[1:])
+        while len(rank):
+            first = int(rank.argmin())
+            low = rank[first]
+            if low == _NONE:
+                break
+            at = np.array([first])
+            if self.last[low]:
+                at = np.flatnonzero(rank == low)
+                # of places that overlap every other one, from the left
+                head = np.concatenate([[True], np.diff(at) > 1])
+                at = at[(at - at[head][np.cumsum(head) - 1]) % 2 == 0]
+            ids[at] = low
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = ids[keep]
+            keep = np.ones(len(rank), bool)
+            keep[at] = False
+            rank = rank[keep]
+            at = at - np.arange(len(at))
+            for x in (at[at > 0] - 1, at[at < len(rank)]):
+                rank[x] = self.table.rank(ids[x], ids[x + 1])
+        return ids
+
+    def pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
+        direct = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        lens = np.array(list(map(len, pieces)), np.int64)
+        count = np.ones(len(pieces), np.int64)
+        done = [(np.flatnonzero(direct >= 0), direct[direct >= 0])]
+        rest = np.flatnonzero(direct < 0)
+        width = np.searchsorted(WIDTHS, lens[rest])
+        for i in np.unique(width).tolist():
+            some = rest[width == i]
+            if i == len(WIDTHS):
+                for at in some.tolist():
+                    ids = self._merge_row(self.bytes[np.frombuffer(pieces[at], np.uint8)])
+                    count[at] = len(ids)
+                    done.append((np.array([at]), ids))
                 continue
-            j = after[i]
-            ids[i], gone[j], after[i] = r, 1, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if (r := rank(k)) is not None:
-                    heapq.heappush(heap, (r, k))
-        return np.array([t for t, g in zip(ids, gone) if not g], "<u4").tobytes()
-
-    def pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of each distinct piece as little-endian unsigned 32-bit integers."""
-        out, by_width = {}, {}
-        for p in pieces:
-            if (r := self.ranks.get(p)) is not None:
-                out[p] = r.to_bytes(4, "little")
-            elif len(p) > WIDTHS[-1]:
-                out[p] = self._merge_long(p)
-            else:
-                by_width.setdefault(WIDTHS[np.searchsorted(WIDTHS, len(p))] if len(p) > 4 else len(p), []).append(p)
-        for w, some in by_width.items():
-            for lo in range(0, len(some), max(1, CELLS // w)):
-                part = some[lo : lo + max(1, CELLS // w)]
-                lens = np.array([len(p) for p in part])
-                ids = np.full((len(part), w), -1, np.int32)
-                ids[np.arange(w) < lens[:, None]] = self.bytes[np.frombuffer(b"".join(part), np.uint8)]
+            step = max(1, CELLS // WIDTHS[i])
+            for lo in range(0, len(some), step):
+                part = some[lo : lo + step]
+                ids = np.full((len(part), WIDTHS[i]), -1, np.int32)
+                ids[np.arange(WIDTHS[i]) < lens[part, None]] = self.bytes[np.frombuffer(b"".join([pieces[at] for at in part.tolist()]), np.uint8)]
                 for rows, got in self._merge(ids):
-                    n = (got >= 0).sum(axis=1)
-                    data = got[got >= 0].astype("<u4").tobytes()
-                    ends = np.cumsum(n * 4).tolist()
-                    for r, a, b in zip(rows.tolist(), [0, *ends], ends):
-                        out[part[r]] = data[a:b]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [CUT.findall(t) for t in texts]
-        cache = self.cache
-        new = set().union(*cuts) - cache.keys()
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
-            new = set().union(*cuts)
-        find = self.pattern.findall
-        split = {c: [p.encode() for p in find(c)] for c in new}
-        ids = self.pieces(list(set().union(*split.values())))
-        cache.update((c, b"".join([ids[p] for p in ps])) for c, ps in split.items())
-        return [b"".join(map(cache.__getitem__, c)) for c in cuts]
-
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.vocab.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+                    count[part[rows]] = (got >= 0).sum(axis=1)
+                    done.append((part[rows], got[got >= 0]))
+        start = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.uint32)
+        for at, ids in done:
+            n = count[at]
+            out[np.repeat(start[at] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return out, count
+
+    def forget(self) -> None:
+        """Empties the cache of cuts."""
+        self.cuts = Numbers()
+        self.ids, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _fill(self) -> None:
+        """The ids of the new cuts."""
+        new, self.cuts.new = self.cuts.new, []
+        split = list(map(self.pattern.findall, new))
+        size = np.array(list(map(len, split)), np.int64)
+        own = Numbers()
+        at = own.of(chain.from_iterable(split), int(size.sum()))
+        flat, count = self.pieces([p.encode() for p in own.new])
+        ids, done = gathered(flat, (np.cumsum(count) - count)[at], count[at])
+        ends = done[np.cumsum(size)]
+        lens = np.diff(ends, prepend=0)
+        self.starts, self.lens = np.concatenate([self.starts, len(self.ids) + ends - lens]), np.concatenate([self.lens, lens])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each begins and the last ends."""
+        if len(self.cuts) > CACHED or not self.cuttable:
+            self.forget()
+        cuts = [CUT.findall(t) if self.cuttable else [t] for t in texts]
+        size = np.array(list(map(len, cuts)), np.int64)
+        at = self.cuts.of(chain.from_iterable(cuts), int(size.sum()))
+        self._fill()
+        ids, done = gathered(self.ids, self.starts[at], self.lens[at])
+        return ids, done[np.concatenate([[0], np.cumsum(size)])]
+
+    def decode(self, ids: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the ids of all texts, which begin at cut, and where each text's begin and the last's end."""
+        at = ids.astype(np.int64)
+        if len(at) and (at.max() >= len(self.known) or not self.known[at].all()):
+            raise ValueError("an id outside the vocabulary")
+        data, done = gathered(self.flat, self.token_start[at], self.token_len[at])
+        return data, done[cut]
 
 
 _LOADED: dict[tuple[str, str], Bpe] = {}
@@ -217,8 +260,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
     """docs with n_tokens and ids (little-endian unsigned 32-bit integers)."""
 
     def work(values):
-        ids = loaded(path, pattern).encode([(v or b"").decode("utf-8", "replace") for v in values])
-        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+        ids, cut = loaded(path, pattern).encode([(v or b"").decode("utf-8", "replace") for v in values])
+        return [pa.array(np.diff(cut)), binaries(ids, cut)]
 
     return _mapped(docs, text_col, [_N, _IDS], work)
 
@@ -227,7 +270,9 @@ def bpe_decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids")
     """tokens with decoded: the bytes of the ids; an id outside the vocabulary is an error, null ids are empty."""
 
     def work(values):
-        return [pa.array([loaded(path, pattern).decode(v or b"") for v in values], pa.binary())]
+        ids = np.frombuffer(b"".join(v or b"" for v in values), "<u4")
+        cut = np.concatenate([[0], np.cumsum([len(v or b"") // 4 for v in values])]).astype(np.int64)
+        return [binaries(*loaded(path, pattern).decode(ids, cut))]
 
     return _mapped(tokens, ids_col, [_BACK], work)
 
@@ -237,8 +282,8 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "te
 
     def work(values):
         bpe = loaded(path, pattern)
-        ids = bpe.encode([(v or b"").decode("utf-8", "replace") for v in values])
-        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())]
+        ids, cut = bpe.encode([(v or b"").decode("utf-8", "replace") for v in values])
+        return [pa.array(np.diff(cut)), binaries(ids, cut), binaries(*bpe.decode(ids, cut))]
 
     return _mapped(docs, text_col, [_N, _IDS, _BACK], work)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import remove, shared_dir, written
 
+ROWS = 1 << 15
+
 
 class UnionFind:
     """Disjoint sets over integers; each set's root is its smallest member."""
@@ -48,7 +50,8 @@ def components(edges: DataFrame, where: str | None = None) -> DataFrame:
 
     Union-find contracts the edges of each batch; then rounds of "link all smaller
     neighbours to the smallest" and pointer jumping, each a few shuffles of the edge
-    table, until every node points to a root. A node with any number of neighbours
+    table, until every node points to a root. Tables are written as one file for each
+    ROWS edges of the round before, as they only shrink. A node with any number of neighbours
     is met by partial aggregation and by joins that adaptive execution can split.
     The result reads a table in the folder where, which the caller may delete later.
     """
@@ -56,19 +59,20 @@ def components(edges: DataFrame, where: str | None = None) -> DataFrame:
     here = where or shared_dir(spark)
     old = f"{here}/0"
     e = written(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_contract, "hi long, lo long").distinct(), old)
+    files = max(1, -(-e.count() // ROWS))
     step = 0
     while True:
         step += 1
-        p = written(e.groupBy("hi").agg(F.min("lo").alias("p")), f"{here}/p{step}")
+        p = e.groupBy("hi").agg(F.min("lo").alias("p"))
         up = p.select(F.col("hi").alias("p"), F.col("p").alias("pp"))
         jump = p.join(up, "p", "left").select("hi", F.coalesce("pp", "p").alias("lo"), F.col("pp").isNotNull().alias("moved"))
         more = e.join(p, "hi").where("lo <> p").select(F.greatest("lo", "p").alias("hi"), F.least("lo", "p").alias("lo"), F.lit(True).alias("moved"))
         now = f"{here}/{step}"
-        e2 = written(jump.unionByName(more).groupBy("hi", "lo").agg(F.max("moved").alias("moved")), now)
-        open_ = not e2.where("moved").isEmpty()
+        e2 = written(jump.unionByName(more).groupBy("hi", "lo").agg(F.max("moved").alias("moved")).coalesce(files), now)
+        count, open_ = e2.agg(F.count(F.lit(1)), F.max("moved")).first()
+        files = max(1, -(-count // ROWS))
         e = e2.select("hi", "lo")
         remove(spark, old)
-        remove(spark, f"{here}/p{step}")
         old = now
         if not open_:
             return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))

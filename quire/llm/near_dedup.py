@@ -218,13 +218,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("id", "octave", F.posexplode("bands").alias("pos", "band"))
         .select(F.xxhash64("pos", "band", "octave").alias("key"), "id")
     )
-    heads = written(keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "head"), f"{here}/heads")
+    heads = keys.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "head")
     ties = keys.join(heads, "key").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     family = components(ties, f"{here}/family")
     family = family.unionByName(family.select(F.col("component").alias("node"), "component").distinct())
     member = written(family.join(groups.select(F.col("id").alias("node"), "n"), "node"), f"{here}/member")
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY, F.sum("n") / SHINGLES)).cast("int")
-    sizes = written(member.groupBy("component").agg(parts.alias("parts")), f"{here}/sizes")
+    sizes = member.groupBy("component").agg(parts.alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = member.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), part.alias("part"), "parts")
     sets = d.join(dealt, "id").mapInArrow(_setter("text", shingle), "id long, family long, part int, parts int, shingles array<long>")
@@ -236,7 +236,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return df.join(comps.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
     found = written(with_component(groups.select("s1", "s2", "n", "id"), "id", "component_id").select("s1", "s2", "n", "component_id"), f"{here}/found")
-    for done in ("groups", "heads", "family", "member", "sizes", "comps"):
+    for done in ("groups", "family", "member", "comps"):
         remove(spark, f"{here}/{done}")
     out = sigs.select("id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))

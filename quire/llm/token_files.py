@@ -26,9 +26,11 @@ ordered by their tokens. An empty table gives an empty data set.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain, filterfalse
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +38,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import docs_of, prepared, quoted, remove, shared_dir
-from .words import chunks
+from .words import Numbers, binaries, chunks, gathered
 
 MAX_BITS = 20
 LANE = 256
 BLOCK_TOKENS = 1 << 20
-CACHED, CORES = 400_000, 1_000_000
+CACHED, CORES = 800_000, 1_000_000
 #: A word a line. Its tokens are those of its letters, then those of its punctuation, where it has only these: letters below U+0130, in which normal form and lower case are letters again, then ASCII punctuation. Any other word is one part.
+MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 PARTS = re.compile("^(?:([A-Za-zªµºÀ-ÖØ-öø-į]+)([!-/:-@\\[-`{-~]*)|(.+))$", re.MULTILINE)
+#: The normal form and the cuts of a tokenizer that may be run by words (fixed values).
+WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 _U = np.uint64
 
 
@@ -106,7 +120,7 @@ class Codec:
             first = np.flatnonzero(np.diff(word, prepend=-1))
             out[word[first]] = np.bitwise_or.reduceat((value >> _U(32)).astype(np.uint32), first)
             out[word[first] + 1] |= np.bitwise_or.reduceat(value.astype(np.uint32), first)
-        return out.astype(">u4").tobytes()[: (total + 7) // 8], at[::LANE].astype("<u4" if total < 2**32 else "<u8")
+        return out.astype(">u4").tobytes()[: (total + 7) // 8], at[::LANE].astype("<i8")
 
     def decode(self, payloads: list[bytes], offsets: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
         """The ids of several blocks, all of their lanes in step."""
@@ -125,7 +139,12 @@ class Codec:
 
 
 class Tokenizer:
-    """A tokenizers-library model with a bounded cache of words."""
+    """A tokenizers-library model with a bounded cache of words.
+
+    A word is two segments, its letters and its punctuation; any other word is a
+    segment and the empty one. A segment's ids are those from starts on, lens of them.
+    A tokenizer that doesn't cut and fold as WORDS says gets whole texts instead.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -134,54 +153,92 @@ class Tokenizer:
         self.model = Model.from_file(path)
         size = self.model.get_vocab_size(with_added_tokens=True)
         self.size = size
+        form = json.loads(self.model.to_str())
+        self.by_words = (form["normalizer"], form["pre_tokenizer"]) == WORDS
         suffix = getattr(self.model.model, "end_of_word_suffix", None)
         self.last = np.array([bool(suffix) and str(self.model.id_to_token(i)).endswith(suffix) for i in range(size)])
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        self.words: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
+        self.clear()
+
+    def clear(self) -> None:
+        self.forget()
+        self.cores = Numbers()
+        self.cores[""] = 0
+        self.starts, self.lens, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.kind)
+
+    def forget(self) -> None:
+        self.words, self.parts = Numbers(), np.zeros((0, 2), np.int32)
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The ids of all words, and how many each has."""
+        got = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), self.kind), [len(x) for x in got]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters: many a call, cut after each token that ends a word."""
-        out = []
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """The same for words of letters: many a call, cut after each token that ends a word."""
+        out, lens = [np.zeros(0, self.kind)], []
         for lo in range(0, len(words), 1000):
             some = words[lo : lo + 1000]
             ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(some) or ends[-1] != len(ids):
-                out += self._whole(some)
-                continue
-            data, size = ids.tobytes(), self.kind.itemsize
-            out += [data[size * a : size * b] for a, b in zip([0, *ends], ends)]
-        return out
-
-    def _fill(self, missing: set[bytes]) -> None:
-        words = list(missing)
-        parts = PARTS.findall(b"\n".join(words).decode("utf-8", "replace")) if words else []
-        heads, marks = [p[0].lower() for p in parts], [p[1] for p in parts]
-        if len(self.cores) + len(words) > CORES:
-            self.cores = {"": b""}
-        cores = self.cores
-        for new, encode in ((set(heads), self._letters), (set(marks), self._whole)):
-            new = list(new - cores.keys())
-            cores.update(zip(new, encode(new)))
-        out = [cores[a] + cores[b] if b else cores[a] for a, b in zip(heads, marks)]
-        rest = [i for i, p in enumerate(parts) if p[2]]
-        for i, ids in zip(rest, self._whole([parts[i][2] for i in rest])):
-            out[i] = ids
-        self.words.update(zip(words, out))
-
-    def encode(self, texts: list[bytes | None], end: bytes = b"") -> list[bytes]:
-        words = [(t or b"").split() for t in texts]
-        known = self.words
-        missing = set(filterfalse(known.__contains__, chain.from_iterable(words)))
-        if len(known) + len(missing) > CACHED:
-            known.clear()
-            missing = set().union(*words)
-        self._fill(missing)
-        return [b"".join(map(known.__getitem__, w)) + end for w in words]
+                ids, n = self._whole(some)
+            else:
+                n = np.diff(ends, prepend=0).tolist()
+            out.append(ids)
+            lens += n
+        return np.concatenate(out), lens
+
+    def _fill(self) -> None:
+        """The segments of the new words, and the ids of the new segments."""
+        words, self.words.new = self.words.new, []
+        if not words:
+            return
+        # lower-casing keeps a letter of PARTS one letter of PARTS
+        parts = PARTS.findall(b"\n".join(words).decode("utf-8", "replace").lower())
+        new = np.empty((len(words), 2), np.int32)
+        for i in (0, 1):
+            new[:, i] = self.cores.of(map(itemgetter(i), parts), len(words))
+        for at in np.flatnonzero(np.fromiter(map(len, map(itemgetter(2), parts)), np.int32, len(words))).tolist():
+            new[at, 0] = self.cores[words[at]]  # as bytes, unlike segments
+        self.parts = np.concatenate([self.parts, new])
+        found, self.cores.new = self.cores.new, []
+        kinds: tuple[list, list] = [], []
+        for x in found:
+            kinds[isinstance(x, bytes) or x[0] in MARKS].append(x)
+        for some, encode in zip(kinds, (self._letters, self._whole)):
+            if some:
+                ids, lens = encode([x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in some])
+                n = np.array(lens)
+                at = self.cores.of(some, len(some))
+                more = len(self.cores) - len(self.lens)
+                if more:
+                    self.starts, self.lens = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.starts, self.lens))
+                self.starts[at], self.lens[at] = len(self.ids) + np.cumsum(n) - n, n
+                self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, texts: list[bytes | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end after each, and where each text ends."""
+        last = np.zeros(0, self.kind) if end is None else np.array([end], self.kind)
+        if not self.by_words:
+            ids, lens = self._whole([(t or b"").decode("utf-8", "replace") for t in texts])
+            stops = np.cumsum(lens, dtype=np.int64)
+        else:
+            if len(self.cores) > CORES:
+                self.clear()
+            if len(self.words) > CACHED:
+                self.forget()
+            words = [(t or b"").split() for t in texts]
+            stops = np.cumsum(list(map(len, words)), dtype=np.int64)
+            at = self.words.of(chain.from_iterable(words), int(stops[-1]) if len(stops) else 0)
+            self._fill()
+            part = self.parts[at].reshape(-1)
+            ids, done = gathered(self.ids, self.starts[part], self.lens[part])
+            stops = done[2 * stops]
+        if end is not None:
+            ids = np.insert(ids, stops, last[0])
+            stops = stops + np.arange(1, len(stops) + 1)
+        return ids, stops
 
 
 _LOADED: dict[str, Tokenizer] = {}
@@ -200,11 +257,12 @@ def _tokenise(path: str, end_id: int):
         total = None
         for batch, texts in chunks(batches, "text"):
             t = loaded(path)
-            ids = t.encode(texts, np.array([end_id], t.kind).tobytes())
-            got = np.bincount(np.frombuffer(b"".join(ids), t.kind), minlength=t.size)
+            ids, stops = t.encode(texts, end_id)
+            got = np.bincount(ids, minlength=t.size)
             total = got if total is None else total + got
-            n = len(ids)
-            yield pa.record_batch([batch.column(0), pa.array(ids, pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], names=["id", "ids", "symbols", "counts"])
+            n = len(texts)
+            data = binaries(ids, np.concatenate([[0], stops]))
+            yield pa.record_batch([batch.column(0), data, pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], names=["id", "ids", "symbols", "counts"])
         if total is not None:
             used = np.flatnonzero(total)
             yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([used.tolist()], pa.list_(pa.int32())), pa.array([total[used].tolist()], pa.list_(pa.int64()))], names=["id", "ids", "symbols", "counts"])
@@ -290,7 +348,7 @@ def read_tokens(spark: SparkSession, where: str) -> DataFrame:
             col = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
             for lo in range(0, batch.num_rows, 2):
                 part = {f: c.slice(lo, 2).to_pylist() for f, c in col.items()}
-                offsets = [np.frombuffer(o, "<u4" if len(p) < 2**29 else "<u8") for o, p in zip(part["offsets"], part["payload"])]
+                offsets = [np.frombuffer(o, "<i8") for o in part["offsets"]]
                 for ids, at, names, sizes in zip(codec.decode(part["payload"], offsets, part["n"]), part["at"], part["doc_ids"], part["doc_sizes"]):
                     data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes).tolist()
                     cut = [0, *ends]

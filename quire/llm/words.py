@@ -8,12 +8,13 @@ windowed without a Python loop over words. Hashes are 64-bit polynomials modulo
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 CHUNK_ROWS = 2048
 
 _U = np.uint64
@@ -53,7 +54,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
         inv = np.full(size, pow(base, -1, 1 << 64), np.uint64)
         fwd[0] = inv[0] = 1
         got = np.cumprod(fwd, dtype=np.uint64), np.cumprod(inv, dtype=np.uint64)
-        if size <= 2 * CHUNK_BYTES:  # tables for one enormous text are not kept
+        if size <= 4 * CHUNK_BYTES:  # tables for one enormous text are not kept
             _TABLES[which] = got
     return got
 
@@ -132,3 +133,39 @@ def chunks(batches, text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | No
             size += n
         if lo < len(whole):
             yield batch.slice(lo), whole[lo:]
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, since idle workers stay beside the busy ones of an executor."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+class Numbers(dict):
+    """Keys, numbered in the order of their first use; new: those added since it was last emptied."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self.new.append(key)
+        n = self[key] = len(self)
+        return n
+
+    def of(self, keys, size: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, size)
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans of flat one after the other, and where each begins and the last ends."""
+    done = np.concatenate([[0], np.cumsum(lens)])
+    return flat[np.repeat(starts - done[:-1], lens) + np.arange(done[-1])], done
+
+
+def binaries(data: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """The slices of data between the elements of cut, as bytes."""
+    cut = pa.py_buffer((cut * data.itemsize).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_binary(), len(cut) // 8 - 1, [None, cut, pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
