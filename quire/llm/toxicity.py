@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .char_ngrams import Chars
 from .common import crc_rest, docs_of, others, prepared, quoted, remove, shared_dir, written
-from .words import chunks, mix, span_hashes
+from .words import chunks, mix, span_hashes, trim
 
 BITS = 20
 LONGEST = 6
@@ -130,7 +130,7 @@ def gradients(e: np.ndarray, w: np.ndarray, b: np.ndarray, f: np.ndarray, weight
 
 
 def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray, seed: int = 0, size: list[int] | None = None) -> tuple[np.ndarray, float]:
-    """(the part of each bucket in logit 1 minus logit 0, the bias) of the trained network. Row i holds bucket[cut[i]:cut[i + 1]], each n times; size: the lengths of the rows where some buckets are left out."""
+    """(the part of each bucket in logit 1 minus logit 0, the bias) of the trained network. Row i holds bucket[cut[i]:cut[i + 1]], each n times; bucket is overwritten; size: the lengths of the rows where some buckets are left out."""
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log(max(share, 1e-9) / max(1 - share, 1e-9)))
     if share in (0.0, 1.0):
@@ -145,16 +145,17 @@ def fit(labels: np.ndarray, cut: np.ndarray, bucket: np.ndarray, n: np.ndarray,
             plain[bucket[cut[i] : cut[i + 1]]] += 1
     used = (df >= LEAST_TEXTS) & (plain <= MOST_TEXTS * (labels == 0).sum())
     rarity = np.where(used, np.log(len(labels) / np.maximum(df, 1)), 0.0)
-    kept, weight, ends = [], [], [0]
-    for i in range(len(labels)):
-        f, k = bucket[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
+    weight, ends = np.empty(len(bucket), np.float32), [0]
+    number = np.cumsum(used, dtype=np.int32) - 1  # without gaps from here on
+    for i, j, long in zip(cut.tolist(), cut[1:].tolist(), size):
+        f, at = bucket[i:j], ends[-1]
         on = used[f]
-        kept.append(f[on])
-        weight.append((k[on] * rarity[f[on]] / size[i]).astype(np.float32))
-        ends.append(ends[-1] + len(kept[-1]))
-    bucket, weight, cut = np.concatenate(kept), np.concatenate(weight), np.array(ends)
-    del kept, n
-    bucket = (np.cumsum(used, dtype=np.int32) - 1)[bucket]  # numbered without gaps from here on
+        f = f[on]
+        weight[at : at + len(f)] = n[i:j][on] * rarity[f] / long
+        bucket[at : at + len(f)] = number[f]  # in place: never ahead of what is read
+        ends.append(at + len(f))
+    bucket, weight, cut = bucket[: ends[-1]], weight[: ends[-1]], np.array(ends)
+    del n
     e = np.zeros((WIDTH, int(used.sum())))
     w, b = rng.normal(0, 0.5, (WIDTH, 2)), np.array([0.0, bias])
     ge, gw, gb = 1e-8, np.full((WIDTH, 2), 1e-6), np.full(2, 1e-2)
@@ -194,6 +195,8 @@ def _fit(batches):
     bucket, n = np.empty(cut[-1], np.int32), np.empty(cut[-1], np.int32)
     for i, j in zip(cut.tolist(), cut[1:].tolist()):
         bucket[i:j], n[i:j] = _parts(rows.popleft()[2])
+    del rows
+    trim()
     part, bias = fit(label, cut, bucket, n, size=size)
     yield pa.record_batch([pa.array([part.tobytes()], pa.binary()), pa.array([bias])], names=["part", "bias"])
 
