@@ -14,9 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by a key where their files have fewer splits than there are cores, as a file of one row group does; larger tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 2 * cores else rows.repartition(2 * cores, key)
+
+
 def word_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every document in 10-point Courier: six to a line, fifty lines to a page. A word of over 14 characters is set narrower, in the width of 14."""
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("pos", "w"))
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("pos", "w"))
     page = F.floor(F.col("pos") / 300).cast("int")
     base = page * PAGE_HEIGHT + 36 + F.floor(F.col("pos") / 6) % 50 * 14
     left = (36 + F.col("pos") % 6 * 96).cast("double")
@@ -30,7 +36,7 @@ def advance(text: Column, bbox: Column) -> Column:
 
 
 WORDS_SQL = """w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS ws FROM documents)),
-blocks AS (SELECT doc_id, pos AS block_id, CAST(pos // 300 AS INTEGER) AS page_index, CAST(pos // 6 AS INTEGER) AS line, substr(w, 1, 14) AS text,
+blocks AS (SELECT doc_id, pos AS block_id, CAST(pos // 300 AS INTEGER) AS page_index, CAST(pos // 6 AS INTEGER) AS line, w AS text,
   CAST(792 * (pos // 300) + 36 + (pos // 6) % 50 * 14 AS DOUBLE) - 6.29::DOUBLE AS top, CAST(36 + pos % 6 * 96 AS DOUBLE) AS "left",
   CAST(792 * (pos // 300) + 36 + (pos // 6) % 50 * 14 AS DOUBLE) + 1.57::DOUBLE AS bottom, CAST(36 + pos % 6 * 96 + 6 * length(substr(w, 1, 14)) AS DOUBLE) AS "right" FROM w)"""
 

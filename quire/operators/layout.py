@@ -53,6 +53,10 @@ def canonicalize(rows: DataFrame, pages: DataFrame, bbox: str = "bbox") -> DataF
 
 def _first(rows: DataFrame, text: str, order: str, bbox: str = "bbox") -> DataFrame:
     key = [F.col("doc_id"), F.col("page_index"), F.col(text), *(F.col(bbox)[n] for n in R.SIDES)]
+    if set(rows.columns) == {"doc_id", "page_index", text, bbox, order}:  # a hash aggregate, most of it before the shuffle
+        sides = [c.alias(f"__{n}") for n, c in zip(R.SIDES, key[3:])]
+        first = rows.groupBy(*key[:3], *sides).agg(F.min(order).alias(order))
+        return first.withColumn(bbox, R.rect(*(F.col(f"__{n}") for n in R.SIDES))).select(*rows.columns)
     w = Window.partitionBy(*key).orderBy(order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 

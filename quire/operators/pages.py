@@ -1,8 +1,8 @@
 """Folds over the blocks of a page.
 
 The three order-dependent folds (lines, common heights of lines, merged groups) take
-a page as one row holding an array of its blocks, so Python workers get batches of
-pages and no group is ever larger than a page.
+a page as one row holding an array of its blocks. Python workers get batches of pages'
+coordinates and answer with places; no group is ever larger than a page.
 """
 
 from __future__ import annotations
@@ -10,12 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.functions import rect as R
-
 # A block joins a line that covers this share of its height, unless the line's first block is this much taller (fixed values).
 LINE_SHARE, LINE_TALLER = 0.8, 1.5
 SAME_LINE = 0.5
@@ -28,18 +26,31 @@ def page_rows(blocks: DataFrame, *more: str) -> DataFrame:
     return blocks.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(item)).alias("blocks"))
 
 
-def fold(pages: DataFrame, result: T.DataType, work: Callable[[list[dict]], object], name: str) -> DataFrame:
-    """pages with the column name: work applied to each page's blocks."""
-    schema = T.StructType([*pages.schema.fields, T.StructField(name, result)])
+#: What folds see of a page: for each name a list with an element a block.
+Page = dict[str, list]
+
+
+def geometry(blocks: Column, *more: str) -> Column:
+    """The part of page_rows' blocks that a fold needs; texts and characters stay in the JVM."""
+    return F.transform(blocks, lambda b: F.struct(*(b[n].alias(n) for n in ("left", "top", "right", "bottom", *more))))
+
 
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index("blocks")
-            out = [work(b) for b in batch.column(at).to_pylist()]
-            kind = arrow_type(result)
-            yield pa.record_batch([*batch.columns, pa.array(out, kind)], names=[*batch.schema.names, name])
+def fold(result: T.DataType, work: Callable[[Page], object]) -> Callable[[Column], Column]:
+    """An Arrow UDF: work applied to each page's geometry. Coordinates that are null count as NaN."""
+    kind = arrow_type(result)
 
-    return pages.mapInArrow(run, schema)
+    @F.arrow_udf(result)
+    def run(pages: pa.Array) -> pa.Array:
+        flat = pages.flatten()
+        fields = {f.name: x.to_numpy(zero_copy_only=False).tolist() for f, x in zip(flat.type, flat.flatten())}
+        out, at = [], 0
+        for n in pages.value_lengths().to_pylist():
+            end = at + (n or 0)
+            out.append(work({k: v[at:end] for k, v in fields.items()}))
+            at = end
+        return pa.array(out, kind)
+
+    return run
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
@@ -48,24 +59,28 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def _sides(b: dict) -> tuple[float, float, float, float]:
-    return min(b["left"], b["right"]), min(b["top"], b["bottom"]), max(b["left"], b["right"]), max(b["top"], b["bottom"])
+def _boxes(page: Page) -> list[tuple[float, float, float, float]]:
+    """Normalised (left, top, right, bottom) of each block."""
+    return [(min(a, c), min(b, d), max(a, c), max(b, d)) for a, b, c, d in zip(page["left"], page["top"], page["right"], page["bottom"])]
 
 
-def cluster_lines(blocks: list[dict]) -> list[list[int]]:
+def cluster_lines(page: Page) -> list[list[int]]:
     """Places of the blocks of each line, in reading order.
 
     Blocks come by top, left, right, place. Each joins the line whose first block
     covers the largest share of its height (then the nearest top, then the first), if
     that is at least LINE_SHARE and the first block is not too tall; else it starts one.
     """
-    box = [_sides(b) for b in blocks]
+    box = _boxes(page)
     lines: list[dict] = []
-    for i in sorted(range(len(blocks)), key=lambda i: (box[i][1], box[i][0], box[i][2], i)):
+    near: list[int] = []  # from the top down: other lines end above all blocks to come
+    for i in sorted(range(len(box)), key=lambda i: (box[i][1], box[i][0], box[i][2], i)):
         left, top, _, bottom = box[i]
         tall, best = bottom - top, None
+        near = [k for k in near if lines[k]["bottom"] > top]
         if tall > 0:
-            for k, line in enumerate(lines):
+            for k in near:
+                line = lines[k]
                 share = (min(line["bottom"], bottom) - max(line["top"], top)) / tall
                 if share >= LINE_SHARE and line["bottom"] - line["top"] <= tall * LINE_TALLER:
                     rank = (-share, abs(line["top"] - top), k)
@@ -75,23 +90,23 @@ def cluster_lines(blocks: list[dict]) -> list[list[int]]:
             line["at"].append(i)
             line["left"] = min(line["left"], left)
         else:
+            near.append(len(lines))
             lines.append({"top": top, "bottom": bottom, "left": left, "at": [i]})
-    raw = lambda i: (blocks[i]["left"], blocks[i]["top"], blocks[i]["right"], i)
-    return [sorted(line["at"], key=raw) for line in sorted(lines, key=lambda x: (x["top"], x["left"]))]
+    raw = list(zip(page["left"], page["top"], page["right"], range(len(box))))
+    return [sorted(line["at"], key=raw.__getitem__) for line in sorted(lines, key=lambda x: (x["top"], x["left"]))]
 
 
-def line_heights(blocks: list[dict]) -> list[dict]:
-    """The blocks with the mean top and bottom of their line. Blocks come by top, left, right; a line ends at the first block that neither overlaps its first block by over half nor is so overlapped."""
+def line_heights(page: Page) -> list[dict]:
+    """For each block the mean top and bottom of its line. Blocks come by top, left, right; a line ends at the first block that neither overlaps its first block by over half nor is so overlapped."""
 
     def close(a: tuple, b: tuple) -> bool:
         shared = max(min(a[3], b[3]) - max(a[1], b[1]), 0.0)
         return any(t > 0 and shared / t > SAME_LINE for t in (a[3] - a[1], b[3] - b[1]))
 
-    order = sorted(range(len(blocks)), key=lambda i: (blocks[i]["top"], blocks[i]["left"], blocks[i]["right"]))
-    box = [_sides(b) for b in blocks]
-    out: list[dict] = [dict(b) for b in blocks]
+    box = _boxes(page)
+    out = [{"top": t, "bottom": b} for t, b in zip(page["top"], page["bottom"])]
     lines: list[list[int]] = []
-    for i in order:
+    for _, i in sorted(zip(zip(page["top"], page["left"], page["right"]), range(len(box)))):
         if lines and close(box[lines[-1][0]], box[i]):
             lines[-1].append(i)
         else:
@@ -100,14 +115,15 @@ def line_heights(blocks: list[dict]) -> list[dict]:
         if len(line) > 1:
             top, bottom = (sum(box[i][k] for i in line) / len(line) for k in (1, 3))
             for i in line:
-                out[i]["top"], out[i]["bottom"] = top, bottom
+                out[i] = {"top": top, "bottom": bottom}
     return out
 
 
-def merge_groups(blocks: list[dict], gap: float, rules: tuple[bool, bool]) -> list[int]:
+def merge_groups(page: Page, gap: float, rules: tuple[bool, bool]) -> list[int]:
     """For each block the smallest place of its group: blocks of one line at most gap apart are tied, but a pair that the rules forbid is not tied directly."""
-    box = [_sides(b) for b in blocks]
-    root = list(range(len(blocks)))
+    box = _boxes(page)
+    never = [page[kind] for rule, kind in zip(rules, ("numeric", "date")) if rule]
+    root = list(range(len(box)))
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -117,29 +133,28 @@ def merge_groups(blocks: list[dict], gap: float, rules: tuple[bool, bool]) -> li
 
     near: list[int] = []
     # from the top down: only blocks that reach below this one's top can share its line
-    for i in sorted(range(len(blocks)), key=lambda i: box[i][1]):
-        near = [j for j in near if box[j][3] > box[i][1]]
+    for i in sorted(range(len(box)), key=lambda i: box[i][1]):
+        left, top, right, bottom = box[i]
+        near = [j for j in near if box[j][3] > top]
         for j in near:
-            shared = max(min(box[i][3], box[j][3]) - max(box[i][1], box[j][1]), 0.0)
-            if not any(t > 0 and shared / t > SAME_LINE for t in (box[i][3] - box[i][1], box[j][3] - box[j][1])):
+            left2, top2, right2, bottom2 = box[j]
+            if max(left - right2, left2 - right, 0.0) > gap:
                 continue
-            if max(box[i][0] - box[j][2], box[j][0] - box[i][2], 0.0) > gap:
+            shared = max(min(bottom, bottom2) - max(top, top2), 0.0)
+            if not any(t > 0 and shared / t > SAME_LINE for t in (bottom - top, bottom2 - top2)):
                 continue
-            if any(rule and blocks[i][kind] and blocks[j][kind] for rule, kind in zip(rules, ("numeric", "date"))):
+            if any(kind[i] and kind[j] for kind in never):
                 continue
             a, b = find(i), find(j)
             root[max(a, b)] = min(a, b)
         near.append(i)
-    return [find(i) for i in range(len(blocks))]
+    return [find(i) for i in range(len(box))]
 
 
-def group_lists(blocks: list[dict], gap: float, rules: tuple[bool, bool]) -> list[list[int]]:
+def group_lists(page: Page, gap: float, rules: tuple[bool, bool]) -> list[list[int]]:
     """The places of each merged group, by left, top and place."""
     out: dict[int, list[int]] = {}
-    for i, g in enumerate(merge_groups(blocks, gap, rules)):
+    for i, g in enumerate(merge_groups(page, gap, rules)):
         out.setdefault(g, []).append(i)
-    return [sorted(g, key=lambda i: (blocks[i]["left"], blocks[i]["top"], i)) for g in out.values()]
-
-
-def inline_rect(x) -> object:
-    return R.rect(x["top"], x["left"], x["bottom"], x["right"])
+    raw = list(zip(page["left"], page["top"], range(len(page["left"]))))
+    return [sorted(g, key=raw.__getitem__) for g in out.values()]

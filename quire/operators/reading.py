@@ -8,39 +8,43 @@ from pyspark.sql import types as T
 
 from quire.functions.regex import CLOSE, OPEN
 
-from .pages import cluster_lines, fold, page_rows
+from .pages import Page, cluster_lines, fold, geometry, page_rows
 
-_LINES = T.ArrayType(T.ArrayType(T.IntegerType()))
+_ORDER = T.StructType([T.StructField("lines", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("starts", T.ArrayType(T.IntegerType()))])
+
+
+def _order(page: Page) -> dict:
+    """The places of the blocks of each line, and in that order where each block's text starts: one separator follows each."""
+    lines = cluster_lines(page)
+    starts, at = [], 0
+    for line in lines:
+        for i in line:
+            starts.append(at)
+            at += int(page["size"][i]) + 1
+    return {"lines": lines, "starts": starts}
 
 
 def ordered_pages(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_index, blocks, lines): lines holds the places of blocks, in reading order."""
-    return fold(page_rows(blocks), _LINES, cluster_lines, "lines")
+    """(doc_id, page_index, blocks, lines, starts): lines holds the places of blocks, in reading order, and starts where their texts start in the page's body."""
+    pages = page_rows(blocks.withColumn("size", F.coalesce(F.length("text"), F.lit(0))), "size")
+    order = fold(_ORDER, _order)(geometry(F.col("blocks"), "size"))
+    return pages.withColumn("__order", order).select("doc_id", "page_index", "blocks", F.col("__order.lines").alias("lines"), F.col("__order.starts").alias("starts"))
 
 
 def lines(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_index, line_no, block_ids)."""
-    return ordered_pages(blocks).select(
-        "doc_id", "page_index", "blocks", F.posexplode("lines").alias("line_no", "places")
-    ).select("doc_id", "page_index", "line_no", F.transform("places", lambda i: F.get("blocks", i)["block_id"]).alias("block_ids"))
+    ids = F.transform("lines", lambda line: F.transform(line, lambda i: F.get("blocks", i)["block_id"]))
+    return ordered_pages(blocks).select("doc_id", "page_index", F.posexplode(ids).alias("line_no", "block_ids"))
 
 
 def bodies(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_index, body, spans): blocks joined by spaces, lines by line breaks; spans are the (start, end, block) of each non-empty block, in characters."""
-    clean = blocks.withColumn("text", F.translate("text", OPEN + CLOSE, ""))
-    pages = ordered_pages(clean)
-    in_order = F.transform("lines", lambda line: F.transform(line, lambda i: F.get("blocks", i)))
-    pages = pages.withColumn("__lines", in_order)
+    """(doc_id, page_index, body, spans): blocks joined by spaces, lines by line breaks; spans are the (start, end, block) of each non-empty block, in characters and in order."""
+    clean = blocks.withColumn("text", F.coalesce(F.translate("text", OPEN + CLOSE, ""), F.lit("")))
+    pages = ordered_pages(clean).withColumn("__lines", F.transform("lines", lambda line: F.transform(line, lambda i: F.get("blocks", i))))
     body = F.array_join(F.transform("__lines", lambda line: F.array_join(F.transform(line, lambda b: b["text"]), " ")), "\n")
-    pages = pages.withColumn("body", body).withColumn("__flat", F.flatten("__lines"))
-    size = F.transform("__flat", lambda b: F.length(b["text"]))
-    pages = pages.withColumn("__size", size)
-    # each block is followed by one separator, so starts are running sums
-    start = F.expr("CAST(array() AS array<int>)")
-    starts = F.aggregate("__size", F.struct(F.lit(0).alias("at"), start.alias("all")), lambda a, n: F.struct((a["at"] + n + 1).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
-    pages = pages.withColumn("__start", starts)
-    spans = F.transform("__flat", lambda b, i: F.struct(F.get("__start", i).alias("start"), (F.get("__start", i) + F.get("__size", i)).alias("end"), b.alias("block")))
-    return pages.withColumn("spans", F.filter(spans, lambda s: s["start"] < s["end"])).select("doc_id", "page_index", "body", "spans")
+    at = F.arrays_zip(F.flatten("__lines").alias("block"), F.col("starts").alias("start"))
+    spans = F.transform(at, lambda x: F.struct(x["start"].alias("start"), (x["start"] + x["block"]["size"]).alias("end"), x["block"].alias("block")))
+    return pages.select("doc_id", "page_index", body.alias("body"), F.filter(spans, lambda s: s["start"] < s["end"]).alias("spans"))
 
 
 def text(blocks: DataFrame) -> DataFrame:

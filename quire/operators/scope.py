@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from quire.functions import rect as R
 from quire.functions.tokens import is_date_token, is_numeric_token
 
-from .pages import fold, inline_rect, group_lists, line_heights, page_rows
+from .pages import fold, geometry, group_lists, line_heights, page_rows
 from .search import search
 
 
@@ -30,13 +30,18 @@ def _renumbered(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("block_id", (F.row_number().over(w) - 1).cast("long"))
 
 
+_HEIGHTS = T.ArrayType(T.StructType([T.StructField("top", T.DoubleType()), T.StructField("bottom", T.DoubleType())]))
+
+
 def normalize_lines(blocks: DataFrame) -> DataFrame:
     """Blocks with the mean top and bottom of their line; characters stay as they are."""
-    item = T.StructType([T.StructField("block_id", T.LongType()), T.StructField("text", T.StringType()), *(T.StructField(n, T.DoubleType()) for n in ("left", "top", "right", "bottom"))])
-    done = fold(page_rows(blocks), T.ArrayType(item), line_heights, "__done")
-    even = done.select("doc_id", F.explode("__done").alias("x")).select("doc_id", F.col("x.block_id").alias("block_id"), inline_rect(F.col("x")).alias("bbox"))
-    rest = [c for c in blocks.columns if c != "bbox"]
-    return blocks.select(*rest).join(even, ["doc_id", "block_id"]).select(*blocks.columns)
+    rest = [c for c in blocks.columns if c not in ("doc_id", "page_index", "block_id", "text", "bbox")]
+    pages = page_rows(blocks, *rest)
+    pages = pages.withColumn("__even", fold(_HEIGHTS, line_heights)(geometry(F.col("blocks"))))
+    moved = pages.select("doc_id", "page_index", F.explode(F.arrays_zip("blocks", "__even")).alias("x"))
+    b, even = F.col("x.blocks"), F.col("x.__even")
+    box = R.rect(even["top"], b["left"], even["bottom"], b["right"])
+    return moved.select("doc_id", "page_index", b["block_id"].alias("block_id"), b["text"].alias("text"), box.alias("bbox"), *(b[c].alias(c) for c in rest)).select(*blocks.columns)
 
 
 def merge_blocks(blocks: DataFrame, threshold: float, rules: MergeRules = MergeRules()) -> DataFrame:
@@ -47,10 +52,11 @@ def merge_blocks(blocks: DataFrame, threshold: float, rules: MergeRules = MergeR
     marked = blocks.withColumn("numeric", is_numeric_token(F.col("text"))).withColumn("date", is_date_token(F.col("text")))
     pages = page_rows(marked, "numeric", "date", *(["chars"] if has_chars else []))
     pair = (rules.no_numeric_pair_merge, rules.no_date_pair_merge)
-    # Python sees what decides on groups; texts and characters are put together here
-    slim = pages.withColumn("whole", F.col("blocks")).withColumn("blocks", F.transform("blocks", lambda b: F.struct(*(b[n].alias(n) for n in ("left", "top", "right", "bottom", "numeric", "date")))))
-    groups = fold(slim, T.ArrayType(T.ArrayType(T.IntegerType())), lambda b: group_lists(b, threshold, pair), "__groups")
-    one = groups.select("doc_id", "page_index", "whole", F.explode("__groups").alias("g")).withColumn("x", F.transform("g", lambda i: F.get("whole", i)))
+    places = fold(T.ArrayType(T.ArrayType(T.IntegerType())), lambda page: group_lists(page, threshold, pair))
+    pages = pages.withColumn("__groups", places(geometry(F.col("blocks"), "numeric", "date")))
+    # each group's blocks are put together before groups become rows, so that no row carries a page
+    whole = F.transform("__groups", lambda g: F.transform(g, lambda i: F.get("blocks", i)))
+    one = pages.select("doc_id", "page_index", F.explode(whole).alias("x"))
     side = lambda f, n: f(F.transform("x", lambda b: b[n]))
     box = R.rect(side(F.array_min, "top"), side(F.array_min, "left"), side(F.array_max, "bottom"), side(F.array_max, "right"))
     texts = F.array_join(F.transform("x", lambda b: b["text"]), " ")

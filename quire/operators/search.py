@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.functions import rect as R
 from quire.functions.regex import CLOSE, OPEN, java
@@ -12,7 +15,7 @@ from .reading import bodies
 
 #: The least share of a block that counts, so touching never does (a fixed value).
 LEAST_SHARE = 1e-5
-CELL = 72.0
+CELL, MOST_CELLS = 72.0, 4096
 
 
 def clamped_share(overlap: float) -> float:
@@ -20,8 +23,11 @@ def clamped_share(overlap: float) -> float:
 
 
 def hits(block: Column, query: Column, overlap: float) -> Column:
-    """Whether at least that share of the block's area lies inside the query rectangle."""
-    return R.intersects(block, query) & (R.area(block) > 0) & (R.intersection_area(block, query) >= R.area(block) * clamped_share(overlap))
+    """Whether at least that share of the block's area lies inside the query rectangle; never where a side of the block is not a finite number, or one of the query no number."""
+    known = F.lit(True)
+    for n in R.SIDES:
+        known = known & query[n].isNotNull() & ~F.isnan(query[n])
+    return R.is_finite(block) & known & R.intersects(block, query) & (R.area(block) > 0) & (R.intersection_area(block, query) >= R.area(block) * clamped_share(overlap))
 
 
 def search(blocks: DataFrame, query: R.Rectangle, overlap: float = 0.0) -> DataFrame:
@@ -29,6 +35,11 @@ def search(blocks: DataFrame, query: R.Rectangle, overlap: float = 0.0) -> DataF
     return blocks.where(hits(F.col("bbox"), query.normalized().literal(), overlap))
 
 
+def _n_cells(r: Column, cell: float) -> Column:
+    n = R.normalized(r)
+    return (F.floor(n["right"] / cell) - F.floor(n["left"] / cell) + 1.0) * (F.floor(n["bottom"] / cell) - F.floor(n["top"] / cell) + 1.0)
+
+
 def _cells(r: Column, cell: float) -> Column:
     n = R.normalized(r)
     span = lambda lo, hi: F.sequence(F.floor(n[lo] / cell).cast("long"), F.floor(n[hi] / cell).cast("long"))
@@ -38,39 +49,56 @@ def _cells(r: Column, cell: float) -> Column:
 def search_join(blocks: DataFrame, queries: DataFrame, overlap: float = 0.0, on: tuple[str, ...] = ("doc_id",), cell: float = CELL) -> DataFrame:
     """Every (query, block) that hit: queries has the columns on, query_id and query.
 
-    Both sides go to the grid cells that they cover and meet in an equi-join on
-    (on, cell), which shuffles and splits skew like any other; a pair that shares
-    several cells is kept in one, that of the top left corner of the shared area.
+    Rectangles that cover at most MOST_CELLS grid cells go to these cells and meet in an
+    equi-join on (on, cell), which shuffles and splits skew like any other; a pair that
+    shares several cells is kept in one, that of the top left corner of the shared area.
+    Larger ones, whose pairs are many anyway, meet the other side by the columns on.
     """
-    b = blocks.where(R.area(F.col("bbox")) > 0).withColumn("__cell", F.explode(_cells(F.col("bbox"), cell)))
-    q = queries.withColumn("query", R.normalized(F.col("query"))).withColumn("__cell", F.explode(_cells(F.col("query"), cell)))
-    keys = [*on, "__cell"]
+    b = blocks.where(R.is_finite(F.col("bbox")) & (R.area(F.col("bbox")) > 0)).withColumn("__wide", _n_cells(F.col("bbox"), cell) > MOST_CELLS)
+    q = queries.withColumn("query", R.normalized(F.col("query"))).withColumn("__wide", _n_cells(F.col("query"), cell) > MOST_CELLS)
     block, query = R.normalized(F.col("bbox")), F.col("query")
     owner = F.struct(F.floor(F.greatest(block["left"], query["left"]) / cell).alias("x"), F.floor(F.greatest(block["top"], query["top"]) / cell).alias("y"))
-    return q.join(b, keys).where((F.col("__cell") == owner) & hits(F.col("bbox"), query, overlap)).drop("__cell")
+    narrow_b, narrow_q, wide_q = b.where("NOT __wide").drop("__wide"), q.where("NOT __wide").drop("__wide"), q.where("__wide").drop("__wide")
+    in_cells = lambda rows, rect: rows.withColumn("__cell", F.explode(_cells(rect, cell)))
+    by_cell = in_cells(narrow_q, F.col("query")).join(in_cells(narrow_b, F.col("bbox")), [*on, "__cell"]).where(F.col("__cell") == owner).drop("__cell")
+    keys = list(on)
+    return by_cell.unionByName(wide_q.join(b.drop("__wide"), keys)).unionByName(narrow_q.join(b.where("__wide").drop("__wide"), keys)).where(hits(F.col("bbox"), query, overlap))
 
 
-def _matches(body: Column, pattern: str) -> Column:
-    """The (start, end) of each non-empty match, in characters: matches are bracketed by marks, then lengths summed up."""
-    marked = F.regexp_replace(body, F.lit(f"(?:{java(pattern)})"), F.lit(f"{OPEN}$0{CLOSE}"))
-    parts = F.split(marked, OPEN)
-    none = F.expr("CAST(array() AS array<struct<start: int, end: int>>)")
+_TOUCHED = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())]))
 
-    def step(acc: Column, part: Column) -> Column:
-        size = F.instr(part, CLOSE) - 1
-        found = F.array(F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("end")))
-        after = acc["at"] + F.length(part) - F.when(size >= 0, 1).otherwise(0)
-        return F.struct(after.cast("int").alias("at"), F.when(size > 0, F.concat(acc["all"], found)).otherwise(acc["all"]).alias("all"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("all")), step, lambda a: a["all"])
+@F.arrow_udf(_TOUCHED)
+def _touched(sizes: pa.Array, matched: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """For each non-empty match the spans it touches. By part of a marked body: its length, and that of the match it begins with, -1 for none; by span in order: start and end."""
+    cuts = [np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy())]).astype(int).tolist() for x in (sizes, starts)]
+    size, match, start, end = (x.flatten().to_numpy() for x in (sizes, matched, starts, ends))
+    out = []
+    for i, j, k, m in zip(cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
+        n = match[i:j]
+        used = size[i:j] - (n >= 0)
+        at = np.cumsum(used) - used
+        on = n > 0
+        first = np.searchsorted(end[k:m], at[on], side="right")
+        last = np.searchsorted(start[k:m], at[on] + n[on], side="left")
+        out.append([{"first": a, "n": b} for a, b in zip(first.tolist(), np.maximum(last - first, 0).tolist())])
+    return pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("n", pa.int32())])))
 
 
 def search_regex(blocks: DataFrame, pattern: str) -> DataFrame:
-    """(doc_id, page_index, match_no, block_ids, text, bbox) of each non-empty match in a page's body, without regard to case: the whole blocks touched, joined by spaces, and their union."""
-    pages = bodies(blocks).withColumn("__m", _matches(F.col("body"), pattern)).where(F.size("__m") > 0)
-    found = pages.select("doc_id", "page_index", "spans", F.posexplode("__m").alias("match_no", "m"))
-    touched = F.transform(F.filter("spans", lambda s: (s["end"] > F.col("m")["start"]) & (s["start"] < F.col("m")["end"])), lambda s: s["block"])
-    found = found.withColumn("__b", touched).where(F.size("__b") > 0)
+    """(doc_id, page_index, match_no, block_ids, text, bbox) of each non-empty match in a page's body, without regard to case: the whole blocks touched, joined by spaces, and their union.
+
+    Java brackets each match with marks; an Arrow UDF gets lengths only, and finds by
+    binary search which blocks lie under a match.
+    """
+    marked = F.regexp_replace("body", F.lit(f"(?:{java(pattern)})"), F.lit(f"{OPEN}$0{CLOSE}"))
+    pages = bodies(blocks).withColumn("__parts", F.split(marked, OPEN)).where(F.size("__parts") > 1)
+    sizes = F.transform("__parts", lambda p: F.length(p))
+    matched = F.transform("__parts", lambda p: (F.instr(p, CLOSE) - 1).cast("int"))
+    side = lambda n: F.transform("spans", lambda s: s[n])
+    pages = pages.withColumn("__at", _touched(sizes, matched, side("start"), side("end")))
+    under = F.transform("__at", lambda a: F.transform(F.slice("spans", a["first"] + 1, a["n"]), lambda s: s["block"]))
+    found = pages.select("doc_id", "page_index", F.posexplode(under).alias("match_no", "__b")).where(F.size("__b") > 0)
     side = lambda f, n: f(F.transform("__b", lambda b: b[n]))
     box = R.rect(side(F.array_min, "top"), side(F.array_min, "left"), side(F.array_max, "bottom"), side(F.array_max, "right"))
     return found.select("doc_id", "page_index", "match_no", F.transform("__b", lambda b: b["block_id"]).alias("block_ids"), F.array_join(F.transform("__b", lambda b: b["text"]), " ").alias("text"), box.alias("bbox"))

@@ -1,7 +1,8 @@
 """Characters to word-level blocks: a gaps-and-islands plan.
 
-Whether a character starts a block depends on the character before it alone, so the
-rule is a lag, a running sum and one ordered aggregation, without Python.
+Whether a character starts a block depends on the character before it on its page
+alone, so a page's breaks and blocks are array expressions over one row a page, without
+Python; only finished blocks are numbered by document, and no glyph is a row.
 """
 
 from __future__ import annotations
@@ -23,44 +24,50 @@ def is_noise(text: Column) -> Column:
     return text.rlike(r"^[_-]{3,}$") & ~text.contains("\n")
 
 
-def _breaks(order: Window) -> Column:
-    c = F.col("bbox")
-    low, high = F.least(c["top"], c["bottom"]), F.greatest(c["top"], c["bottom"])
-    left, right = F.least(c["left"], c["right"]), F.greatest(c["left"], c["right"])
-
-    def before(x) -> Column:
-        return F.lag(x).over(order)
-
-    tall, was = high - low, before(high - low)
-    gap = left - before(right)
-    lower = F.col("ch").rlike(r"^\p{Ll}")
-    upper = F.col("ch").rlike(r"^\p{Lu}")
-    size, was_size = F.col("font_size"), before("font_size")
+def _breaks(before: Column, c: Column) -> Column:
+    """Whether a block ends between two characters of a page that have no other ink between them."""
+    b, d = c["bbox"], before["bbox"]
+    low, high, left = F.least(b["top"], b["bottom"]), F.greatest(b["top"], b["bottom"]), F.least(b["left"], b["right"])
+    was_low, was = F.least(d["top"], d["bottom"]), F.abs(d["bottom"] - d["top"])
+    tall, gap = high - low, left - F.greatest(d["left"], d["right"])
+    size, was_size = c["font_size"], before["font_size"]
     return (
-        before("ch").isNull()
-        | (F.col("__spaces") != before("__spaces"))
-        | (F.col("page_index") != before("page_index"))
+        (c["at"] - before["at"] > 1)  # white space
         | ((was > 0) & ((tall / was > TALLER) | (tall / was < SHORTER)))
-        | (F.abs(low - before(low)) > RISE * was)
+        | (F.abs(low - was_low) > RISE * was)
         | (gap > F.greatest(was * GAP, F.lit(LEAST_GAP)))
         | (gap < -BACK * was)
-        | ((gap > LEAST_GAP) & before(lower) & upper)
+        | ((gap > LEAST_GAP) & before["ch"].rlike(r"^\p{Ll}") & c["ch"].rlike(r"^\p{Lu}"))
         | (F.abs(size - was_size) > FONT_CHANGE * was_size)
     )
 
 
+def segment_pages(pages: DataFrame, keep_chars: bool = True) -> DataFrame:
+    """(doc_id, block_id, page_index, text, bbox[, chars]) from one row a page with its glyphs (ch, bbox, font_size) in painting order."""
+    ink = F.transform("glyphs", lambda g, i: F.struct(g["ch"].alias("ch"), g["bbox"].alias("bbox"), g["font_size"].alias("font_size"), i.alias("at")))
+    ink = F.filter(ink, lambda g: ~g["ch"].rlike(r"^\p{IsWhite_Space}+$"))
+    pages = pages.select("doc_id", "page_index", ink.alias("__ink")).where(F.size("__ink") > 0)
+    place = F.sequence(F.lit(0), F.size("__ink") - 1)
+    first = F.filter(place, lambda i: F.when(i == 0, True).otherwise(F.coalesce(_breaks(F.get("__ink", i - 1), F.get("__ink", i)), F.lit(False))))
+    pages = pages.withColumn("__first", first)
+    items = F.transform("__first", lambda i, k: F.slice("__ink", i + 1, F.coalesce(F.get("__first", k + 1), F.size("__ink")) - i))
+    side = lambda x, f, n: f(F.transform(x, lambda g: g["bbox"][n]))
+
+    def block(x: Column) -> Column:
+        box = R.rect(side(x, F.array_min, "top"), side(x, F.array_min, "left"), side(x, F.array_max, "bottom"), side(x, F.array_max, "right"))
+        chars = [F.transform(x, lambda g: F.struct(g["ch"].alias("ch"), g["bbox"].alias("bbox"))).alias("chars")] if keep_chars else []
+        return F.struct(F.array_join(F.transform(x, lambda g: g["ch"]), "").alias("text"), box.alias("bbox"), *chars)
+
+    done = pages.withColumn("__items", items).select("doc_id", "page_index", F.transform("__items", block).alias("__blocks"))
+    before = Window.partitionBy("doc_id").orderBy("page_index").rowsBetween(Window.unboundedPreceding, -1)
+    done = done.withColumn("__from", F.coalesce(F.sum(F.size("__blocks")).over(before), F.lit(0)))
+    out = done.select("doc_id", "page_index", "__from", F.posexplode("__blocks").alias("__n", "b"))
+    kept = ["b.text", "b.bbox", *(["b.chars"] if keep_chars else [])]
+    return out.select("doc_id", (F.col("__from") + F.col("__n")).cast("long").alias("block_id"), "page_index", *kept).where(~is_noise(F.col("text")))
+
+
 def segment(glyphs: DataFrame, keep_chars: bool = True) -> DataFrame:
     """(doc_id, block_id, page_index, text, bbox[, chars]) in page space, from glyphs in painting order (seq)."""
-    by_seq = Window.partitionBy("doc_id").orderBy("seq")
-    space = F.col("ch").rlike(r"^\p{IsWhite_Space}+$")
     size = F.col("font_size") if "font_size" in glyphs.columns else F.lit(None).cast("double")
-    marked = glyphs.withColumn("font_size", size).withColumn("__space", space)
-    marked = marked.withColumn("__spaces", F.sum(F.col("__space").cast("int")).over(by_seq)).where(~F.col("__space"))
-    cut = marked.withColumn("__break", F.coalesce(_breaks(by_seq), F.lit(False)))
-    numbered = cut.withColumn("block_id", F.sum(F.col("__break").cast("long")).over(by_seq) - 1)
-    item = F.struct("seq", "ch", "bbox")
-    out = numbered.groupBy("doc_id", "block_id").agg(F.min("page_index").alias("page_index"), F.sort_array(F.collect_list(item)).alias("__items"), R.union_agg().alias("bbox"))
-    out = out.withColumn("text", F.array_join(F.transform("__items", lambda x: x["ch"]), ""))
-    if keep_chars:
-        out = out.withColumn("chars", F.transform("__items", lambda x: F.struct(x["ch"].alias("ch"), x["bbox"].alias("bbox"))))
-    return out.where(~is_noise(F.col("text"))).select("doc_id", "block_id", "page_index", "text", "bbox", *(["chars"] if keep_chars else []))
+    item = F.struct("seq", "ch", "bbox", size.alias("font_size"))
+    return segment_pages(glyphs.groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(item)).alias("glyphs")), keep_chars)

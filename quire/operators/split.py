@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import rect as R
-from quire.functions.regex import java
+from quire.functions.regex import java, offsets
 from quire.schemas import CHAR, RECT
 
 from .pages import arrow_type
@@ -27,7 +26,7 @@ def _union(chars: list[dict]) -> dict:
     return {"top": min(b["top"] for b in boxes), "left": min(b["left"] for b in boxes), "bottom": max(b["bottom"] for b in boxes), "right": max(b["right"] for b in boxes)}
 
 
-def split_parts(text: str, chars: list[dict], pattern: re.Pattern) -> list[dict] | None:
+def split_parts(text: str, chars: list[dict], pattern: regex.Pattern) -> list[dict] | None:
     """The up to three parts of a block at the first non-empty match (its first group, if that took part), or None to leave it.
 
     Spaces in the text that stand for no character take none; other characters of the
@@ -57,7 +56,7 @@ def split(blocks: DataFrame, pattern: str, boundaries: R.Rectangle | None = None
     java(pattern)  # the same dialect as in searches
     if "chars" not in blocks.columns:
         raise SplitError("splitting needs blocks with chars")
-    compiled = re.compile(pattern, re.IGNORECASE)
+    compiled = offsets(pattern)
 
     @F.arrow_udf(T.ArrayType(_PART))
     def parts(texts: pa.Array, chars: pa.Array) -> pa.Array:

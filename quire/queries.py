@@ -181,8 +181,8 @@ def _painted(s, d) -> DataFrame:
 
 
 _DEDUPE_SQL = f"WITH {WORDS_SQL} SELECT doc_id, page_index, substr(text, 1, 1) AS ch, min(block_id) AS seq, CAST(block_id % 40 AS DOUBLE) AS \"left\" FROM blocks GROUP BY doc_id, page_index, substr(text, 1, 1), block_id % 40"
-_add("dedupe_chars", lambda s, d: layout.dedupe_chars(_painted(s, d)).select("doc_id", "page_index", "ch", "seq", F.col("bbox")["left"].alias("left")), _DEDUPE_SQL)
-_add("dedupe_blocks", lambda s, d: layout.dedupe_blocks(_painted(s, d)).select("doc_id", "page_index", F.col("text").alias("ch"), F.col("block_id").alias("seq"), F.col("bbox")["left"].alias("left")), _DEDUPE_SQL)
+_add("dedupe_chars", lambda s, d: layout.dedupe_chars(_painted(s, d).drop("block_id", "text")).select("doc_id", "page_index", "ch", "seq", F.col("bbox")["left"].alias("left")), _DEDUPE_SQL)
+_add("dedupe_blocks", lambda s, d: layout.dedupe_blocks(_painted(s, d).drop("seq", "ch")).select("doc_id", "page_index", F.col("text").alias("ch"), F.col("block_id").alias("seq"), F.col("bbox")["left"].alias("left")), _DEDUPE_SQL)
 
 
 def word_glyphs(s, d) -> DataFrame:
@@ -304,8 +304,8 @@ def _with_chars(s, d) -> DataFrame:
 
 _SPLIT_SQL = f"""WITH {WORDS_SQL}, m AS (SELECT *, CASE WHEN {{0}} THEN regexp_extract(text, '(?i)(th|en)') ELSE '' END AS m FROM blocks),
 p AS (SELECT *, CASE WHEN m = '' THEN 0 ELSE strpos(text, m) END AS ay FROM m),
-x AS (SELECT doc_id, block_id, page_index, "left", unnest(CASE WHEN ay = 0 THEN [{{{{'t': text, 'o': 0}}}}] ELSE [{{{{'t': substr(text, 1, ay - 1), 'o': 0}}}}, {{{{'t': m, 'o': ay - 1}}}}, {{{{'t': substr(text, ay + 2), 'o': ay + 1}}}}] END) AS s FROM p)
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_id, s.o) - 1 AS BIGINT) AS block_id, page_index, s.t AS text, "left" + 6.0::DOUBLE * s.o AS "left" FROM x WHERE s.t <> ''""".replace("{{{{", "{{").replace("}}}}", "}}")
+x AS (SELECT doc_id, block_id, page_index, "left", ("right" - "left") / length(text) AS wide, unnest(CASE WHEN ay = 0 THEN [{{{{'t': text, 'o': 0}}}}] ELSE [{{{{'t': substr(text, 1, ay - 1), 'o': 0}}}}, {{{{'t': m, 'o': ay - 1}}}}, {{{{'t': substr(text, ay + 2), 'o': ay + 1}}}}] END) AS s FROM p)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_id, s.o) - 1 AS BIGINT) AS block_id, page_index, s.t AS text, "left" + s.o * wide AS "left" FROM x WHERE s.t <> ''""".replace("{{{{", "{{").replace("}}}}", "}}")
 _parts = ("doc_id", "block_id", "page_index", "text", "bbox.left")
 _add("split_label", lambda s, d: split.split(_with_chars(s, d), "(th|en)").select(*_parts), _SPLIT_SQL.format("true"))
 _add("split_boundary", lambda s, d: split.split(_with_chars(s, d), "(th|en)", _SCOPE).select(*_parts), _SPLIT_SQL.format('top >= 200 AND bottom <= 420 AND "left" >= 0 AND "right" <= 612'))

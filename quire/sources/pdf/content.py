@@ -88,7 +88,7 @@ class Interpreter:
     def run(self, data: bytes, resources, ctm: list[float] | None = None, clip=None) -> None:
         """One content stream of the page, with its own record of painted fills."""
         self.fills: list[tuple] = []
-        self._run(data, resources, ctm or IDENTITY, State(), clip, [], 0)
+        self._run(data, resources, ctm or IDENTITY, State(), clip, [], 0, IDENTITY, IDENTITY)
 
     def _resource(self, resources, kind: str, name):
         r = self.doc.deep(resources)
@@ -103,10 +103,10 @@ class Interpreter:
             self.fonts[id(d)] = Font(self.doc, d)
         return self.fonts[id(d)]
 
-    def _run(self, data: bytes, resources, ctm, st: State, clip, marks: list[str], depth: int) -> None:
+    def _run(self, data: bytes, resources, ctm, st: State, clip, marks: list[str], depth: int, tm, line) -> None:
+        """One stream; the text matrices tm and line are part of the graphics state that q saves and forms inherit."""
         lexer, ops, saved = Lexer(data), [], []
         st = replace(st)
-        tm = line = list(IDENTITY)
         box, points = None, []
         marks = list(marks)
 
@@ -121,9 +121,9 @@ class Interpreter:
             n = len(ops)
             match bytes(t):
                 case b"q":
-                    saved.append((ctm, replace(st), clip))
+                    saved.append((ctm, replace(st), clip, tm, line))
                 case b"Q" if saved:
-                    ctm, st, clip = saved.pop()
+                    ctm, st, clip, tm, line = saved.pop()
                 case b"cm" if n == 6:
                     ctm = compose(ctm, [num(i) for i in range(6)])
                 case b"m" if n == 2:
@@ -157,7 +157,7 @@ class Interpreter:
                     if isinstance(x, Stream) and self.doc.deep(x.dict.get("Subtype")) == "Form" and depth < MOST_FORMS:
                         own = self.doc.numbers(x.dict.get("Matrix"), 6) or IDENTITY
                         if (form := self.doc.decode(x)) is not None:
-                            self._run(form, x.dict.get("Resources", resources), compose(ctm, own), st, clip, marks, depth + 1)
+                            self._run(form, x.dict.get("Resources", resources), compose(ctm, own), st, clip, marks, depth + 1, tm, line)
                 case b"BT":
                     tm = line = list(IDENTITY)
                 case b"Tf" if n >= 2:

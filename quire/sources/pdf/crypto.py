@@ -151,8 +151,11 @@ class Security:
         name = d.get(which, "Identity")
         if name == "Identity":
             return "None"
-        way = (d.get("CF") or {}).get(name, {})
-        way = way.get("CFM", "None") if isinstance(way, dict) else "None"
+        filters = d.get("CF")
+        way = filters.get(name) if isinstance(filters, dict) else None
+        if not isinstance(way, dict):
+            raise MalformedEncryption(f"no crypt filter {name}")
+        way = way.get("CFM", "None")
         if way not in ("None", "V2", "AESV2"):
             raise UnsupportedEncryption(f"crypt filter {way}")
         return str(way)

@@ -8,6 +8,7 @@ error, which becomes a row of errors instead of failing the job.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def check_concurrency(mode: str) -> str:
     """Spark decides on parallelism; the argument is only validated."""
     plain = mode.strip().lower()
     if plain not in CONCURRENCY:
-        raise ValueError("concurrency must be one of: " + ", ".join(CONCURRENCY))
+        raise ValueError(f"unknown concurrency {mode!r}: {' | '.join(CONCURRENCY)}")
     return plain
 
 
@@ -52,25 +53,30 @@ def parse_pdfs(documents: DataFrame, password: str | bytes | None = None) -> Dat
     source = documents.select("doc_id", F.col("content").cast("binary").alias("content"), *([F.col("password").cast("binary").alias("password")] if own else []))
     arrow = {f.name: arrow_type(f.dataType) for f in schema.fields}
 
-    def rows(doc_id, content, secret):
-        base = dict.fromkeys(arrow) | {"doc_id": doc_id}
+    def one(doc_id: pa.Array, content, secret) -> pa.RecordBatch:
+        """The rows of one document."""
         try:
             pages, glyphs = extract(content or b"", secret)
         except (PasswordError, MalformedEncryption, UnsupportedEncryption) as e:
-            return [base | {"kind": type(e).__name__, "message": str(e)}]
-        by_page: dict[int, list] = {p[0]: [] for p in pages}
-        for index, seq, ch, left, low, right, high, size, rgb, name in glyphs:
-            colour = dict(zip("rgb", rgb)) if rgb else None
-            by_page[index].append({"seq": seq, "ch": ch, "left": left, "top": low, "right": right, "bottom": high, "font_size": size, "fill_rgb": colour, "font_name": name})
-        return [base | dict(zip(("page_index", "x_min", "y_min", "width", "height", "rotation"), p)) | {"glyphs": by_page[p[0]]} for p in pages]
+            error = {"doc_id": doc_id, "kind": pa.array([type(e).__name__]), "message": pa.array([str(e)])}
+            return pa.record_batch([error.get(n, pa.nulls(1, k)) for n, k in arrow.items()], names=list(arrow))
+        made = dict(zip((f.name for f in _PAGE), zip(*pages))) if pages else {}
+        # glyphs come page by page
+        index, *fields = zip(*glyphs) if glyphs else [()] * 10
+        cut = pa.array(np.searchsorted(np.array(index, np.int64), [*made.get("page_index", ()), len(pages)]), pa.int32())
+        rgb = fields.pop(7)
+        kinds = {f.name: f.type for f in arrow["glyphs"].value_type}
+        colour = pa.StructArray.from_arrays([pa.array([c and c[i] for c in rgb], pa.float64()) for i in range(3)], names=list("rgb"), mask=pa.array([c is None for c in rgb], pa.bool_()))
+        arrays = {n: pa.array(v, kinds[n]) for n, v in zip((n for n in kinds if n != "fill_rgb"), fields)} | {"fill_rgb": colour}
+        cols = {"doc_id": pa.concat_arrays([doc_id] * len(pages)) if pages else doc_id[:0], "glyphs": pa.ListArray.from_arrays(cut, pa.StructArray.from_arrays([arrays[n] for n in kinds], names=list(kinds)))}
+        cols |= {n: pa.array(v, arrow[n]) for n, v in made.items()}
+        return pa.record_batch([cols[n].cast(k) if n in cols else pa.nulls(len(pages), k) for n, k in arrow.items()], names=list(arrow))
 
     def run(batches):
         for batch in batches:
             secrets = batch.column(2).to_pylist() if own else [None] * batch.num_rows
             for i in range(batch.num_rows):  # a batch a document: its size is that of one document's characters
-                out = rows(batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), secrets[i] if secrets[i] is not None else password)
-                if out:
-                    yield pa.record_batch([pa.array([r[n] for r in out], k) for n, k in arrow.items()], names=list(arrow))
+                yield one(batch.column(0).slice(i, 1), batch.column(1)[i].as_py(), secrets[i] if secrets[i] is not None else password)
 
     return source.mapInArrow(run, schema)
 
@@ -97,7 +103,8 @@ def chars_of(parsed: DataFrame, style: bool = False) -> DataFrame:
 
 def blocks_of(parsed: DataFrame, keep_chars: bool = True) -> DataFrame:
     """Word-level blocks on the tall page, each painted once."""
-    raw = segment.segment(glyphs_of(parsed), keep_chars)
+    item = lambda g: F.struct(g["ch"].alias("ch"), R.rect(*(g[n] for n in R.SIDES)).alias("bbox"), g["font_size"].alias("font_size"))
+    raw = segment.segment_pages(parsed.where("glyphs IS NOT NULL").select("doc_id", "page_index", F.transform("glyphs", item).alias("glyphs")), keep_chars)
     pages = pages_of(parsed)
     placed = layout.canonicalize(raw, pages)
     if keep_chars:

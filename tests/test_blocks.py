@@ -28,15 +28,15 @@ def page_body(spark, rows):
 
 
 def test_lines_keep_big_text_apart(spark):
-    rows = [(0, "Gamma", 27, 80, 33.5, 110), (0, "Alpha", 27, 0, 33.5, 30), (0, "Beta", 27, 40, 34, 70), (0, "BIG", 5, 0, 25, 40), (0, "2028", 5, 50, 25, 90), (0, "Delta", 40, 0, 46.5, 30)]
-    assert page_body(spark, rows)[0].body == "BIG 2028\nAlpha Beta Gamma\nDelta"
+    rows = [(0, "pears", 48, 130, 56, 170), (0, "some", 48, 10, 56, 40), (0, "green", 48, 60, 57, 100), (0, "STOCK", 8, 10, 40, 90), (0, "LIST", 8, 110, 40, 180), (0, "sold", 70, 10, 78, 45)]
+    assert page_body(spark, rows)[0].body == "STOCK LIST\nsome green pears\nsold"
 
 
 def test_near_rows_and_short_blocks():
-    box = lambda t, left, h: {"top": t, "left": left, "bottom": t + h, "right": left + 5}
-    assert cluster_lines([box(10, 0, 10), box(14, 0, 10), box(10, 10, 10), box(14, 10, 10)]) == [[0, 2], [1, 3]]
-    assert len(cluster_lines([box(10, 0, 2), box(10, 10, 10)])) == 2
-    assert cluster_lines([box(1, 0, 0), box(1, 5, 0)]) == [[0], [1]]
+    page = lambda *boxes: {"top": [t for t, _, _ in boxes], "left": [x for _, x, _ in boxes], "bottom": [t + h for t, _, h in boxes], "right": [x + 5 for _, x, _ in boxes]}
+    assert cluster_lines(page((10, 0, 10), (14, 0, 10), (10, 10, 10), (14, 10, 10))) == [[0, 2], [1, 3]]
+    assert len(cluster_lines(page((10, 0, 2), (10, 10, 10)))) == 2
+    assert cluster_lines(page((1, 0, 0), (1, 5, 0))) == [[0], [1]]
 
 
 def test_regex_pages_and_case(spark):
@@ -83,17 +83,17 @@ def merged(spark, rows, threshold=1.0, **rules):
 
 
 def test_merge_rules(spark):
-    two = [(0, "-1624.57", 0, 0, 10, 20), (0, "234.52", 0, 20.5, 10, 40)]
-    assert merged(spark, two) == ["-1624.57 234.52"]
-    assert merged(spark, two, no_numeric_pair_merge=True) == ["-1624.57", "234.52"]
-    dates = [(0, "01/31/24", 0, 0, 10, 20), (0, "02/01/24", 0, 20.2, 10, 40)]
+    two = [(0, "-7.25", 3, 2, 12, 31), (0, "8,001", 3, 31.8, 12, 55)]
+    assert merged(spark, two) == ["-7.25 8,001"]
+    assert merged(spark, two, no_numeric_pair_merge=True) == ["-7.25", "8,001"]
+    dates = [(0, "11/30/19", 3, 2, 12, 31), (0, "12/24/19", 3, 31.4, 12, 60)]
     assert len(merged(spark, dates, no_date_pair_merge=True)) == 2
-    assert merged(spark, [(0, "$", 0, 0, 10, 5), (0, "234.52", 0, 5.5, 10, 30)], no_numeric_pair_merge=True) == ["$ 234.52"]
-    chain = [(0, "100", 0, 0, 10, 20), (0, "USD", 0, 20.5, 10, 40), (0, "200", 0, 40.5, 10, 60)]
-    assert merged(spark, chain, no_numeric_pair_merge=True) == ["100 USD 200"]
+    assert merged(spark, [(0, "#", 3, 2, 12, 6), (0, "77.5", 3, 6.9, 12, 25)], no_numeric_pair_merge=True) == ["# 77.5"]
+    chain = [(0, "12", 3, 2, 12, 14), (0, "crates", 3, 14.6, 12, 40), (0, "95", 3, 40.9, 12, 52)]
+    assert merged(spark, chain, no_numeric_pair_merge=True) == ["12 crates 95"]
     assert merged(spark, [(0, "a", 0, 0, 10, 5), (1, "b", 0, 5, 10, 9)]) == ["a", "b"]
     assert merged(spark, [(0, "a", 0, 0, 10, 5), (0, "b", 20, 5, 30, 9)]) == ["a", "b"]
-    assert merged(spark, two, threshold=0.0) == ["-1624.57", "234.52"]
+    assert merged(spark, two, threshold=0.0) == ["-7.25", "8,001"]
 
 
 def test_normalize_uses_first_block_as_anchor(spark):

@@ -42,14 +42,14 @@ def test_corner_names():
 
 
 def test_expand_single_axis_and_errors():
-    base, bounds = R.Rectangle(10, 10, 20, 20), R.Rectangle(0, 0, 100, 100)
-    assert expand.expand_rectangle(base, [R.Rectangle(0, 24, 100, 80)], ["right"], bounds) == R.Rectangle(10, 10, 20, 24)
+    base, bounds = R.Rectangle(31, 12, 44, 25), R.Rectangle(0, 0, 90, 120)
+    assert expand.expand_rectangle(base, [R.Rectangle(40, 61, 48, 70), R.Rectangle(2, 50, 9, 55)], ["right"], bounds) == R.Rectangle(31, 12, 44, 61)
     with pytest.raises(expand.ExpandError):
         expand.expand_rectangle(base, [], [], bounds)
     with pytest.raises(ValueError):
         expand.expand_rectangle(base, [], ["sideways"], bounds)
     with pytest.raises(expand.ExpandError):
-        expand.expand_rectangle(base, [], ["up"], R.Rectangle(12, 0, 100, 100))
+        expand.expand_rectangle(base, [], ["up"], R.Rectangle(33, 0, 100, 100))
 
 
 def test_expand_never_meets_blockers_it_faces():
