@@ -15,7 +15,7 @@ from .reading import bodies
 
 #: The least share of a block that counts, so touching never does (a fixed value).
 LEAST_SHARE = 1e-5
-CELL, MOST_CELLS = 72.0, 4096
+CELL, MOST_CELLS, FARTHEST = 72.0, 4096, 1e15
 
 
 def clamped_share(overlap: float) -> float:
@@ -35,34 +35,49 @@ def search(blocks: DataFrame, query: R.Rectangle, overlap: float = 0.0) -> DataF
     return blocks.where(hits(F.col("bbox"), query.normalized().literal(), overlap))
 
 
-def _n_cells(r: Column, cell: float) -> Column:
+def _wide(r: Column, cell: float) -> Column:
+    """Whether a rectangle covers too many cells, or some that are too far off to number."""
     n = R.normalized(r)
-    return (F.floor(n["right"] / cell) - F.floor(n["left"] / cell) + 1.0) * (F.floor(n["bottom"] / cell) - F.floor(n["top"] / cell) + 1.0)
+    out = ((n["right"] - n["left"]) / cell + 2) * ((n["bottom"] - n["top"]) / cell + 2) > MOST_CELLS
+    for name in R.SIDES:
+        out = out | ~(F.abs(n[name]) < FARTHEST)
+    return out
+
+
+def _cell(x: Column, y: Column, meeting: int = 0) -> Column:
+    return F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(meeting).alias("meeting"))
+
+
+def _meeting(which: int) -> Column:
+    """A cell off the grid: 1 for wide queries and all blocks, 2 for wide blocks and narrow queries."""
+    return _cell(F.lit(0), F.lit(0), which)
 
 
 def _cells(r: Column, cell: float) -> Column:
     n = R.normalized(r)
     span = lambda lo, hi: F.sequence(F.floor(n[lo] / cell).cast("long"), F.floor(n[hi] / cell).cast("long"))
-    return F.flatten(F.transform(span("left", "right"), lambda x: F.transform(span("top", "bottom"), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return F.flatten(F.transform(span("left", "right"), lambda x: F.transform(span("top", "bottom"), lambda y: _cell(x, y))))
 
 
 def search_join(blocks: DataFrame, queries: DataFrame, overlap: float = 0.0, on: tuple[str, ...] = ("doc_id",), cell: float = CELL) -> DataFrame:
     """Every (query, block) that hit: queries has the columns on, query_id and query.
 
-    Rectangles that cover at most MOST_CELLS grid cells go to these cells and meet in an
-    equi-join on (on, cell), which shuffles and splits skew like any other; a pair that
-    shares several cells is kept in one, that of the top left corner of the shared area.
-    Larger ones, whose pairs are many anyway, meet the other side by the columns on.
+    Rectangles that cover at most MOST_CELLS grid cells go to these cells, and both sides
+    meet in an equi-join on (on, cell), which shuffles and splits skew like any other; a
+    pair that shares several cells is kept in one, that of the top left corner of the
+    shared area. A wider query, whose pairs are many anyway, goes to one cell in which
+    every block of the same keys is, and a wider block to one with every narrow query.
     """
-    b = blocks.where(R.is_finite(F.col("bbox")) & (R.area(F.col("bbox")) > 0)).withColumn("__wide", _n_cells(F.col("bbox"), cell) > MOST_CELLS)
-    q = queries.withColumn("query", R.normalized(F.col("query"))).withColumn("__wide", _n_cells(F.col("query"), cell) > MOST_CELLS)
     block, query = R.normalized(F.col("bbox")), F.col("query")
-    owner = F.struct(F.floor(F.greatest(block["left"], query["left"]) / cell).alias("x"), F.floor(F.greatest(block["top"], query["top"]) / cell).alias("y"))
-    narrow_b, narrow_q, wide_q = b.where("NOT __wide").drop("__wide"), q.where("NOT __wide").drop("__wide"), q.where("__wide").drop("__wide")
-    in_cells = lambda rows, rect: rows.withColumn("__cell", F.explode(_cells(rect, cell)))
-    by_cell = in_cells(narrow_q, F.col("query")).join(in_cells(narrow_b, F.col("bbox")), [*on, "__cell"]).where(F.col("__cell") == owner).drop("__cell")
-    keys = list(on)
-    return by_cell.unionByName(wide_q.join(b.drop("__wide"), keys)).unionByName(narrow_q.join(b.where("__wide").drop("__wide"), keys)).where(hits(F.col("bbox"), query, overlap))
+    b = blocks.where(R.is_finite(F.col("bbox")) & (R.area(F.col("bbox")) > 0))
+    wide = _wide(F.col("bbox"), cell)
+    b = b.withColumn("__cell", F.explode(F.when(wide, F.array(_meeting(1), _meeting(2))).otherwise(F.concat(_cells(F.col("bbox"), cell), F.array(_meeting(1))))))
+    q = queries.withColumn("query", R.normalized(F.col("query")))
+    wide = _wide(F.col("query"), cell)
+    q = q.withColumn("__cell", F.explode(F.when(wide, F.array(_meeting(1))).otherwise(F.concat(_cells(F.col("query"), cell), F.array(_meeting(2))))))
+    owner = _cell(F.floor(F.greatest(block["left"], query["left"]) / cell), F.floor(F.greatest(block["top"], query["top"]) / cell))
+    own = F.when(F.col("__cell")["meeting"] > 0, True).otherwise(F.col("__cell") == owner)
+    return q.join(b, [*on, "__cell"]).where(own & hits(F.col("bbox"), query, overlap)).drop("__cell")
 
 
 _TOUCHED = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())]))

@@ -17,6 +17,8 @@ TALLER, SHORTER = 1.35, 0.75
 RISE = 0.5
 GAP, LEAST_GAP, BACK = 0.10, 0.5, 2.0
 FONT_CHANGE = 0.05
+#: The 25 white-space characters of Unicode (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def is_noise(text: Column) -> Column:
@@ -24,32 +26,42 @@ def is_noise(text: Column) -> Column:
     return text.rlike(r"^[_-]{3,}$") & ~text.contains("\n")
 
 
-def _breaks(before: Column, c: Column) -> Column:
-    """Whether a block ends between two characters of a page that have no other ink between them."""
-    b, d = c["bbox"], before["bbox"]
-    low, high, left = F.least(b["top"], b["bottom"]), F.greatest(b["top"], b["bottom"]), F.least(b["left"], b["right"])
-    was_low, was = F.least(d["top"], d["bottom"]), F.abs(d["bottom"] - d["top"])
-    tall, gap = high - low, left - F.greatest(d["left"], d["right"])
-    size, was_size = c["font_size"], before["font_size"]
+def _breaks(d: Column, c: Column) -> Column:
+    """Whether a block ends between two characters (of _ink) of a page that have no other ink between them."""
+    gap = c["left"] - d["right"]
     return (
-        (c["at"] - before["at"] > 1)  # white space
-        | ((was > 0) & ((tall / was > TALLER) | (tall / was < SHORTER)))
-        | (F.abs(low - was_low) > RISE * was)
-        | (gap > F.greatest(was * GAP, F.lit(LEAST_GAP)))
-        | (gap < -BACK * was)
-        | ((gap > LEAST_GAP) & before["ch"].rlike(r"^\p{Ll}") & c["ch"].rlike(r"^\p{Lu}"))
-        | (F.abs(size - was_size) > FONT_CHANGE * was_size)
+        (c["at"] - d["at"] > 1)  # white space
+        | (gap > F.greatest(d["tall"] * GAP, F.lit(LEAST_GAP)))
+        | (gap < -BACK * d["tall"])
+        | (F.abs(c["low"] - d["low"]) > RISE * d["tall"])
+        | ((d["tall"] > 0) & ((c["tall"] / d["tall"] > TALLER) | (c["tall"] / d["tall"] < SHORTER)))
+        | ((gap > LEAST_GAP) & d["ch"].rlike(r"^\p{Ll}") & c["ch"].rlike(r"^\p{Lu}"))
+        | (F.abs(c["font_size"] - d["font_size"]) > FONT_CHANGE * d["font_size"])
     )
 
 
+def _ink(g: Column, i: Column) -> Column:
+    """A glyph with its place and normalised sides."""
+    b = g["bbox"]
+    low, left = F.least(b["top"], b["bottom"]), F.least(b["left"], b["right"])
+    return F.struct(
+        g["ch"].alias("ch"), b.alias("bbox"), g["font_size"].alias("font_size"), i.alias("at"),
+        low.alias("low"), F.abs(b["bottom"] - b["top"]).alias("tall"), left.alias("left"), F.greatest(b["left"], b["right"]).alias("right"),
+    )
+
+
+def _blank(ch: Column) -> Column:
+    return F.when(F.length(ch) == 1, F.instr(F.lit(WHITE), ch) > 0).otherwise(ch.rlike(r"^\p{IsWhite_Space}+$"))
+
+
 def segment_pages(pages: DataFrame, keep_chars: bool = True) -> DataFrame:
     """(doc_id, block_id, page_index, text, bbox[, chars]) from one row a page with its glyphs (ch, bbox, font_size) in painting order."""
-    ink = F.transform("glyphs", lambda g, i: F.struct(g["ch"].alias("ch"), g["bbox"].alias("bbox"), g["font_size"].alias("font_size"), i.alias("at")))
-    ink = F.filter(ink, lambda g: ~g["ch"].rlike(r"^\p{IsWhite_Space}+$"))
+    ink = F.filter(F.transform("glyphs", _ink), lambda g: ~_blank(g["ch"]))
     pages = pages.select("doc_id", "page_index", ink.alias("__ink")).where(F.size("__ink") > 0)
-    place = F.sequence(F.lit(0), F.size("__ink") - 1)
-    first = F.filter(place, lambda i: F.when(i == 0, True).otherwise(F.coalesce(_breaks(F.get("__ink", i - 1), F.get("__ink", i)), F.lit(False))))
-    pages = pages.withColumn("__first", first)
+    rest = F.size("__ink") - 1
+    pairs = F.arrays_zip(F.slice("__ink", 1, rest).alias("a"), F.slice("__ink", 2, rest).alias("b"))
+    cut = F.filter(F.transform(pairs, lambda x, i: F.when(_breaks(x["a"], x["b"]), i + 1)), lambda i: i.isNotNull())
+    pages = pages.withColumn("__first", F.concat(F.array(F.lit(0)), cut))
     items = F.transform("__first", lambda i, k: F.slice("__ink", i + 1, F.coalesce(F.get("__first", k + 1), F.size("__ink")) - i))
     side = lambda x, f, n: f(F.transform(x, lambda g: g["bbox"][n]))
 

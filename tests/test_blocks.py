@@ -66,15 +66,32 @@ def test_regex_offsets_against_python(spark):
 
 
 def test_search_join_equals_brute_force(spark):
+    """Also boxes with NaN, infinite and empty sides, and rectangles of any extent."""
+    nan, inf = float("nan"), float("inf")
     r = random.Random(2)
     box = lambda n: [(float(t := r.randrange(300)), float(x := r.randrange(300)), float(t + r.randrange(0, 90)), float(x + r.randrange(0, 90))) for _ in range(n)]
-    bs, qs = box(80), box(40)
+    bs = box(80) + [(nan,) * 4, (0.0, 0.0, nan, 9.0), (0.0, 0.0, inf, 9.0), (-1e7, -1e7, 1e7, 1e7), None]
+    qs = box(40) + [(0.0, 0.0, 1e9, 1e9), (1e12, -1e12, -1e12, 1e12), (-inf, -inf, inf, inf), (nan, 0.0, 50.0, 50.0)]
     b = spark.createDataFrame([("d", i, 0, "x", x, None) for i, x in enumerate(bs)], BLOCKS)
     q = spark.createDataFrame([("d", i, x) for i, x in enumerate(qs)], "doc_id string, query_id int, query struct<top: double, left: double, bottom: double, right: double>")
+    fine = [i for i, x in enumerate(bs) if x and all(abs(v) < inf for v in x)]
     for overlap in (0.0, 0.3, 1.0):
-        got = {(x.query_id, x.block_id) for x in search.search_join(b, q, overlap).collect()}
-        want = {(i, k) for i, x in enumerate(qs) for k, y in enumerate(bs) if (area := Rectangle(*y).area) > 0 and Rectangle(*y).overlap_percentage(Rectangle(*x)) * area >= area * search.clamped_share(overlap) and Rectangle(*y).overlaps(Rectangle(*x))}
-        assert got == want
+        got = [(x.query_id, x.block_id) for x in search.search_join(b, q, overlap).collect()]
+        want = {(i, k) for i, x in enumerate(qs) if x[0] == x[0] for k in fine if (y := Rectangle(*bs[k])).area > 0 and y.overlap_percentage(Rectangle(*x)) * y.area >= y.area * search.clamped_share(overlap) and y.overlaps(Rectangle(*x))}
+        assert len(got) == len(want) and set(got) == want
+    assert {x.block_id for x in search.search(b, Rectangle(100, 100, 200, 200)).collect()} <= set(fine)
+
+
+def test_one_dialect(spark):
+    """search and split take the same patterns: properties, named groups, end anchors, ASCII classes."""
+    b = blocks(spark, [(0, "Ünit7", 0, 0, 10, 50)], chars=True)
+    for pattern, parts in ((r"\p{L}+", ["Ünit", "7"]), (r"(?<n>\d)\z", ["Ünit", "7"]), ("[[:alpha:]]+", ["Ü", "nit", "7"]), (r"[[:digit:]x]$", ["Ünit", "7"]), ("[[:^alpha:]]", ["Ü", "nit7"]), ("ü(n)", ["Ü", "n", "it7"])):
+        assert search.search_regex(b, pattern).count() >= 1
+        assert [r.text for r in split.split(b, pattern).orderBy("block_id").collect()] == parts
+    for bad in ("[[:letters:]]", "[a--b]", "[a~~b]", r"(?<n>a", "*"):
+        for f in (lambda p: search.search_regex(b, p), lambda p: split.split(b, p)):
+            with pytest.raises(PatternError):
+                f(bad)
 
 
 def merged(spark, rows, threshold=1.0, **rules):
