@@ -43,7 +43,7 @@ from .words import Numbers, binaries, chunks, gathered
 MAX_BITS = 20
 LANE = 256
 BLOCK_TOKENS = 1 << 20
-CACHED, CORES = 800_000, 1_000_000
+CACHED, CORES = 400_000, 1_000_000
 #: A word a line. Its tokens are those of its letters, then those of its punctuation, where it has only these: letters below U+0130, in which normal form and lower case are letters again, then ASCII punctuation. Any other word is one part.
 MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 PARTS = re.compile("^(?:([A-Za-zªµºÀ-ÖØ-öø-į]+)([!-/:-@\\[-`{-~]*)|(.+))$", re.MULTILINE)
@@ -101,6 +101,8 @@ class Codec:
         start = np.cumsum(span) - span
         self.codes = np.zeros(len(lengths), np.uint64)
         self.codes[symbols] = start >> (self.bits - self.lengths[symbols])
+        self.short = self.lengths.astype(np.uint8)
+        self.left = self.codes << (64 - self.lengths).clip(0, 63).astype(np.uint64)
         size = 1 << self.bits
         self.symbol, self.step = np.zeros(size, np.uint32), np.ones(size, np.uint8)
         self.symbol[: span.sum()] = np.repeat(symbols, span)
@@ -108,18 +110,19 @@ class Codec:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The packed bits, and the bit offset of every LANE-th token."""
-        size = self.lengths[ids]
-        end = np.cumsum(size)
-        at = end - size
+        end = np.cumsum(self.short[ids], dtype=np.int64)
+        at = np.concatenate([[0], end[:-1]])[: len(end)]
         total = int(end[-1]) if len(end) else 0
-        word = at >> 5
         # a code, left-aligned in the 64 bits from its word on, reaches one word further at most
-        value = self.codes[ids] << (64 - size - (at & 31)).astype(np.uint64)
+        value = self.left[ids] >> (at & 31).astype(np.uint64)
         out = np.zeros((total >> 5) + 2, np.uint32)
         if len(ids):
-            first = np.flatnonzero(np.diff(word, prepend=-1))
-            out[word[first]] = np.bitwise_or.reduceat((value >> _U(32)).astype(np.uint32), first)
-            out[word[first] + 1] |= np.bitwise_or.reduceat(value.astype(np.uint32), first)
+            word = (at >> 5).astype(np.int32 if total < 2**36 else np.int64)
+            first = np.flatnonzero(word[1:] != word[:-1]) + 1
+            first = np.concatenate([[0], first])
+            both = np.bitwise_or.reduceat(value, first)
+            out[word[first]] = both >> _U(32)
+            out[word[first] + 1] |= both.astype(np.uint32)
         return out.astype(">u4").tobytes()[: (total + 7) // 8], at[::LANE].astype("<i8")
 
     def decode(self, payloads: list[bytes], offsets: list[np.ndarray], counts: list[int]) -> list[np.ndarray]:
@@ -142,7 +145,8 @@ class Tokenizer:
     """A tokenizers-library model with a bounded cache of words.
 
     A word is two segments, its letters and its punctuation; any other word is a
-    segment and the empty one. A segment's ids are those from starts on, lens of them.
+    segment and the empty one. The ids of segment i are the lens[i] ones from starts[i]
+    on; so are those of words.
     A tokenizer that doesn't cut and fold as WORDS says gets whole texts instead.
     """
 
@@ -167,7 +171,8 @@ class Tokenizer:
         self.starts, self.lens, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, self.kind)
 
     def forget(self) -> None:
-        self.words, self.parts = Numbers(), np.zeros((0, 2), np.int32)
+        self.words = Numbers()
+        self.word_starts, self.word_lens, self.word_ids = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, self.kind)
 
     def _whole(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
         """The ids of all words, and how many each has."""
@@ -201,7 +206,6 @@ class Tokenizer:
             new[:, i] = self.cores.of(map(itemgetter(i), parts), len(words))
         for at in np.flatnonzero(np.fromiter(map(len, map(itemgetter(2), parts)), np.int32, len(words))).tolist():
             new[at, 0] = self.cores[words[at]]  # as bytes, unlike segments
-        self.parts = np.concatenate([self.parts, new])
         found, self.cores.new = self.cores.new, []
         kinds: tuple[list, list] = [], []
         for x in found:
@@ -216,6 +220,11 @@ class Tokenizer:
                     self.starts, self.lens = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.starts, self.lens))
                 self.starts[at], self.lens[at] = len(self.ids) + np.cumsum(n) - n, n
                 self.ids = np.concatenate([self.ids, ids])
+        part = new.reshape(-1)
+        ids, done = gathered(self.ids, self.starts[part], self.lens[part])
+        self.word_starts = np.concatenate([self.word_starts, (len(self.word_ids) + done[:-1:2]).astype(np.int32)])
+        self.word_lens = np.concatenate([self.word_lens, np.diff(done[::2]).astype(np.int32)])
+        self.word_ids = np.concatenate([self.word_ids, ids])
 
     def encode(self, texts: list[bytes | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end after each, and where each text ends."""
@@ -232,9 +241,8 @@ class Tokenizer:
             stops = np.cumsum(list(map(len, words)), dtype=np.int64)
             at = self.words.of(chain.from_iterable(words), int(stops[-1]) if len(stops) else 0)
             self._fill()
-            part = self.parts[at].reshape(-1)
-            ids, done = gathered(self.ids, self.starts[part], self.lens[part])
-            stops = done[2 * stops]
+            ids, done = gathered(self.word_ids, self.word_starts[at], self.word_lens[at])
+            stops = done[stops]
         if end is not None:
             ids = np.insert(ids, stops, last[0])
             stops = stops + np.arange(1, len(stops) + 1)
@@ -315,7 +323,7 @@ def write_tokens(docs: DataFrame, path: str, where: str, id_col: str = "doc_id",
     spark = prepared(docs.sparkSession)
     temp = f"{where}/temp"
     texts = docs.select(quoted(id_col).cast("long").alias("id"), quoted(text_col).cast("string").alias("text"))
-    texts.mapInArrow(_tokenise(path, end_id), "id long, ids binary, symbols array<int>, counts array<long>").write.option("compression", "zstd").parquet(temp)
+    texts.mapInArrow(_tokenise(path, end_id), "id long, ids binary, symbols array<int>, counts array<long>").write.option("compression", "snappy").parquet(temp)
     table = spark.read.parquet(temp)
     counts = table.where("symbols IS NOT NULL").select(F.explode(F.arrays_zip("symbols", "counts")).alias("s")).groupBy("s.symbols").agg(F.sum("s.counts").alias("n")).toArrow()
     tokenizer = loaded(path)
@@ -350,14 +358,11 @@ def read_tokens(spark: SparkSession, where: str) -> DataFrame:
                 part = {f: c.slice(lo, 2).to_pylist() for f, c in col.items()}
                 offsets = [np.frombuffer(o, "<i8") for o in part["offsets"]]
                 for ids, at, names, sizes in zip(codec.decode(part["payload"], offsets, part["n"]), part["at"], part["doc_ids"], part["doc_sizes"]):
-                    data, ends = ids.astype("<u4").tobytes(), np.cumsum(sizes).tolist()
-                    cut = [0, *ends]
+                    cut = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int64)
                     for i in range(0, len(names), 256):
                         j = min(i + 256, len(names))
-                        yield pa.record_batch(
-                            [pa.array(names[i:j], pa.int64()), pa.array([at + c for c in cut[i:j]], pa.int64()), pa.array(sizes[i:j], pa.int64()), pa.array([data[4 * a : 4 * b] for a, b in zip(cut[i:j], ends[i:j])], pa.binary())],
-                            names=["doc_id", "start", "n_tokens", "ids"],
-                        )
+                        data = binaries(ids[cut[i] : cut[j]].astype("<u4"), cut[i : j + 1] - cut[i])
+                        yield pa.record_batch([pa.array(names[i:j], pa.int64()), pa.array(at + cut[i:j]), pa.array(sizes[i:j], pa.int64()), data], names=["doc_id", "start", "n_tokens", "ids"])
 
     blocks = spark.read.parquet(f"{where}/blocks").join(spark.read.parquet(f"{where}/shards"), "shard")
     return blocks.select((F.col("start") + F.col("first")).alias("at"), "n", "doc_ids", "doc_sizes", "payload", "offsets").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
