@@ -227,7 +227,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sizes = member.groupBy("component").agg(parts.alias("parts"))
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = member.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("family"), part.alias("part"), "parts")
-    sets = d.join(dealt, "id").mapInArrow(_setter("text", shingle), "id long, family long, part int, parts int, shingles array<long>")
+    # the nodes of families grow with the input: co-partitioned at every size, never broadcast
+    sets = d.join(dealt.hint("merge"), "id").mapInArrow(_setter("text", shingle), "id long, family long, part int, parts int, shingles array<long>")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     links = sets.withColumn("task", F.explode(pairs)).groupBy("family", "task").applyInArrow(_verify(percent), "a long, b long")
     comps = components(links, f"{here}/comps")
