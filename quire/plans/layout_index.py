@@ -17,6 +17,7 @@ class LayoutIndex:
 
     blocks: DataFrame
     page_rects: DataFrame
+    parsed: DataFrame | None = None
 
     @classmethod
     def from_blocks(cls, blocks: DataFrame) -> LayoutIndex:
@@ -28,12 +29,17 @@ class LayoutIndex:
         pdf_source.check_concurrency(concurrency)
         parsed = pdf_source.parse_pdfs(documents, password).persist()
         pages = pdf_source.pages_of(parsed)
-        return cls(pdf_source.blocks_of(parsed, keep_chars), pages.select("doc_id", "page_index", "rect"))
+        return cls(pdf_source.blocks_of(parsed, keep_chars), pages.select("doc_id", "page_index", "rect"), parsed)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, password: str | bytes | None = None, **options) -> LayoutIndex:
         return cls.from_pdfs(pdf_source.read_pdfs(spark, path), password, **options)
 
+    def close(self) -> None:
+        """Releases the parse that from_pdfs persisted, also for the indexes made from this one."""
+        if self.parsed is not None:
+            self.parsed.unpersist()
+
     @property
     def doc_rects(self) -> DataFrame:
         return layout.document_rects(self.page_rects)
@@ -66,7 +72,7 @@ class LayoutIndex:
 
     def scoped(self, rect: Rectangle, overlap: float = 0.0, merge_threshold: float = 0.0, normalize: bool = False, no_numeric_pair_merge: bool = False, no_date_pair_merge: bool = False) -> LayoutIndex:
         rules = scope.MergeRules(no_numeric_pair_merge, no_date_pair_merge)
-        return LayoutIndex(scope.scoped(self.blocks, rect, overlap, merge_threshold, normalize, rules), self.page_rects)
+        return LayoutIndex(scope.scoped(self.blocks, rect, overlap, merge_threshold, normalize, rules), self.page_rects, self.parsed)
 
     def split(self, pattern: str, boundaries: Rectangle | None = None) -> LayoutIndex:
-        return LayoutIndex(split.split(self.blocks, pattern, boundaries), self.page_rects)
+        return LayoutIndex(split.split(self.blocks, pattern, boundaries), self.page_rects, self.parsed)

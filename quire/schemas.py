@@ -13,9 +13,4 @@ CHAR = T.StructType([T.StructField("ch", T.StringType()), T.StructField("bbox",
 DOC = T.StructField("doc_id", T.StringType())
 PAGE = T.StructField("page_index", T.IntegerType())
 
-#: Pages as a document declares them, before stacking.
-RAW_PAGES = T.StructType([DOC, PAGE, *(T.StructField(n, _D) for n in ("x_min", "y_min", "width", "height")), T.StructField("rotation", T.IntegerType())])
-#: Characters in the order they were painted, in page space, y upwards.
-GLYPHS = T.StructType([DOC, PAGE, T.StructField("seq", T.LongType()), T.StructField("ch", T.StringType()), T.StructField("bbox", RECT), T.StructField("font_size", _D), T.StructField("fill_rgb", RGB), T.StructField("font_name", T.StringType())])
 BLOCKS = T.StructType([DOC, T.StructField("block_id", T.LongType()), PAGE, T.StructField("text", T.StringType()), T.StructField("bbox", RECT), T.StructField("chars", T.ArrayType(CHAR))])
-ERRORS = T.StructType([DOC, T.StructField("kind", T.StringType()), T.StructField("message", T.StringType())])

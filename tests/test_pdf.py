@@ -41,6 +41,21 @@ def test_operators():
     assert g[0][3] == 50 and g[1][3] == 0
 
 
+def test_text_matrix_is_graphics_state():
+    _, g = extract(page(b"BT /F1 10 Tf 1 0 0 1 70 80 Tm q 1 0 0 1 240 250 Tm (A) Tj Q (B) Tj ET"))
+    assert [(x[2], x[3]) for x in g] == [("A", 240), ("B", 70)]
+
+
+def test_crypt_filter_must_be_there():
+    s = crypto.Security.__new__(crypto.Security)
+    s.v = 4
+    assert s._filter({"CF": {"S": {"CFM": Name("V2")}}, "StmF": Name("S")}, "StmF") == "V2"
+    assert s._filter({"StmF": Name("Identity")}, "StmF") == "None" and s._filter({"CF": {"S": {}}, "StmF": Name("S")}, "StmF") == "None"
+    for d in ({"StmF": Name("S")}, {"CF": {}, "StmF": Name("S")}, {"CF": {"S": 1}, "StmF": Name("S")}):
+        with pytest.raises(crypto.MalformedEncryption):
+            s._filter(d, "StmF")
+
+
 def test_visibility():
     white = b"1 1 1 rg BT /F1 10 Tf 10 10 Td (w) Tj ET "
     assert shown(page(white)) == "w"  # no fill was painted

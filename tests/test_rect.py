@@ -32,6 +32,14 @@ def test_columns_agree_with_values(spark):
         assert R.Rectangle.of(row[9]) == x.with_margin(top=1, bottom=2, left=3, right=4)
 
 
+def test_values_of_blocks():
+    box, other = R.Rectangle(1, 2, 3, 4), R.Rectangle(1, 2, 3, 5)
+    row = {"bbox": {"top": 1, "left": 2, "bottom": 3, "right": 4}, "text": "a", "chars": [{"ch": "a", "bbox": {"top": 1, "left": 2, "bottom": 3, "right": 4}}]}
+    block = R.TextBlock.of(row)
+    assert block == R.TextBlock(box, "a") and block.chars == (R.TextChar(box, "a"),) and R.TextChar(box, "a") != R.TextChar(other, "a")
+    assert block != R.TextBlock(other, "a") and block != R.TextBlock(box, "b") and R.TextBlock.of({"bbox": row["bbox"], "text": "a"}).chars == ()
+
+
 def test_corner_names():
     r = R.Rectangle(1, 2, 3, 4)
     assert r.corner("right", "top") == R.Point(4, 1)
