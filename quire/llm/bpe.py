@@ -37,7 +37,7 @@ CUT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WIDTHS = (2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256, 512)
 CELLS = 1 << 20
-CACHED = 400_000
+CACHED = 200_000
 _NONE = np.int32(2**31 - 1)
 _U = np.uint64
 _BITS = 21
