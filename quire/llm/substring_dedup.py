@@ -1,19 +1,22 @@
 """Exact substring dedup with a count-min prefilter.
 
-1. Each task sketches the distinct word windows of its documents in two rows of
-   2**32 counters. A sketch is sparse, so it is shipped as sorted cell numbers in
-   2 * 1024 segments (about two bytes a cell), which merge independently.
-2. Of the merged counters only "two or more" matters. Those bits, folded to 2**27
-   a row, are broadcast: 32 MB at any size of input. Counters and folding only
-   ever overestimate, so no repeated window is lost; where the sketch fills up,
-   more windows take the exact path and results stay the same.
-3. Documents are dealt to blocks by hash. A block sends each estimated-repeated
-   window once (96-bit hash, smallest doc_id in the block) to the bucket of its
-   hash, where windows are grouped exactly. A window that a third of all documents
-   hold reaches a bucket once per block, not once per document.
+1. Documents are dealt to blocks by hash. A block sketches its distinct word windows
+   in two rows of counters. A sketch is sparse: it is shipped as gaps between cell
+   numbers (about two bytes a cell), in segments of the rows that merge independently.
+2. The merge of a segment answers each block with one bit a cell, "held by two blocks
+   or more". With its own counts a block then knows which of its windows have two
+   counters that reach two. Counters only ever overestimate, so no repeated window is
+   lost. The rows grow with the input (LOAD counters or more for each window), so at any
+   size about one in a hundred windows that occur once passes; nothing is broadcast.
+3. A block sends each estimated-repeated window once (96-bit hash, smallest doc_id in
+   the block) to the bucket of its hash, where windows are grouped exactly. A window
+   that a third of all documents hold reaches a bucket once per block, not once per
+   document.
 4. A bucket answers each block with one bit a window, "some other block has a
    smaller doc_id". The block derives its windows again and marks the words.
 
+Blocks, segments and buckets are as many as the input needs for each to stay small.
+
 Nulls: a null text has no words; a row with a null id comes after all other
 documents. Rows with equal ids never remove each other's words. Empty tables give
 empty results. Input columns named like an output column are replaced by it.
@@ -21,115 +24,91 @@ empty results. Input columns named like an output column are replaced by it.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import others, prepared, quoted
-from .words import Words, bytes_of, chunks, window_hashes
+from .words import Words, bytes_of, mix, window_hashes
 
 WINDOW = 13
-SEGMENTS = 1024
-FOLDED_BITS = 27
-FLUSH_WINDOWS = 4 << 20
+LOAD = 8
+WORD_BYTES = 6
 BLOCK_BYTES = 8 << 20
 LEAST_BLOCKS = 256
 LAST = np.iinfo(np.int64).max
 _U = np.uint64
 
 
-def cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The counter of each hash in either row of the sketch: two disjoint halves of 64 mixed bits."""
-    return (h >> _U(32)).astype(np.uint32), h.astype(np.uint32)
-
-
-def _sketch_rows(parts: list[tuple[np.ndarray, np.ndarray]]):
-    """One sketch as (row, segment, payload): counters capped at two, as 64 counts and the low 16 bits of each cell in order."""
-    for row in (0, 1):
-        c = np.sort(np.concatenate([p[row] for p in parts]))
-        if len(c) > 2:
-            c = c[np.concatenate([[True, True], c[2:] != c[:-2]])]
-        low = (c & np.uint32(0xFFFF)).astype("<u2")
-        fine = np.bincount((c >> np.uint32(16)).astype(np.int64), minlength=1 << 16).astype("<u4")
-        cuts = np.concatenate([[0], np.cumsum(fine.reshape(SEGMENTS, 64).sum(axis=1, dtype=np.int64))])
-        for seg in np.flatnonzero(np.diff(cuts)).tolist():
-            yield row, seg, fine[seg * 64 : seg * 64 + 64].tobytes() + low[cuts[seg] : cuts[seg + 1]].tobytes()
-
-
-def _sketcher(text: str, k: int):
-    def run(batches):
-        parts, size = [], 0
-
-        def flush():
-            rows = list(_sketch_rows(parts))
-            for i in range(0, len(rows), 512):
-                row, seg, payload = zip(*rows[i : i + 512])
-                yield pa.record_batch([pa.array(row, pa.int32()), pa.array(seg, pa.int32()), pa.array(payload, pa.binary())], names=["r", "seg", "payload"])
-
-        for _, texts in chunks(batches, text):
-            w = Words(texts)
-            at, doc = w.windows(k)
-            if not len(at):
-                continue
-            h = window_hashes(w.hashes(), at, k)
-            # once a document: an overlong run of equal windows is not a repeat between documents
-            order = np.lexsort((h, doc))
-            h, doc = h[order], doc[order]
-            h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])]
-            parts.append(cells(h))
-            size += len(h)
-            if size >= FLUSH_WINDOWS:
-                yield from flush()
-                parts, size = [], 0
-        if parts:
-            yield from flush()
+class Sketch(NamedTuple):
+    """The shape of a count-min sketch: rows of 2**width counters in 2**segments segments; gaps are shipped as numbers of a type."""
+
+    width: int
+    segments: int
+    gap: str
+
+    def cells(self, h: np.ndarray, row: int) -> np.ndarray:
+        """The counter of each hash in one of the two rows."""
+        return (mix(h ^ _U(0xA5A5A5A55A5A5A5A)) if row else h) >> _U(64 - self.width)
+
+    def cuts(self, c: np.ndarray) -> np.ndarray:
+        """Where each segment's part of sorted cells ends."""
+        bound = np.arange(1, 1 << self.segments, dtype=np.uint64) << _U(self.width - self.segments)
+        return np.concatenate([[0], np.searchsorted(c, bound), [len(c)]])
+
+
+def sketch_for(size: int, blocks: int) -> Sketch:
+    """A sketch for some bytes of text, taken to hold a word in each WORD_BYTES."""
+    width = max(24, (LOAD * size // WORD_BYTES).bit_length())
+    # gaps average 8 to 16 times the blocks: short numbers while they mostly fit, since a gap too long takes several
+    return Sketch(width, max(8, (blocks - 1).bit_length()), "<u2" if LOAD * blocks <= 1 << 15 else "<u4")
+
+
+def packed(c: np.ndarray, sketch: Sketch):
+    """(segment, payload) of sorted distinct cells: the gaps before them, from the segment's start; the type's largest number adds to the next."""
+    if not len(c):
+        return
+    most = np.iinfo(sketch.gap).max
+    cut = sketch.cuts(c)
+    seg = np.flatnonzero(np.diff(cut))
+    gap = np.diff(c, prepend=_U(0))
+    gap[cut[seg]] = c[cut[seg]] - (seg.astype(np.uint64) << _U(sketch.width - sketch.segments))
+    last = np.cumsum(gap // _U(most) + _U(1)).astype(np.int64)
+    out = np.full(last[-1], most, sketch.gap)
+    out[last - 1] = gap % _U(most)
+    ends = np.concatenate([[0], last])[cut].tolist()
+    for s in seg.tolist():
+        yield s, out[ends[s] : ends[s + 1]].tobytes()
+
+
+def unpacked(payload: bytes, gap: str) -> np.ndarray:
+    """The cells of a payload, from its segment's start."""
+    g = np.frombuffer(payload, gap)
+    return np.cumsum(g, dtype=np.uint64)[g != np.iinfo(gap).max]
+
+
+def _merger(gap: str):
+    def run(table: pa.Table) -> pa.Table:
+        """Adds the sketches of one segment; for each cell of each, whether another block holds it too."""
+        parts = [unpacked(p, gap) for p in table.column("payload").to_pylist()]
+        v = np.concatenate(parts)
+        ranked = np.sort(v)
+        again = ranked[1:][ranked[1:] == ranked[:-1]]
+        twice = np.zeros(len(v), bool) if not len(again) else again[np.minimum(np.searchsorted(again, v), len(again) - 1)] == v
+        cut = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).tolist()
+        bits = [np.packbits(twice[i:j]).tobytes() for i, j in zip(cut, cut[1:])]
+        return pa.table({c: table.column(c) for c in ("block", "r", "seg")} | {"bits": pa.array(bits, pa.binary())})
 
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """Adds the sketches of one segment; which of its folded counters reach two."""
-    values = []
-    for p in table.column("payload").to_pylist():
-        fine = np.frombuffer(p, "<u4", 64)
-        values.append((np.repeat(np.arange(64, dtype=np.uint32), fine) << np.uint32(16)) | np.frombuffer(p, "<u2", offset=256))
-    v = np.sort(np.concatenate(values))
-    again = v[1:][v[1:] == v[:-1]] >> np.uint32(32 - FOLDED_BITS)
-    bits = np.zeros((1 << FOLDED_BITS) // SEGMENTS, bool)
-    bits[again] = True
-    return pa.table({"r": table.column("r")[:1], "seg": table.column("seg")[:1], "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-
-def repeated_bits(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """The merged sketch: for each row a bitmap of the counters that reach two; 2 * 2**27 bits whatever the input."""
-    merged = (
-        docs.select(quoted(text))
-        .mapInArrow(_sketcher(text, k), "r int, seg int, payload binary")
-        .groupBy("r", "seg")
-        .applyInArrow(_merge, "r int, seg int, bits binary")
-        .toArrow()
-    )
-    wide = (1 << FOLDED_BITS) // 8 // SEGMENTS
-    out = np.zeros((2, SEGMENTS, wide), np.uint8)
-    for r, seg, bits in zip(merged.column("r").to_pylist(), merged.column("seg").to_pylist(), merged.column("bits").to_pylist()):
-        out[r, seg] = np.frombuffer(bits, np.uint8)
-    return out.reshape(2, -1)
-
-
-def _estimated(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Whether the smaller of a window's two counters reaches two."""
-    hit = None
-    for row, cell in enumerate(cells(h)):
-        c = cell >> np.uint32(32 - FOLDED_BITS)
-        got = (bits[row][c >> np.uint32(3)] >> (np.uint8(7) - (c & np.uint32(7)).astype(np.uint8))) & np.uint8(1)
-        hit = got if hit is None else hit & got
-    return hit.astype(bool)
-
-
-def _candidates(texts: list, ids: np.ndarray, bits: np.ndarray, k: int):
-    """A block's estimated-repeated windows, the same for any order of its rows: distinct windows by hash with their smallest id, and for each occurrence (text, word) its window."""
+def _scanned(texts: list, k: int) -> list[tuple]:
+    """(first text, their words, word hashes, places, texts, window hashes) of some MB of texts at a time that have windows."""
     found = []
     size, lo = 0, 0
     for hi in range(len(texts) + 1):
@@ -139,20 +118,59 @@ def _candidates(texts: list, ids: np.ndarray, bits: np.ndarray, k: int):
             at, doc = w.windows(k)
             if len(at):
                 hashes = w.hashes()
-                h = window_hashes(hashes, at, k)
-                keep = np.flatnonzero(_estimated(bits, h))
-                at, doc, h = at[keep], doc[keep], h[keep]
-                h2 = window_hashes(hashes, at, k, 2) if len(at) else h
-                found.append((h, (h2 >> _U(32)).astype(np.uint32), doc + lo, at - w.first[doc]))
+                found.append((lo, w.first, hashes, at, doc, window_hashes(hashes, at, k)))
             lo, size = hi, 0
         size += n
-    if not found:
+    return found
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
+
+
+def _estimated(found: list[tuple], sketch: Sketch, replies: tuple[list, list]) -> np.ndarray:
+    """For each distinct window hash of a block, in order, whether the smaller of its two counters reaches two. replies: for each row, the segments' answers."""
+    h = np.concatenate([f[5] for f in found])
+    doc = np.concatenate([f[4] + f[0] for f in found])
+    order = np.argsort(h, kind="stable")
+    h, doc = h[order], doc[order]
+    new = _starts(h)
+    # once a document: an overlong run of equal windows is not a repeat between documents
+    held = np.add.reduceat((new | _starts(doc)).astype(np.int64), np.flatnonzero(new))
+    h = h[new]
+    est = np.ones(len(h), bool)
+    for row in (0, 1):
+        c = sketch.cells(h, row)
+        order = np.argsort(c, kind="stable")
+        c = c[order]
+        first = _starts(c)
+        reach = np.add.reduceat(held[order], np.flatnonzero(first)) >= 2
+        cut = sketch.cuts(c[first])
+        for seg, bits in replies[row]:
+            i, j = cut[seg], cut[seg + 1]
+            reach[i:j] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=j - i).astype(bool)
+        est[order] &= reach[np.cumsum(first) - 1]
+    return est
+
+
+def _candidates(found: list[tuple], ids: np.ndarray, est: np.ndarray, k: int):
+    """A block's estimated-repeated windows, the same for any order of its rows: distinct windows by hash with their smallest id, and for each occurrence (text, word) its window."""
+    if not found or not est.any():
         e = np.zeros(0, np.int64)
         return e.astype(np.uint64), e.astype(np.uint32), e, e, e, e
-    h, h2, doc, word = (np.concatenate(x) for x in zip(*found))
+    distinct = np.unique(np.concatenate([f[5] for f in found]))
+    some = distinct[est]
+    parts = []
+    for lo, first, hashes, at, doc, h in found:
+        keep = np.flatnonzero(some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h)
+        at, doc, h = at[keep], doc[keep], h[keep]
+        h2 = window_hashes(hashes, at, k, 2) if len(at) else h
+        parts.append((h, (h2 >> _U(32)).astype(np.uint32), doc + lo, at - first[doc]))
+    h, h2, doc, word = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((ids[doc], h2, h))
     h, h2, doc, word = h[order], h2[order], doc[order], word[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]) if len(h) else np.zeros(0, bool)
+    new = _starts(h) | _starts(h2)
     entry = np.cumsum(new) - 1
     return h[new], h2[new], ids[doc[new]], doc, word, entry
 
@@ -169,24 +187,48 @@ def _cuts(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed and kept_text: the words, joined by one space, that no window covers which also starts in a document with a smaller id."""
-    spark = prepared(docs.sparkSession)
-    sc = spark.sparkContext
+    prepared(docs.sparkSession)
     size = docs.select(F.sum(F.octet_length(quoted(text_col)))).first()[0] or 0
     blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
-    buckets = 1 << max(8, min(16, (blocks - 1).bit_length()))
-    shared = sc.broadcast(repeated_bits(docs, text_col, window))
+    buckets = 1 << max(8, (blocks - 1).bit_length())
+    sketch = sketch_for(size, blocks)
 
     rest = others(docs, "n_words", "n_removed", "kept_text")
     blk = F.pmod(F.xxhash64(quoted(id_col), quoted(text_col)), F.lit(blocks)).cast("int")
     dealt = docs.select(quoted(id_col).cast("long").alias("__quire_id"), blk.alias("__quire_block"), *(quoted(c) for c in rest))
 
-    def ask(table: pa.Table) -> pa.Table:
-        h, h2, low, *_ = _candidates(bytes_of(table.column(text_col)), _ids(table.column("__quire_id")), shared.value, window)
-        cut = _cuts(h, buckets).tolist()
-        rows = [(b, h[i:j].tobytes() + h2[i:j].tobytes() + low[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut, cut[1:])) if j > i]
-        return pa.table({"block": pa.array([table.column("__quire_block")[0].as_py()] * len(rows), pa.int32()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+    def count(table: pa.Table) -> pa.Table:
+        found = _scanned(bytes_of(table.column(text_col)), window)
+        rows = []
+        if found:
+            h = np.unique(np.concatenate([f[5] for f in found]))
+            for r in (0, 1):
+                c = np.sort(sketch.cells(h, r))
+                rows += [(r, seg, payload) for seg, payload in packed(c[_starts(c)], sketch)]
+        return pa.table({"block": pa.array([table.column("__quire_block")[0].as_py()] * len(rows), pa.int32()), "r": pa.array([x[0] for x in rows], pa.int32()), "seg": pa.array([x[1] for x in rows], pa.int32()), "payload": pa.array([x[2] for x in rows], pa.binary())})
+
+    def ask(table: pa.Table, bits: pa.Table) -> pa.Table:
+        found = _scanned(bytes_of(table.column(text_col)), window)
+        rows = []
+        if found:
+            block = table.column("__quire_block")[0].as_py()
+            replies: tuple[list, list] = ([], [])
+            for r, seg, b in zip(*(bits.column(c).to_pylist() for c in ("r", "seg", "bits"))):
+                replies[r].append((seg, b))
+            est = _estimated(found, sketch, replies)
+            h, h2, low, *_ = _candidates(found, _ids(table.column("__quire_id")), est, window)
+            cut = _cuts(h, buckets)
+            for b in np.flatnonzero(np.diff(cut)).tolist():
+                i, j = cut[b], cut[b + 1]
+                rows.append((block, b, False, h[i:j].tobytes() + h2[i:j].tobytes() + low[i:j].tobytes()))
+            rows.append((block, block % buckets, True, np.packbits(est).tobytes()))  # to be handed back as it is
+        return pa.Table.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.binary()))], names=["block", "bucket", "own", "payload"])
 
     def answer(table: pa.Table) -> pa.Table:
+        own = table.filter(table.column("own")).rename_columns(["block", "bucket", "own", "flags"])
+        table = table.filter(pc.invert(table.column("own")))
+        if not table.num_rows:
+            return own
         got = table.column("payload").to_pylist()
         n = [len(p) // 20 for p in got]
         h = np.concatenate([np.frombuffer(p, np.uint64, m) for p, m in zip(got, n)])
@@ -194,21 +236,28 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         low = np.concatenate([np.frombuffer(p, np.int64, m, 12 * m) for p, m in zip(got, n)])
         order = np.lexsort((low, h2, h))
         h, h2, low = h[order], h2[order], low[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])])
+        new = _starts(h) | _starts(h2)
         flag = np.empty(len(h), bool)
         flag[order] = low > low[new][np.cumsum(new) - 1]
         cut = np.concatenate([[0], np.cumsum(n)]).tolist()
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "flags": pa.array([np.packbits(flag[i:j]).tobytes() for i, j in zip(cut, cut[1:])], pa.binary())})
+        flags = pa.array([np.packbits(flag[i:j]).tobytes() for i, j in zip(cut, cut[1:])], pa.binary())
+        return pa.concat_tables([own, table.select(["block", "bucket", "own"]).append_column("flags", flags)])
 
     out_schema = T.StructType([f for f in docs.schema.fields if f.name in rest] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def strike(table: pa.Table, flags: pa.Table) -> pa.Table:
         texts = bytes_of(table.column(text_col))
         ids = _ids(table.column("__quire_id"))
-        h, _, low, doc, word, entry = _candidates(texts, ids, shared.value, window)
+        found = _scanned(texts, window)
+        replies = {b: f for b, own, f in zip(*(flags.column(c).to_pylist() for c in ("bucket", "own", "flags"))) if not own}
+        est = np.zeros(0, bool)
+        for f in flags.filter(flags.column("own")).column("flags").to_pylist():
+            est = np.unpackbits(np.frombuffer(f, np.uint8), count=len(np.unique(np.concatenate([x[5] for x in found])))).astype(bool)
+        h, _, low, doc, word, entry = _candidates(found, ids, est, window)
+        del found
         cut = _cuts(h, buckets)
         later = np.zeros(len(h), bool)
-        for b, f in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist()):
+        for b, f in replies.items():
             i, j = cut[b], cut[b + 1]
             later[i:j] = np.unpackbits(np.frombuffer(f, np.uint8), count=j - i).astype(bool)
         hit = later[entry] | (ids[doc] > low[entry])
@@ -239,13 +288,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         cols = {c: table.column(c) for c in rest}
         return pa.table(cols | {"n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
 
-    flags = (
-        dealt.groupBy("__quire_block")
-        .applyInArrow(ask, "block int, bucket int, payload binary")
-        .groupBy("bucket")
-        .applyInArrow(answer, "block int, bucket int, flags binary")
-    )
-    return dealt.groupBy("__quire_block").cogroup(flags.groupBy("block")).applyInArrow(strike, out_schema)
+    by_block = dealt.groupBy("__quire_block")
+    bits = by_block.applyInArrow(count, "block int, r int, seg int, payload binary").groupBy("r", "seg").applyInArrow(_merger(sketch.gap), "block int, r int, seg int, bits binary")
+    asked = by_block.cogroup(bits.groupBy("block")).applyInArrow(ask, "block int, bucket int, own boolean, payload binary")
+    flags = asked.groupBy("bucket").applyInArrow(answer, "block int, bucket int, own boolean, flags binary")
+    return by_block.cogroup(flags.groupBy("block")).applyInArrow(strike, out_schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

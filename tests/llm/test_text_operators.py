@@ -11,7 +11,7 @@ from quire.llm.common import shared_dir
 from quire.llm.components import components
 from quire.llm.decontamination import decontaminate, winnowed
 from quire.llm.near_dedup import near_dedup, rows_of_band, shingle_sets, superminhash
-from quire.llm.substring_dedup import substring_dedup
+from quire.llm.substring_dedup import Sketch, packed, sketch_for, substring_dedup, unpacked
 from quire.llm.words import Words, window_hashes
 
 SCHEMA = "doc_id long, text string, N_Words string, blk int, id string"
@@ -86,6 +86,30 @@ def test_substring_dedup(spark, window):
     assert any(r[2] for r in want)
 
 
+@pytest.mark.parametrize("shape", [(4, 2, "<u2"), (24, 8, "<u2"), (40, 8, "<u4")])
+def test_substring_dedup_with_any_sketch(spark, monkeypatch, shape):
+    texts = corpus()
+    want = sorted(substring_dedup(frame(spark, texts)).collect(), key=str)
+    monkeypatch.setattr("quire.llm.substring_dedup.sketch_for", lambda *_: Sketch(*shape))
+    assert sorted(substring_dedup(frame(spark, texts)).collect(), key=str) == want
+
+
+@pytest.mark.parametrize("shape", [(12, 2, "<u2"), (24, 8, "<u2"), (36, 8, "<u2"), (40, 8, "<u4")])
+def test_sketch_cells_survive_packing(shape):
+    sketch, r = Sketch(*shape), random.Random(5)
+    h = np.array([0, 1, 2**64 - 1] + [r.getrandbits(64) for _ in range(500)], np.uint64)
+    for row in (0, 1):
+        c = np.unique(sketch.cells(h, row))
+        parts = [unpacked(p, sketch.gap) + (np.uint64(s) << np.uint64(sketch.width - sketch.segments)) for s, p in packed(c, sketch)]
+        assert np.concatenate(parts).tolist() == c.tolist()
+
+
+def test_sketch_grows_with_the_input():
+    for size in (1 << 20, 1 << 30, 1 << 40, 1 << 47):
+        sketch = sketch_for(size, max(256, size >> 23))
+        assert 2**sketch.width > 8 * size / 6 and 2**sketch.segments >= size >> 23
+
+
 def test_substring_dedup_of_nothing(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
