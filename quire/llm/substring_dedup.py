@@ -129,20 +129,25 @@ def _starts(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
 
 
-def _estimated(found: list[tuple], sketch: Sketch, replies: tuple[list, list]) -> np.ndarray:
-    """For each distinct window hash of a block, in order, whether the smaller of its two counters reaches two. replies: for each row, the segments' answers."""
+def _ranked(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of a block in the order of their hashes: that order, the hashes, and where each distinct one starts."""
     h = np.concatenate([f[5] for f in found])
-    doc = np.concatenate([f[4] + f[0] for f in found])
-    order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    new = _starts(h)
-    # once a document: an overlong run of equal windows is not a repeat between documents
+    order = np.argsort(h)  # equal hashes may come in any order: nothing depends on it
+    h = h[order]
+    return order, h, _starts(h)
+
+
+def _estimated(found: list[tuple], ranked: tuple, sketch: Sketch, replies: tuple[list, list]) -> np.ndarray:
+    """For each distinct window hash of a block, in order, whether the smaller of its two counters reaches two. replies: for each row, the segments' answers."""
+    order, h, new = ranked
+    doc = np.concatenate([f[4] + f[0] for f in found])[order]
+    # more than one where documents change within a run: a text's own repeats are no repeat between documents
     held = np.add.reduceat((new | _starts(doc)).astype(np.int64), np.flatnonzero(new))
     h = h[new]
     est = np.ones(len(h), bool)
     for row in (0, 1):
         c = sketch.cells(h, row)
-        order = np.argsort(c, kind="stable")
+        order = np.argsort(c)
         c = c[order]
         first = _starts(c)
         reach = np.add.reduceat(held[order], np.flatnonzero(first)) >= 2
@@ -154,16 +159,18 @@ def _estimated(found: list[tuple], sketch: Sketch, replies: tuple[list, list]) -
     return est
 
 
-def _candidates(found: list[tuple], ids: np.ndarray, est: np.ndarray, k: int):
+def _candidates(found: list[tuple], ranked: tuple, ids: np.ndarray, est: np.ndarray, k: int):
     """A block's estimated-repeated windows, the same for any order of its rows: distinct windows by hash with their smallest id, and for each occurrence (text, word) its window."""
     if not found or not est.any():
         e = np.zeros(0, np.int64)
         return e.astype(np.uint64), e.astype(np.uint32), e, e, e, e
-    distinct = np.unique(np.concatenate([f[5] for f in found]))
-    some = distinct[est]
-    parts = []
+    order, _, new = ranked
+    on = np.empty(len(order), bool)
+    on[order] = est[np.cumsum(new) - 1]
+    parts, done = [], 0
     for lo, first, hashes, at, doc, h in found:
-        keep = np.flatnonzero(some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h)
+        keep = np.flatnonzero(on[done : done + len(h)])
+        done += len(h)
         at, doc, h = at[keep], doc[keep], h[keep]
         h2 = window_hashes(hashes, at, k, 2) if len(at) else h
         parts.append((h, (h2 >> _U(32)).astype(np.uint32), doc + lo, at - first[doc]))
@@ -201,7 +208,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = _scanned(bytes_of(table.column(text_col)), window)
         rows = []
         if found:
-            h = np.unique(np.concatenate([f[5] for f in found]))
+            h = np.sort(np.concatenate([f[5] for f in found]))
+            h = h[_starts(h)]
             for r in (0, 1):
                 c = np.sort(sketch.cells(h, r))
                 rows += [(r, seg, payload) for seg, payload in packed(c[_starts(c)], sketch)]
@@ -215,8 +223,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             replies: tuple[list, list] = ([], [])
             for r, seg, b in zip(*(bits.column(c).to_pylist() for c in ("r", "seg", "bits"))):
                 replies[r].append((seg, b))
-            est = _estimated(found, sketch, replies)
-            h, h2, low, *_ = _candidates(found, _ids(table.column("__quire_id")), est, window)
+            ranked = _ranked(found)
+            est = _estimated(found, ranked, sketch, replies)
+            h, h2, low, *_ = _candidates(found, ranked, _ids(table.column("__quire_id")), est, window)
             cut = _cuts(h, buckets)
             for b in np.flatnonzero(np.diff(cut)).tolist():
                 i, j = cut[b], cut[b + 1]
@@ -250,11 +259,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ids = _ids(table.column("__quire_id"))
         found = _scanned(texts, window)
         replies = {b: f for b, own, f in zip(*(flags.column(c).to_pylist() for c in ("bucket", "own", "flags"))) if not own}
-        est = np.zeros(0, bool)
+        est, ranked = np.zeros(0, bool), ()
         for f in flags.filter(flags.column("own")).column("flags").to_pylist():
-            est = np.unpackbits(np.frombuffer(f, np.uint8), count=len(np.unique(np.concatenate([x[5] for x in found])))).astype(bool)
-        h, _, low, doc, word, entry = _candidates(found, ids, est, window)
-        del found
+            ranked = _ranked(found)
+            est = np.unpackbits(np.frombuffer(f, np.uint8), count=int(ranked[2].sum())).astype(bool)
+        h, _, low, doc, word, entry = _candidates(found, ranked, ids, est, window)
+        del found, ranked
         cut = _cuts(h, buckets)
         later = np.zeros(len(h), bool)
         for b, f in replies.items():
