@@ -53,7 +53,8 @@ def shingle_sets(texts: list[bytes | None], k: int) -> tuple[np.ndarray, np.ndar
     sets = []
     for i in range(w.n):
         if counts[i] >= k:
-            sets.append(np.unique(h[cut[i] : cut[i + 1]]))
+            s = np.sort(h[cut[i] : cut[i + 1]])
+            sets.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         else:
             sets.append(window_hashes(hashes[first[i] : first[i + 1]], np.zeros(1, np.int64), counts[i], 2) if counts[i] else h[:0])
     return (np.concatenate(sets) if sets else h[:0]), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int64)
