@@ -137,6 +137,8 @@ def find_hits(texts: list[bytes | None], windows: dict[int, _Windows], span: int
             continue
         found = index.find(h1, window_hashes(hashes, at, size, 2))
         at, found = at[found >= 0], found[found >= 0]
+        if not len(at):  # fingerprints alone are shared
+            continue
         np.add.at(step, at, 1)
         np.add.at(step, at + size, -1)
         # a text's distinct sets of items, then the items of each, some sets at a time

@@ -245,3 +245,23 @@ def test_hits_of_a_common_passage(monkeypatch):
     monkeypatch.setattr(dc, "PAIRS", 37)
     again = dc.find_hits(data, index, 10, 5)
     assert (again[1] == hit).all() and (again[2] == doc).all() and (again[3] == item).all()
+
+
+def test_fingerprints_without_a_whole_window_are_no_hits(spark):
+    """Quotes shorter than a window share fingerprints with an item, but no window; no other text of their chunk is hit."""
+    from quire.llm import decontamination as dc
+
+    items = [(i, " ".join(f"b{i}x{j}" for j in range(12))) for i in range(60)]
+    quotes = [" ".join([f"u{i}x{j}" for j in range(12)] + t.split()[3:9] + [f"w{i}x{j}" for j in range(12)]) for i, t in items]
+    index = dc.index_items([i for i, _ in items], [t.encode() for _, t in items], 10, 5)[1]
+    w = Words([t.encode() for t in quotes], lower=True)
+    grams = dc._grams(w, w.hashes(), 5)
+    kept = winnowed(grams, w.windows(10)[0], len(grams), 6)
+    assert len(index[10].hit(grams[kept]))
+    for t in quotes:
+        _, hit, doc, item = dc.find_hits([t.encode()], index, 10, 5)
+        assert not hit.any() and not len(doc) and not len(item)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    done = decontaminate(frame(spark, quotes), bench)
+    assert {(r.doc_id, r.n_words, r.n_hit) for r in done.collect()} == {(i, *brute_hits(t, items, 10)[:2]) for i, t, *_ in rows(quotes)}
+    assert done.where("contaminated OR n_hit > 0").count() == 0
