@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire import derive
-from quire.derive import RECTS_SQL, WORDS_SQL, advance, line_rects, table, word_blocks
+from quire.derive import RECTS_SQL, WORDS_SQL, advance, line_rects, table, word_blocks, word_pages
 from quire.functions import color, expand, tokens
 from quire.functions import rect as R
 from quire.operators import layout, reading, scope, search, segment, split
+from quire.operators.pages import block_rows
 from quire.plans.layout_index import LayoutIndex
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,8 +218,8 @@ _add("drop_noise", lambda s, d: _ruled(s, d).where(~segment.is_noise(F.col("text
 
 _REGION = R.Rectangle(300.0, 100.0, 500.0, 400.0)
 _HIT = "least(bottom, {b}) - greatest(top, {t}) >= 0 AND least(\"right\", {r}) - greatest(\"left\", {l}) >= 0 AND (\"right\" - \"left\") * (bottom - top) > 0 AND greatest(least(\"right\", {r}) - greatest(\"left\", {l}), 0) * greatest(least(bottom, {b}) - greatest(top, {t}), 0) >= (\"right\" - \"left\") * (bottom - top) * {s}::DOUBLE"
-_add("search_region", lambda s, d: search.search(word_blocks(s, d), _REGION).select("doc_id", "block_id", "text"), f"WITH {WORDS_SQL} SELECT doc_id, block_id, text FROM blocks WHERE {_HIT.format(t=300, l=100, b=500, r=400, s=0.00001)}")
-_add("search_overlap", lambda s, d: search.search(word_blocks(s, d), _REGION, 0.75).select("doc_id", "block_id", "text"), f"WITH {WORDS_SQL} SELECT doc_id, block_id, text FROM blocks WHERE {_HIT.format(t=300, l=100, b=500, r=400, s=0.75)}")
+_add("search_region", lambda s, d: block_rows(search.search(word_pages(s, d), _REGION)).select("doc_id", "block_id", "text"), f"WITH {WORDS_SQL} SELECT doc_id, block_id, text FROM blocks WHERE {_HIT.format(t=300, l=100, b=500, r=400, s=0.00001)}")
+_add("search_overlap", lambda s, d: block_rows(search.search(word_pages(s, d), _REGION, 0.75)).select("doc_id", "block_id", "text"), f"WITH {WORDS_SQL} SELECT doc_id, block_id, text FROM blocks WHERE {_HIT.format(t=300, l=100, b=500, r=400, s=0.75)}")
 
 
 def _search_sides(s, d) -> tuple[DataFrame, DataFrame]:
@@ -240,24 +241,24 @@ WHERE (least(ar, ql + 60) - greatest(al, ql)) * (least(ab, qt + 40) - greatest(a
 _BODY_SQL = f"""{WORDS_SQL},
 lines AS (SELECT doc_id, page_index, line, string_agg(text, ' ' ORDER BY block_id) AS t, list(block_id ORDER BY block_id) AS ids FROM blocks GROUP BY doc_id, page_index, line),
 bodies AS (SELECT doc_id, page_index, string_agg(t, chr(10) ORDER BY line) AS body FROM lines GROUP BY doc_id, page_index)"""
-_add("reading_lines", lambda s, d: reading.lines(word_blocks(s, d)).select("doc_id", "page_index", "line_no", F.array_join(F.transform("block_ids", lambda x: x.cast("string")), ",").alias("ids")), f"WITH {_BODY_SQL} SELECT doc_id, page_index, CAST(line - page_index * 50 AS INTEGER) AS line_no, array_to_string(ids, ',') AS ids FROM lines")
-_add("reading_text", lambda s, d: reading.text(word_blocks(s, d)), f"WITH {_BODY_SQL} SELECT doc_id, string_agg(body || chr(10), '' ORDER BY page_index) AS text FROM bodies GROUP BY doc_id")
+_add("reading_lines", lambda s, d: reading.lines(word_pages(s, d)).select("doc_id", "page_index", "line_no", F.array_join(F.transform("block_ids", lambda x: x.cast("string")), ",").alias("ids")), f"WITH {_BODY_SQL} SELECT doc_id, page_index, CAST(line - page_index * 50 AS INTEGER) AS line_no, array_to_string(ids, ',') AS ids FROM lines")
+_add("reading_text", lambda s, d: reading.text(word_pages(s, d)), f"WITH {_BODY_SQL} SELECT doc_id, string_agg(body || chr(10), '' ORDER BY page_index) AS text FROM bodies GROUP BY doc_id")
 
 #: A word and the one after it, across spaces and line ends.
 _PATTERN = r"\b(the|der|les)\s+[a-z]{4,6}\b"
 _add(
     "regex_search",
-    lambda s, d: search.search_regex(word_blocks(s, d), _PATTERN).select("doc_id", "page_index", "match_no", F.lower("text").alias("text")),
+    lambda s, d: search.search_regex(word_pages(s, d), _PATTERN).select("doc_id", "page_index", "match_no", F.lower("text").alias("text")),
     # matches of bodies, whose words are whole blocks
     f"""WITH {_BODY_SQL}, m AS (SELECT doc_id, page_index, regexp_extract_all(lower(body), '{_PATTERN}') AS ms, body FROM bodies),
 o AS (SELECT doc_id, page_index, body, unnest(ms) AS m, unnest(range(len(ms))) AS match_no FROM m),
 g AS (SELECT doc_id, page_index, CAST(match_no AS INTEGER) AS match_no, replace(m, chr(10), ' ') AS text FROM o)
 SELECT * FROM g""",
 )
-_add("has_regex", lambda s, d: search.has_regex(word_blocks(s, d), "idiot|rß|the the"), f"WITH {_BODY_SQL} SELECT doc_id, bool_or(regexp_matches(body, '(?i)idiot|rß|the the')) AS found FROM bodies GROUP BY doc_id")
+_add("has_regex", lambda s, d: search.has_regex(word_pages(s, d), "idiot|rß|the the"), f"WITH {_BODY_SQL} SELECT doc_id, bool_or(regexp_matches(body, '(?i)idiot|rß|the the')) AS found FROM bodies GROUP BY doc_id")
 _add(
     "label_right_value",
-    lambda s, d: search.right_of_label(word_blocks(s, d), "^(?:and|und)$|\\b(?:and|und)\\b", 200.0).select("doc_id", "block_id", "text", F.lower("label").alias("label")),
+    lambda s, d: search.right_of_label(word_pages(s, d), "^(?:and|und)$|\\b(?:and|und)\\b", 200.0).select("doc_id", "block_id", "text", F.lower("label").alias("label")),
     f"""WITH {WORDS_SQL} SELECT v.doc_id, v.block_id, v.text, lower(l.text) AS label FROM blocks l JOIN blocks v ON v.doc_id = l.doc_id AND v.line = l.line AND v.block_id > l.block_id
 WHERE lower(l.text) IN ('and', 'und') AND least(v."right", l."right" + 200) - v."left" >= 0.3::DOUBLE * (v."right" - v."left")""",
 )
@@ -266,13 +267,16 @@ WHERE lower(l.text) IN ('and', 'und') AND least(v."right", l."right" + 200) - v.
 
 _SCOPE = R.Rectangle(200.0, 0.0, 420.0, 612.0)
 _SCOPE_HIT = _HIT.format(t=200, l=0, b=420, r=612, s=0.5)
-_add("scope_filter", lambda s, d: scope.scoped(word_blocks(s, d), _SCOPE, 0.5).select("doc_id", "block_id", "text"), f"WITH {WORDS_SQL} SELECT doc_id, block_id, text FROM blocks WHERE {_SCOPE_HIT}")
+_add("scope_filter", lambda s, d: scope.scoped(word_pages(s, d), _SCOPE, 0.5).select("doc_id", "block_id", "text"), f"WITH {WORDS_SQL} SELECT doc_id, block_id, text FROM blocks WHERE {_SCOPE_HIT}")
 
 
 def _wavy(s, d) -> DataFrame:
-    """Words that rise and fall a little along their line."""
-    b, up = F.col("bbox"), (F.col("block_id") % 3).cast("double") / 4
-    return word_blocks(s, d).withColumn("bbox", R.rect(b["top"] + up, b["left"], b["bottom"] + up, b["right"]))
+    """Words that rise and fall a little along their line, as pages."""
+    def moved(b: Column) -> Column:
+        up = (b["block_id"] % 3).cast("double") / 4
+        return F.struct(*(b[n].alias(n) for n in ("block_id", "text", "left")), (b["top"] + up).alias("top"), b["right"].alias("right"), (b["bottom"] + up).alias("bottom"))
+
+    return word_pages(s, d).withColumn("blocks", F.transform("blocks", moved))
 
 
 _add(
@@ -285,11 +289,11 @@ h AS (SELECT *, sum(CASE WHEN pr IS NULL OR "left" - pr > 40 {{0}} THEN 1 ELSE 0
 SELECT doc_id, page_index, string_agg(text, ' ' ORDER BY block_id) AS text, min("left") AS "left", max("right") AS "right" FROM h GROUP BY doc_id, page_index, line, n"""
 _merged = ("doc_id", "page_index", "text", "bbox.left", "bbox.right")
 _EVERYWHERE = R.Rectangle(-1.0, -1.0, 1e9, 1e9)
-_add("scope_merge", lambda s, d: scope.scoped(word_blocks(s, d), _EVERYWHERE, 0.0, 40.0).select(*_merged), _MERGE_SQL.format(""))
+_add("scope_merge", lambda s, d: scope.scoped(word_pages(s, d), _EVERYWHERE, 0.0, 40.0).select(*_merged), _MERGE_SQL.format(""))
 # gaps of 40 points reach only the next word, so direct pairs are neighbours
 _add(
     "scope_merge_rules",
-    lambda s, d: scope.scoped(word_blocks(s, d), _EVERYWHERE, 0.0, 40.0, rules=scope.MergeRules(no_numeric_pair_merge=True)).select(*_merged),
+    lambda s, d: scope.scoped(word_pages(s, d), _EVERYWHERE, 0.0, 40.0, rules=scope.MergeRules(no_numeric_pair_merge=True)).select(*_merged),
     _MERGE_SQL.format("OR (regexp_matches(text, '^[0-9]+$') AND regexp_matches(pt, '^[0-9]+$'))"),
 )
 
