@@ -31,6 +31,7 @@ def exchanges(df) -> list[str]:
 #: Queries of words, and how many times a row of theirs is shuffled.
 SHUFFLES = {
     "label_right_value": 1,
+    "scope_merge_rules": 0,
 }
 
 
