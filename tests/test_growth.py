@@ -32,6 +32,7 @@ def exchanges(df) -> list[str]:
 SHUFFLES = {
     "label_right_value": 1,
     "scope_merge_rules": 0,
+    "regex_search": 0,
 }
 
 
