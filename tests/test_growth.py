@@ -33,6 +33,7 @@ SHUFFLES = {
     "label_right_value": 1,
     "scope_merge_rules": 0,
     "regex_search": 0,
+    "scope_normalize": 0,
 }
 
 
