@@ -34,6 +34,7 @@ SHUFFLES = {
     "scope_merge_rules": 0,
     "regex_search": 0,
     "scope_normalize": 0,
+    "has_regex": 1,
 }
 
 
