@@ -35,6 +35,7 @@ SHUFFLES = {
     "regex_search": 0,
     "scope_normalize": 0,
     "has_regex": 1,
+    "reading_lines": 0,
 }
 
 
