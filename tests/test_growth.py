@@ -36,6 +36,7 @@ SHUFFLES = {
     "scope_normalize": 0,
     "has_regex": 1,
     "reading_lines": 0,
+    "scope_merge": 0,
 }
 
 
