@@ -37,6 +37,7 @@ SHUFFLES = {
     "has_regex": 1,
     "reading_lines": 0,
     "scope_merge": 0,
+    "reading_text": 1,
 }
 
 
