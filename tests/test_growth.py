@@ -38,6 +38,7 @@ SHUFFLES = {
     "reading_lines": 0,
     "scope_merge": 0,
     "reading_text": 1,
+    "scope_filter": 0,
 }
 
 
