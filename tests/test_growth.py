@@ -39,6 +39,7 @@ SHUFFLES = {
     "scope_merge": 0,
     "reading_text": 1,
     "scope_filter": 0,
+    "search_region": 0,
 }
 
 
