@@ -40,6 +40,7 @@ SHUFFLES = {
     "reading_text": 1,
     "scope_filter": 0,
     "search_region": 0,
+    "search_overlap": 0,
 }
 
 
