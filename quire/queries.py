@@ -69,14 +69,13 @@ _add("page_rects_inferred", lambda s, d: layout.infer_page_rects(_as_blocks(s, d
 _add("rect_union_doc", lambda s, d: layout.document_rects(layout.infer_page_rects(_as_blocks(s, d))).select("doc_id", *sides(F.col("rect"))), f'WITH {RECTS_SQL} SELECT 0 AS doc_id, min(ay) AS top, min(al) AS "left", max(ab) AS bottom, max(ar) AS "right" FROM n')
 
 
-def _expand_cases(s, d) -> DataFrame:
-    """Each part's rectangle among the line items of its page and column as blockers."""
+def _expanded(s, d, directions: list[str]) -> DataFrame:
+    """Each part's rectangle grown among the line items of its page and column as blockers."""
     li = line_rects(s, d).select((F.col("k1") % 700).alias("g"), F.col("a").alias("blocker"))
-    blockers = li.groupBy("g").agg(F.collect_list("blocker").alias("blockers"))
     p = table(s, d, "part")
     left, top = F.col("p_partkey") % 400 + 50, F.col("p_partkey") % 600 + 50
     base = p.select("p_partkey", (F.col("p_partkey") % 700).alias("g"), R.rect(top, left, top + F.col("p_size") % 20 + 1, left + 30).alias("base"))
-    return base.join(blockers, "g")
+    return expand.expand_among(base, li, "g", directions, _BOUNDS).select("p_partkey", *sides(F.col("grown")))
 
 
 _BOUNDS = R.Rectangle(0.0, 0.0, 800.0, 700.0)
@@ -86,12 +85,12 @@ j AS (SELECT p.*, n.* FROM p JOIN n ON p.g = n.k1 % 700)
 SELECT p_partkey, """
 _add(
     "expand_single_axis",
-    lambda s, d: _expand_cases(s, d).select("p_partkey", expand.expand(F.col("base"), F.col("blockers"), ["left", "right"], _BOUNDS.literal()).alias("r")).select("p_partkey", *sides(F.col("r"))),
+    lambda s, d: _expanded(s, d, ["left", "right"]),
     _EXPAND_SQL + """any_value(pt) AS top, any_value(pb) AS bottom,
   least(coalesce(max(ar) FILTER (WHERE ar <= pl AND greatest(ay, pt) < least(ab, pb)), 0), any_value(pl)) AS "left",
   greatest(coalesce(min(al) FILTER (WHERE al >= pr AND greatest(ay, pt) < least(ab, pb)), 700), any_value(pr)) AS "right" FROM j GROUP BY p_partkey""",
 )
-_add("expand_mixed", lambda s, d: _expand_cases(s, d).select("p_partkey", expand.expand(F.col("base"), F.col("blockers"), ["up", "right", "down"], _BOUNDS.literal()).alias("r")).select("p_partkey", *sides(F.col("r"))))
+_add("expand_mixed", lambda s, d: _expanded(s, d, ["up", "right", "down"]))
 
 
 # -- colours and tokens ------------------------------------------------------------
