@@ -174,15 +174,17 @@ SELECT doc_id, page_index, mark, CAST(t AS DOUBLE) AS top, CAST(l AS DOUBLE) AS
 
 
 def _painted(s, d) -> DataFrame:
-    """Each document's words set five times over on a small page, as characters: the first letter of each word."""
-    w = word_blocks(s, d)
-    place = R.rect(F.lit(0.0), (F.col("block_id") % 40).cast("double"), F.lit(10.0), (F.col("block_id") % 40 + 1).cast("double"))
-    return w.select("doc_id", "page_index", F.col("block_id").alias("seq"), F.substring("text", 1, 1).alias("ch"), "block_id", F.substring("text", 1, 1).alias("text"), place.alias("bbox"))
+    """Each document's words set five times over on a small page, as pages of the first letters of the words."""
+    def letter(b: Column) -> Column:
+        at = (b["block_id"] % 40).cast("double")
+        return F.struct(b["block_id"].alias("block_id"), F.substring(b["text"], 1, 1).alias("text"), at.alias("left"), F.lit(0.0).alias("top"), (at + 1).alias("right"), F.lit(10.0).alias("bottom"))
+
+    return word_pages(s, d).withColumn("blocks", F.transform("blocks", letter))
 
 
 _DEDUPE_SQL = f"WITH {WORDS_SQL} SELECT doc_id, page_index, substr(text, 1, 1) AS ch, min(block_id) AS seq, CAST(block_id % 40 AS DOUBLE) AS \"left\" FROM blocks GROUP BY doc_id, page_index, substr(text, 1, 1), block_id % 40"
-_add("dedupe_chars", lambda s, d: layout.dedupe_chars(_painted(s, d).drop("block_id", "text")).select("doc_id", "page_index", "ch", "seq", F.col("bbox")["left"].alias("left")), _DEDUPE_SQL)
-_add("dedupe_blocks", lambda s, d: layout.dedupe_blocks(_painted(s, d).drop("seq", "ch")).select("doc_id", "page_index", F.col("text").alias("ch"), F.col("block_id").alias("seq"), F.col("bbox")["left"].alias("left")), _DEDUPE_SQL)
+_add("dedupe_chars", lambda s, d: layout.dedupe_chars(_painted(s, d)).select("doc_id", "page_index", "ch", "seq", F.col("bbox")["left"].alias("left")), _DEDUPE_SQL)
+_add("dedupe_blocks", lambda s, d: layout.dedupe_blocks(_painted(s, d)).select("doc_id", "page_index", F.col("text").alias("ch"), F.col("block_id").alias("seq"), F.col("bbox")["left"].alias("left")), _DEDUPE_SQL)
 
 
 def word_glyphs(s, d) -> DataFrame:
@@ -301,8 +303,8 @@ def _with_chars(s, d) -> DataFrame:
     w = word_blocks(s, d)
     b = F.col("bbox")
     wide = advance(F.col("text"), b)
-    chars = F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("ch"), R.rect(b["top"], b["left"] + i * wide, b["bottom"], b["left"] + i * wide + wide).alias("bbox")))
-    return w.withColumn("chars", chars)
+    one = lambda i: F.struct(F.substring("text", i + 1, F.lit(1)).alias("ch"), R.rect(b["top"], b["left"] + i * wide, b["bottom"], b["left"] + i * wide + wide).alias("bbox"))
+    return w.withColumn("chars", F.transform(F.sequence(F.lit(0), F.length("text") - 1), one))
 
 
 _SPLIT_SQL = f"""WITH {WORDS_SQL}, m AS (SELECT *, CASE WHEN {{0}} THEN regexp_extract(text, '(?i)(th|en)') ELSE '' END AS m FROM blocks),

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.derive import word_blocks, word_pages
-from quire.operators import reading, scope, search
+from quire.operators import layout, reading, scope, search
+from quire.operators.pages import page_rows
 from quire.queries import QUERIES
 
 
@@ -41,6 +42,8 @@ SHUFFLES = {
     "scope_filter": 0,
     "search_region": 0,
     "search_overlap": 0,
+    "dedupe_chars": 0,
+    "dedupe_blocks": 0,
 }
 
 
@@ -68,3 +71,19 @@ def test_labels_reach_other_pages(spark):
     box = "struct<top: double, left: double, bottom: double, right: double>"
     b = spark.createDataFrame([("d", 0, 0, "due", (0.0, 0.0, 10.0, 20.0)), ("d", 1, 1, "5", (2.0, 30.0, 9.0, 40.0)), ("e", 2, 0, "6", (2.0, 30.0, 9.0, 40.0))], f"doc_id string, block_id long, page_index int, text string, bbox {box}")
     assert [tuple(r) for r in search.right_of_label(b, "due", 50.0).collect()] == [("d", 0, 0, "due", 1, "5")]
+
+
+@pytest.mark.parametrize("name", ["split_label", "split_boundary"])
+def test_blocks_are_split_in_one_pass(spark, many_splits, name):
+    """Blocks with and without a match go the same way, so the documents are read once."""
+    plan = QUERIES[name](spark, many_splits)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Union" not in plan
+
+
+def test_pages_are_deduplicated_as_rows_are(spark):
+    nan = float("nan")
+    box = "struct<top: double, left: double, bottom: double, right: double>"
+    boxes = [(0.0, 0.0, 1.0, 1.0), (-0.0, 0.0, 1.0, 1.0), (nan, 0.0, 1.0, 1.0), (nan, 0.0, 1.0, 1.0), (0.0, 2.0, 1.0, 3.0), None]
+    b = spark.createDataFrame([("d", i, i % 2, "ab"[i % 3 % 2], boxes[i % 6]) for i in range(40)], f"doc_id string, block_id long, page_index int, text string, bbox {box}").where("bbox IS NOT NULL")
+    want, got = layout.dedupe_blocks(b), layout.dedupe_blocks(page_rows(b))
+    assert sorted((r.page_index, r.block_id) for r in want.collect()) == sorted((r.page_index, r.block_id) for r in got.collect())
