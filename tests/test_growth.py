@@ -87,3 +87,12 @@ def test_pages_are_deduplicated_as_rows_are(spark):
     b = spark.createDataFrame([("d", i, i % 2, "ab"[i % 3 % 2], boxes[i % 6]) for i in range(40)], f"doc_id string, block_id long, page_index int, text string, bbox {box}").where("bbox IS NOT NULL")
     want, got = layout.dedupe_blocks(b), layout.dedupe_blocks(page_rows(b))
     assert sorted((r.page_index, r.block_id) for r in want.collect()) == sorted((r.page_index, r.block_id) for r in got.collect())
+
+
+@pytest.mark.parametrize("name", ["pdf_pages", "pdf_roundtrip_blocks", "pdf_roundtrip_text"])
+def test_batches_of_documents_are_bounded(spark, many_splits, name):
+    """A worker holds some MB of documents at once, not ten thousand of them."""
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(most, str(256 << 20))
+    QUERIES[name](spark, many_splits)
+    assert int(spark.conf.get(most)) <= 4 << 20
